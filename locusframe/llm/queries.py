@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import bpe, exact_dedup, packing, quality_rules, sharding, simhash, substring_dedup, token_store, warc
+from locusframe.llm import bpe, exact_dedup, katz, packing, quality_rules, sharding, simhash, substring_dedup, token_store, warc
 from locusframe.llm.common import table
 
 SHARDS = 8
@@ -64,13 +64,18 @@ def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a Katz model of those outside the held-out fold."""
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among all documents."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rendezvous_sharding, op2_warc_round_trip, op3_paragraph_minhash, op4_token_frames, op5_prefix_bpe, op6_rule_ledger, op7_vector_packing, op8_simhash_pigeonring, op10_exact_dedup)
+    f.__name__: f for f in (op1_rendezvous_sharding, op2_warc_round_trip, op3_paragraph_minhash, op4_token_frames, op5_prefix_bpe, op6_rule_ledger, op7_vector_packing, op8_simhash_pigeonring, op9_katz_scores, op10_exact_dedup)
 }
 
 # The rendezvous scores of shards 0 to 8 in SQL, and the reduction of a CRC-32 over a text's bytes by a table of 256.

@@ -48,7 +48,7 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``limit`` bytes of text at most (one row at least)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -62,7 +62,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8_0
             yield batch.slice(start)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+def text_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
     """``text_slices`` with their texts as ``bytes`` (null: None)."""
     for batch in text_slices(batches, column, limit):
         yield batch, batch.column(column).cast(pa.binary()).to_pylist()

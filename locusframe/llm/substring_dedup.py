@@ -47,7 +47,7 @@ class _WordCodes(dict):
 
     def __missing__(self, word: bytes) -> int:
         code = xxhash.xxh64_intdigest(word.translate(_LOWER)) & ~1 | word.endswith(_MARKS)
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         if len(word) <= 64:
             self[word] = code

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept in a worker's memory: about 200 bytes each.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 #: Longer pieces are encoded each time, so that the cache's size in bytes is bounded too.
 _LONGEST = 64
 

@@ -44,9 +44,10 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", extra:
     rows = docs.select(F.col(key).alias(key), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("text_sha256"), *extra)
     found = rows.join(groups, rows["text_sha256"] == groups["_lf_full"], "left").drop("_lf_full")
     single = found.where("group_size is null").withColumns({"keep_id": F.col(key), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    # numbered by (hash, key): a group of any size is spread over its keys
+    # numbered by (hash, key), and dealt by both: a group of any size is spread over its keys, and the join above, which
+    # is dealt by hash alone, has nothing after it in its stage that would keep Spark from splitting a large group
     again = F.row_number().over(Window.partitionBy("text_sha256", key).orderBy(F.lit(0)))
-    copies = found.where("group_size is not null").withColumn("kept", F.col(key).eqNullSafe(F.col("keep_id")) & (again == 1))
+    copies = found.where("group_size is not null").repartition("text_sha256", key).withColumn("kept", F.col(key).eqNullSafe(F.col("keep_id")) & (again == 1))
     columns = [key, "keep_id", "group_size", "kept", "text_sha256", *[c for c in rows.columns if c not in (key, "text_sha256")]]
     return single.select(columns).unionByName(copies.select(columns))
 

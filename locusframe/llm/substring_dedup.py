@@ -266,8 +266,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     wanted = written(copied.unionByName(linked.select(F.col("node").alias("name"))).distinct().join(linked, F.col("name") == linked["node"], "left").select("name", F.coalesce("component", "name").alias("component")), "wanted")
     held = written(every.join(broadcast_if_small(wanted, 1_000_000), "name").select("key", "number", "words", "component").distinct(), "held")
     place = F.struct("key", "number")
-    firsts = held.groupBy("component").agg(F.min(place).alias("first"))
-    marked = held.join(firsts, "component").withColumn("again", place != F.col("first"))
+    # written sides, here and in _runs: each join's shuffle is apart from the sums', so that Spark can split a large component
+    firsts = written(held.groupBy("component").agg(F.min(place).alias("first")), "firsts")
+    marked = held.join(broadcast_if_small(firsts), "component").withColumn("again", place != F.col("first"))
     return _runs(marked, least_words).select(F.col("key").alias(key), "number", "words", F.col("first.key").alias("component_doc"), F.col("first.number").alias("component_number"), "removed")
 
 
@@ -278,8 +279,8 @@ def _runs(marked: DataFrame, least_words: int) -> DataFrame:
     runs = runs.withColumn("together", F.sum("words").over(Window.partitionBy("key", "run")))
     gone = runs.withColumn("removed", F.col("together") >= least_words).drop("run", "together")
     every = written(gone.unionByName(marked.where("not again").withColumn("removed", F.lit(False))), "runs")
-    losing = every.where("removed").select("component").distinct()
-    return every.join(losing, "component", "left_semi")
+    losing = written(every.where("removed").select("component").distinct(), "losing")
+    return every.join(broadcast_if_small(losing), "component", "left_semi")
 
 
 def cut_paragraphs(text: bytes, gone: set[int]) -> str:

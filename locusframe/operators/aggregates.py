@@ -68,3 +68,49 @@ def standardised(rows: DataFrame, columns: list[str], fit: DataFrame | None = No
     stats = fit.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
     joined = rows.join(F.broadcast(stats))  # one row
     return joined.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")) for c in columns}).drop(*stats.columns)
+
+
+def class_distribution(rows: DataFrame, group: str, label: str) -> DataFrame:
+    """(group, n, positives, pct): sizes, positives and share of all rows."""
+    counts = rows.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("positives"))
+    return counts.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row a group
+
+
+def extents(rows: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
+    """First and last position and number of rows of each group."""
+    return rows.groupBy(*by).agg(F.min(pos).alias("start"), F.max(pos).alias("stop"), F.count("*").alias("n"))
+
+
+def max_with_fallback(rows: DataFrame, group: str, value: str, primary: Column, default: int, least: int = 100) -> DataFrame:
+    """(group, value): the greatest primary value, else the greatest of all, else ``default``; never under ``least``."""
+    best = F.coalesce(F.max(F.when(primary, F.col(value))), F.max(value), F.lit(default))
+    return rows.groupBy(group).agg(F.greatest(best, F.lit(least)).alias(value))
+
+
+def imbalance_weight(rows: DataFrame, label: str) -> DataFrame:
+    """(weight): negatives over positives, null without positives."""
+    counts = rows.agg(F.count_if(F.col(label) == 0).alias("q"), F.count_if(F.col(label) == 1).alias("p"))
+    return counts.select(F.expr("try_divide(q, p)").alias("weight"))
+
+
+def off_primary(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
+    """(group, kinds, off): distinct values and rows off the most frequent one, of groups with several values."""
+    primary = mode_by(rows, group, value, order).select(group, F.col(value).alias("_p"))
+    found = rows.join(primary, group).groupBy(group).agg(F.countDistinct(value).alias("kinds"), F.count_if(F.col(value) != F.col("_p")).alias("off"))
+    return found.where("kinds > 1")
+
+
+def snapshot_agreement(old: DataFrame, new: DataFrame, key: list[str], compared: list[str]) -> DataFrame:
+    """(shared, only_old, only_new, <column>_same, ...) of two tables with one row a key."""
+    a = old.select(*key, F.struct(*compared).alias("_a"))
+    b = new.select(*key, F.struct(*compared).alias("_b"))
+    both = a.join(b, key, "full")
+    in_a, in_b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+    same = [F.count_if(in_a & in_b & F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}"))).alias(f"{c}_same") for c in compared]
+    return both.agg(F.count_if(in_a & in_b).alias("shared"), F.count_if(in_a & ~in_b).alias("only_old"), F.count_if(~in_a & in_b).alias("only_new"), *same)
+
+
+def order_breaks(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """(by, breaks): how often ``value`` falls from one row to the next in ``order``."""
+    before = F.lag(value).over(Window.partitionBy(*by).orderBy(*order))
+    return rows.select(*by, (F.col(value) < before).alias("_down")).groupBy(*by).agg(F.count_if("_down").alias("breaks"))

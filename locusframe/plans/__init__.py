@@ -1 +1,3 @@
-"""plans of the library."""
+"""plans of the library: importing it registers all queries."""
+
+from locusframe.plans import queries, table_queries  # noqa: F401

@@ -33,8 +33,8 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The paragraphs of documents that repeat, and which of them go."""
-    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    """The paragraphs of documents that repeat, and which of them go; and all words of repeats of over 50 words."""
+    return substring_dedup.passages_and_spans(table(spark, sf_dir, "documents"))
 
 
 def op4_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

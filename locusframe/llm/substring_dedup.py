@@ -7,6 +7,10 @@ whatever stands before it, and all but its edges meets its copies.
 Paragraphs of distinct text are banded: BANDS keys of ROWS minima each over their five-word shingles. At the similarity
 0.8 a pair shares a key with probability 1 - (1 - 0.8^2)^5 = 0.994. Pairs that share a key are verified by their exact
 Jaccard similarity; components of what is left are the classes.
+
+Passages that no mark or line end cuts are found by their words alone: every window of LEAST_RUN words belongs to the
+least of its GRAM-word hashes, so equal windows have equal anchors wherever they stand. Windows are looked at one by one
+only where anchors repeat and their surroundings differ; no repeated window is lost.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import broadcast_if_small, text_batches, written
@@ -29,6 +33,9 @@ SENTENCE = 8
 #: A run of paragraphs that repeat goes if it has this many words together; shorter ones are everyday phrases.
 LEAST_WORDS = 30
 BLOCK_ROWS = 2048
+#: Each repeat of so many words in a row goes, however it is punctuated ("over 50 words").
+LEAST_RUN = 51
+GRAM = 16
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MARKS = (b".", b"!", b"?")
@@ -120,10 +127,64 @@ class Paragraphs:
         return [np.unique(hashes[self.starts[i] : self.starts[i] + self.lengths[i] - SHINGLE + 1]) for i in chosen.tolist()]
 
 
+class Windows:
+    """The windows of LEAST_RUN words of a few texts, in blocks: windows in a row that have the same anchor.
+
+    ``doc`` (which text), ``start`` (first word in it), ``n`` windows, and hashes: ``anchor``, and ``block`` of all words
+    from the first window's first to the last window's last.
+    """
+
+    def __init__(self, texts: list[bytes | None]):
+        words = [(t or b"").split() for t in texts]
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        self.first = np.cumsum(lengths) - lengths
+        n = int(lengths.sum())
+        self.hashes = np.zeros(0, np.uint64)
+        self.doc = self.start = self.n = np.zeros(0, np.int64)
+        self.anchor = self.block = np.zeros(0, np.uint64)
+        if n < LEAST_RUN:
+            return
+        grams = _mixed(np.fromiter((_codes[w] for ws in words for w in ws), np.uint64, n) >> np.uint64(1))
+        width = 1
+        while width < GRAM:
+            grams = _mixed(grams[:-width] * _ODD + grams[width:])
+            width *= 2
+        count = n - LEAST_RUN + 1
+        self.hashes = grams[:count]
+        for at in (GRAM, 2 * GRAM, LEAST_RUN - GRAM):
+            self.hashes = _mixed(self.hashes * _ODD + grams[at : at + count])
+        # the first place of the least hash among the window's grams
+        least, place, reach, width = grams, np.arange(len(grams)), LEAST_RUN - GRAM + 1, 1
+        while width < reach:
+            step = min(width, reach - width)
+            less = least[step:] < least[:-step]
+            least, place = np.where(less, least[step:], least[:-step]), np.where(less, place[step:], place[:-step])
+            width += step
+        doc = np.repeat(np.arange(len(texts)), lengths)
+        inside = np.flatnonzero(doc[:count] == doc[LEAST_RUN - 1 :])
+        if not len(inside):
+            return
+        anchors = place[inside]
+        begin = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+        low, high, anchors = inside[begin], inside[np.append(begin[1:], len(inside)) - 1], anchors[begin]
+        self.doc, self.n, self.anchor = doc[low], high - low + 1, grams[anchors]
+        self.start = low - self.first[self.doc]
+        self.block = _mixed(_mixed(self.hashes[low] * _ODD + self.hashes[high]) + (self.n << 6 | anchors - low).astype(np.uint64))
+
+    def of(self, doc: int, start: int, n: int) -> np.ndarray:
+        """The hashes of ``n`` windows of a text."""
+        at = self.first[doc] + start
+        return self.hashes[at : at + n]
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def _source(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return source, source.schema["key"].dataType.simpleString()
@@ -283,53 +344,114 @@ def _runs(marked: DataFrame, least_words: int) -> DataFrame:
     return every.join(broadcast_if_small(losing), "component", "left_semi")
 
 
-def cut_paragraphs(text: bytes, gone: set[int]) -> str:
-    """The text without the paragraphs of the given numbers, and without lines that this empties."""
-    number, lines = 0, []
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, _lf_text, start, stop, origin): the words of each text that stand in an earlier place too, LEAST_RUN or more in a row.
+
+    A place is earlier by key (null last), text hash ``_lf_text`` and word; ``origin`` is the key where the span's first
+    words stand first. Of every window of LEAST_RUN words (A-Z as a-z) that repeats, all but the first go, and so do all
+    words they cover; a repeat that overlaps the first in the same text stays. Rows that repeat a key and text are one.
+    First anchors that stand in one place are dropped; then equal blocks are settled as one row each; only blocks whose
+    anchor has other surroundings elsewhere are opened to their windows.
+    """
+    source = docs.select(F.col(key).alias("key"), _text_hash(text).alias("th"), F.col(text).cast("string").alias("text"))
+    kind = source.schema["key"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches, 2):
+            found = Windows(texts)
+            doc = pa.array(found.doc)
+            numbers = [pa.array(x.astype(np.int32)) for x in (found.start, found.n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), *numbers, _signed(found.anchor), _signed(found.block)], ["key", "th", "start", "n", "anchor", "block"])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches, 2):
+            found = Windows(texts)
+            asked = [(i, b["start"], b["n"]) for i, own in enumerate(batch.column(3).to_pylist()) for b in own]
+            doc = pa.array([i for i, _, n in asked for _ in range(n)], pa.int64())
+            start = pa.array([at + k for _, at, n in asked for k in range(n)], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), start, _signed(np.concatenate([np.zeros(0, np.uint64), *[found.of(*a) for a in asked]]))], ["key", "th", "start", "window"])
+
+    place = F.struct(F.col("key").isNull().alias("last"), "key", "th", "start")
+    later = ~(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("th") == F.col("first.th")) & (F.col("start") - F.col("first.start") < LEAST_RUN))
+    blocks = written(source.mapInArrow(cut, f"key {kind}, th bigint, start int, n int, anchor bigint, block bigint"), "blocks")
+    where = F.xxhash64("key", "th", "start")
+    anchors = blocks.groupBy("anchor").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.min("block").alias("c"), F.max("block").alias("d"))
+    anchors = written(anchors.where("a <> b").select("anchor", F.expr("c <> d").alias("differ")), "anchors")
+    held = written(blocks.join(broadcast_if_small(anchors, 1_000_000), "anchor").drop("anchor"), "anchored")
+    firsts = written(held.groupBy("block").agg(F.min(place).alias("first")), "firsts")
+    judged = written(held.join(broadcast_if_small(firsts), "block").withColumn("later", later), "judged")
+    whole = judged.where("later").select("key", "th", "start", (F.col("start") + F.col("n") + (LEAST_RUN - 1)).alias("stop"), F.col("first.key").alias("origin"))
+    asked = judged.where("differ and not later").groupBy("key", "th").agg(F.collect_list(F.struct("start", "n")).alias("blocks"))
+    asked = written(asked.select(F.col("key").alias("_k"), F.col("th").alias("_t"), "blocks"), "asked")
+    texts = source.join(asked, source["key"].eqNullSafe(asked["_k"]) & (source["th"] == asked["_t"])).select("key", "th", "text", "blocks")
+    windows = written(texts.mapInArrow(opened, f"key {kind}, th bigint, start int, window bigint"), "windows")
+    twice = windows.groupBy("window").agg(F.min(place).alias("first"), F.min(where).alias("a"), F.max(where).alias("b"))
+    twice = written(twice.where("a <> b").select("window", "first"), "twice")
+    single = windows.join(broadcast_if_small(twice), "window").where(later).select("key", "th", "start", (F.col("start") + LEAST_RUN).alias("stop"), F.col("first.key").alias("origin"))
+    before = Window.partitionBy("key", "th").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("key", "th").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
+    every = whole.unionByName(single).withColumn("new", F.when(F.col("start") <= F.max("stop").over(before), 0).otherwise(1))
+    spans = every.withColumn("span", F.sum("new").over(upto)).groupBy("key", "th", "span")
+    merged = spans.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("origin", "start").alias("origin"))
+    return merged.select(F.col("key").alias(key), F.col("th").alias("_lf_text"), "start", "stop", "origin")
+
+
+def passages_and_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``repeated_passages`` and ``repeated_spans`` in one table; a span has ``first_word`` instead of paragraph numbers."""
+    spans = written(repeated_spans(docs, key, text), "spans")
+    rows = spans.select(key, F.lit(None).cast("int").alias("number"), (F.col("stop") - F.col("start")).alias("words"), F.col("origin").alias("component_doc"), F.lit(None).cast("int").alias("component_number"), F.lit(True).alias("removed"), F.col("start").alias("first_word"))
+    return repeated_passages(docs, key, text).withColumn("first_word", F.lit(None).cast("int")).unionByName(rows)
+
+
+def cut_passages(text: bytes, gone: set[int], spans: list[tuple[int, int]] = ()) -> str:
+    """The text without the paragraphs of the given numbers and the given words, and without lines that this empties."""
+    found = Paragraphs([text])
+    stays = np.repeat(~np.isin(found.number, list(gone)), found.lengths)
+    for start, stop in spans:
+        stays[start:stop] = False
+    first, lines = 0, []
     for line in text.split(b"\n"):
         words = line.split()
-        if not words:
+        own = stays[first : first + len(words)].tolist()
+        first += len(words)
+        if all(own):
             lines.append(line)
             continue
-        kept, since, at, begin, cut = [], 0, 0, 0, False
-        for i, word in enumerate(words):
-            at = line.index(word, at) + len(word)
-            since, last = since + 1, i == len(words) - 1
-            if last or word.endswith(_MARKS):
-                if last or since >= SENTENCE:
-                    stop = len(line) if last else at
-                    if number in gone:
-                        cut = True
-                    else:
-                        kept.append(line[begin:stop])
-                    begin, number = stop, number + 1
-                since = 0
-        if kept or not cut:
+        kept, at = [], 0
+        for i, (word, stay) in enumerate(zip(words, own, strict=True)):
+            begin, at = at, line.index(word, at) + len(word)
+            if stay:
+                kept.append(line[begin : len(line) if i == len(words) - 1 else at])
+        if kept:
             out = b"".join(kept)
-            lines.append(out.lstrip(b" ") if cut and not line.startswith(b" ") else out)
+            lines.append(out if line.startswith(b" ") else out.lstrip(b" "))
     return b"\n".join(lines).decode()
 
 
 def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", least: float = 0.8, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the removed paragraphs cut out of their texts, all rows and columns kept.
+    """``docs`` with the removed paragraphs and repeated spans cut out of their texts, all rows and columns kept.
 
     ``length`` names a column that is set to the new text's length in characters. Documents without removals pass as
-    they are. Only the numbers of removed paragraphs are joined to the documents.
+    they are. Only the numbers of removed paragraphs and the bounds of spans are joined to the documents.
     """
     found = repeated_passages(docs, key, text, least, least_words).where("removed")
     gone = written(found.groupBy(key).agg(F.collect_set("number").alias("_lf_gone")).withColumnRenamed(key, "_lf_key"), "removals")
+    spans = repeated_spans(docs, key, text).groupBy(F.col(key).alias("_lf_span_key"), F.col("_lf_text").alias("_lf_span_text")).agg(F.collect_list(F.struct("start", "stop")).alias("_lf_spans"))
+    spans = written(spans, "spans")
     joined = docs.join(gone, docs[key].eqNullSafe(gone["_lf_key"]), "left").drop("_lf_key")
+    joined = joined.join(spans, docs[key].eqNullSafe(spans["_lf_span_key"]) & (_text_hash(text) == spans["_lf_span_text"]), "left")
     names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = joined.select(*[joined[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("_lf_gone").alias("gone"))
+    plain = joined.select(*[joined[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("_lf_gone").alias("gone"), F.col("_lf_spans").alias("spans"))
     at = docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, at):
-            new = [cut_paragraphs(t, set(g)) if t is not None else None for t, g in zip(texts, batch.column(len(names)).to_pylist(), strict=True)]
+            gone, spans = (batch.column(len(names) + k).to_pylist() for k in (0, 1))
+            new = [cut_passages(t, set(g or ()), [(x["start"], x["stop"]) for x in s or ()]) if t is not None else None for t, g, s in zip(texts, gone, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names)
 
-    changed = plain.where("gone is not null").mapInArrow(cut, ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True)))
-    rest = plain.where("gone is null").select(names)
+    changed = plain.where("gone is not null or spans is not null").mapInArrow(cut, ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True)))
+    rest = plain.where("gone is null and spans is null").select(names)
     if length in docs.columns:
         changed = changed.withColumn(names[docs.columns.index(length)], F.length(names[at]).cast(docs.schema[length].dataType))
     return rest.unionByName(changed).toDF(*docs.columns)

@@ -10,7 +10,7 @@ from locusframe.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the default policy of the rule ledger keeps."""
+    """Documents that the filter policy of the rule ledger keeps."""
     return quality_rules.keep_good(docs)
 
 

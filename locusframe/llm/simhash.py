@@ -165,6 +165,12 @@ def near_links(fps: DataFrame, most: int = 4, block_rows: int = BLOCK_ROWS) -> D
     return dealt.select("bucket", "x", "y", "fp", "asks").mapInArrow(compare, "a bigint, b bigint")
 
 
+def _classes(distinct: DataFrame, most: int) -> DataFrame:
+    """``distinct`` (a row a fingerprint) with ``class``, the same for all fingerprints that links connect."""
+    linked = connected_components(near_links(distinct.select("fp"), most), "a", "b")
+    return distinct.join(linked, distinct["fp"] == linked["node"], "left").withColumn("class", F.coalesce("component", "fp"))
+
+
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 4) -> DataFrame:
     """One row a document: key, fingerprint (16 hex digits) and component_id, the least key it is linked with.
 
@@ -174,16 +180,34 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     prints = written(fingerprints(docs, key, text), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    linked = connected_components(near_links(distinct.select("fp"), most), "a", "b")
-    classes = distinct.join(linked, distinct["fp"] == linked["node"], "left").withColumn("class", F.coalesce("component", "fp"))
+    classes = _classes(distinct, most)
     least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
     named = classes.select("fp", "class").join(least, "class").select("fp", "component_id")
     return prints.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 4) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, that with the least key; all columns kept."""
-    found = simhash_components(docs, key, text, most)
-    gone = written(found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct(), "gone")
-    side = broadcast_if_small(gone.withColumnRenamed(key, "_lf_gone"))
-    return docs.join(side, docs[key].eqNullSafe(side["_lf_gone"]), "left_anti")
+    """``docs`` with one document of each group of near-duplicates, that with the least key; all columns kept.
+
+    A document is its key and its text's hash, so other texts under the same key (null too, which comes last) stay. Rows
+    that repeat the one that stays are rare: they are looked at only if there are any.
+    """
+    body = F.xxhash64(F.col(text).cast("string"))
+    named = docs.select(F.struct(F.col(key).alias("key"), body.alias("body")).alias("who"), F.col(text).alias("text"))
+    prints = written(fingerprints(named, "who", "text").select("who.key", "who.body", "fp"), "fingerprints")
+    place = F.struct(F.col("key").isNull().alias("last"), "key", "fp", "body")
+    distinct = written(prints.groupBy("fp").agg(F.min(place).alias("least")), "distinct")
+    classes = _classes(distinct, most)
+    firsts = classes.groupBy("class").agg(F.min("least").alias("first"))
+    marked = prints.join(classes.select("fp", "class").join(firsts, "class").select("fp", "first"), "fp")
+    stays = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("fp") == F.col("first.fp")) & (F.col("body") == F.col("first.body"))
+    told = written(marked.groupBy(F.col("key").alias("_lf_key"), F.col("body").alias("_lf_text")).agg(F.first(stays).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "gone")
+    whole = docs.withColumn("_lf_body", body)
+    pairs = lambda side: whole[key].eqNullSafe(side["_lf_key"]) & (whole["_lf_body"] == side["_lf_text"])
+    gone, repeated = (told.where(w).select("_lf_key", "_lf_text") for w in ("not stays", "stays"))
+    if repeated.isEmpty():
+        return whole.join(broadcast_if_small(gone), pairs(gone), "left_anti").select(docs.columns)
+    every = told.select("_lf_key", "_lf_text")
+    kept = whole.join(broadcast_if_small(every), pairs(every), "left_anti").select(docs.columns)
+    once = whole.join(broadcast_if_small(repeated), pairs(repeated), "left_semi").dropDuplicates([key, "_lf_body"]).select(docs.columns)
+    return kept.unionByName(once)

@@ -208,16 +208,17 @@ def band_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, number, words, name) of every paragraph of SHINGLE words or more; documents without a key are left out."""
-    source, kind = _source(docs.where(F.col(key).isNotNull()), key, text)
+    """(key, th, number, words, name) of every paragraph of SHINGLE words or more, th telling texts under one key apart; documents without a key are left out."""
+    source = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), _text_hash(text).alias("th"))
+    kind = source.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, 1):
             found = Paragraphs(texts)
             c = np.flatnonzero(found.lengths >= SHINGLE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found.doc[c])), pa.array(found.number[c].astype(np.int32)), pa.array(found.lengths[c].astype(np.int32)), _signed(found.names()[c])], ["key", "number", "words", "name"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found.doc[c])), batch.column(2).take(pa.array(found.doc[c])), pa.array(found.number[c].astype(np.int32)), pa.array(found.lengths[c].astype(np.int32)), _signed(found.names()[c])], ["key", "th", "number", "words", "name"])
 
-    return source.mapInArrow(run, f"key {kind}, number int, words int, name bigint")
+    return source.mapInArrow(run, f"key {kind}, th bigint, number int, words int, name bigint")
 
 
 def shingle_sets(docs: DataFrame, every: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,23 +322,28 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     have no paragraphs, nor have texts of under five words; documents with a null key are left alone; rows that repeat a
     key and text count once. Equal texts are known by 64-bit hashes (a chance of n^2 / 2^65 of any mix-up).
     """
+    return _passages(docs, key, text, least, least_words).drop("_lf_text")
+
+
+def _passages(docs: DataFrame, key: str, text: str, least: float, least_words: int) -> DataFrame:
+    """``repeated_passages`` with the text's hash ``_lf_text``."""
     every = written(occurrences(docs, key, text), "paragraphs")
     linked = connected_components(near_paragraphs(docs, every, key, text, least), "a", "b")
     copied = every.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     wanted = written(copied.unionByName(linked.select(F.col("node").alias("name"))).distinct().join(linked, F.col("name") == linked["node"], "left").select("name", F.coalesce("component", "name").alias("component")), "wanted")
-    held = written(every.join(broadcast_if_small(wanted, 1_000_000), "name").select("key", "number", "words", "component").distinct(), "held")
-    place = F.struct("key", "number")
+    held = written(every.join(broadcast_if_small(wanted, 1_000_000), "name").select("key", "th", "number", "words", "component").distinct(), "held")
+    place = F.struct("key", "th", "number")
     # written sides, here and in _runs: each join's shuffle is apart from the sums', so that Spark can split a large component
     firsts = written(held.groupBy("component").agg(F.min(place).alias("first")), "firsts")
     marked = held.join(broadcast_if_small(firsts), "component").withColumn("again", place != F.col("first"))
-    return _runs(marked, least_words).select(F.col("key").alias(key), "number", "words", F.col("first.key").alias("component_doc"), F.col("first.number").alias("component_number"), "removed")
+    return _runs(marked, least_words).select(F.col("key").alias(key), F.col("th").alias("_lf_text"), "number", "words", F.col("first.key").alias("component_doc"), F.col("first.number").alias("component_number"), "removed")
 
 
 def _runs(marked: DataFrame, least_words: int) -> DataFrame:
-    """``marked`` with ``removed``, without the components that lose nothing. Runs are found inside a document."""
-    ordered = Window.partitionBy("key").orderBy("number")
+    """``marked`` with ``removed``, without the components that lose nothing. Runs are found inside a document's text."""
+    ordered = Window.partitionBy("key", "th").orderBy("number")
     runs = marked.where("again").withColumn("run", F.col("number") - F.dense_rank().over(ordered))
-    runs = runs.withColumn("together", F.sum("words").over(Window.partitionBy("key", "run")))
+    runs = runs.withColumn("together", F.sum("words").over(Window.partitionBy("key", "th", "run")))
     gone = runs.withColumn("removed", F.col("together") >= least_words).drop("run", "together")
     every = written(gone.unionByName(marked.where("not again").withColumn("removed", F.lit(False))), "runs")
     losing = written(every.where("removed").select("component").distinct(), "losing")
@@ -434,11 +440,11 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     ``length`` names a column that is set to the new text's length in characters. Documents without removals pass as
     they are. Only the numbers of removed paragraphs and the bounds of spans are joined to the documents.
     """
-    found = repeated_passages(docs, key, text, least, least_words).where("removed")
-    gone = written(found.groupBy(key).agg(F.collect_set("number").alias("_lf_gone")).withColumnRenamed(key, "_lf_key"), "removals")
+    found = _passages(docs, key, text, least, least_words).where("removed")
+    gone = written(found.groupBy(F.col(key).alias("_lf_key"), "_lf_text").agg(F.collect_set("number").alias("_lf_gone")), "removals")
     spans = repeated_spans(docs, key, text).groupBy(F.col(key).alias("_lf_span_key"), F.col("_lf_text").alias("_lf_span_text")).agg(F.collect_list(F.struct("start", "stop")).alias("_lf_spans"))
     spans = written(spans, "spans")
-    joined = docs.join(gone, docs[key].eqNullSafe(gone["_lf_key"]), "left").drop("_lf_key")
+    joined = docs.join(gone, docs[key].eqNullSafe(gone["_lf_key"]) & (_text_hash(text) == gone["_lf_text"]), "left").drop("_lf_key", "_lf_text")
     joined = joined.join(spans, docs[key].eqNullSafe(spans["_lf_span_key"]) & (_text_hash(text) == spans["_lf_span_text"]), "left")
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = joined.select(*[joined[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("_lf_gone").alias("gone"), F.col("_lf_spans").alias("spans"))

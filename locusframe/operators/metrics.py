@@ -6,6 +6,8 @@ that share a score.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,17 +44,34 @@ def threshold_metrics(rows: DataFrame, score: str = "score", label: str = "label
     return c.select("tp", "fp", "fn", "tn", share("tp + tn", "tp + fp + fn + tn").alias("accuracy"), share("tp", "tp + fp").alias("precision"), share("tp", "tp + fn").alias("recall"), share("tn", "tn + fp").alias("specificity"), share("2 * tp", "2 * tp + fp + fn").alias("f1"))
 
 
-def bootstrap_interval(rows: DataFrame, key: str, score: str = "score", label: str = "label", replicates: int = 100, seed: int = 7) -> DataFrame:
-    """(auc_low, auc_high, ap_low, ap_high): 95 % intervals over replicates with Poisson(1) weights from a seeded hash.
+def _poisson_steps() -> list[float]:
+    """P(X <= k) of Poisson(1), as far as a double tells them apart."""
+    steps, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 64):
+        if total + term == total:
+            break
+        total += term
+        steps.append(total)
+        term /= k
+    return [s for s in steps if s < 1]
+
+
+def bootstrap_interval(rows: DataFrame, key: str, score: str = "score", label: str = "label", replicates: int = 200, seed: int = 7) -> DataFrame:
+    """(auc, ap, auc_low, auc_high, ap_low, ap_high): estimates over all rows, and 95 % intervals over replicates with Poisson(1) weights from a seeded hash.
 
     Weights are drawn a row and replicate and summed to scores at once; replicates with one class only don't count.
+    With one class in all rows, or none, the areas are 0.5 and the precisions 0; without any replicate bounds are the estimates.
     """
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003.0
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]  # cumulative Poisson(1)
-    weight = sum((F.when(u > s, 1).otherwise(0) for s in steps[1:]), F.when(u > steps[0], 1).otherwise(0))
+    u = (F.shiftrightunsigned(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    first, *steps = _poisson_steps()
+    weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.when(u > first, 1).otherwise(0))
     spread = rows.select(key, score, label, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     found = ranking(spread, score, label, ["replicate"], weight).where("auc is not null")
-    return found.agg(*[F.percentile(m, F.lit(q)).alias(f"{m}_{n}") for m in ("auc", "ap") for n, q in (("low", 0.025), ("high", 0.975))])
+    bounds = found.agg(*[F.percentile(m, F.lit(q)).alias(f"{m}_{n}") for m in ("auc", "ap") for n, q in (("low", 0.025), ("high", 0.975))])
+    point = ranking(rows, score, label).select("auc", "ap")
+    both = bounds.join(F.broadcast(point))
+    bound = lambda m, n: F.when(F.col("auc").isNotNull(), F.coalesce(f"{m}_{n}", m)).otherwise(0.5 if m == "auc" else 0.0).alias(f"{m}_{n}")
+    return both.select(F.coalesce("auc", F.lit(0.5)).alias("auc"), F.coalesce("ap", F.lit(0.0)).alias("ap"), *[bound(m, n) for m in ("auc", "ap") for n in ("low", "high")])
 
 
 def shuffled_labels(rows: DataFrame, key: str, label: str = "label", seed: int = 11, blocks: int = 64) -> DataFrame:

@@ -315,7 +315,7 @@ def logreg(spark, sf_dir):
 
 @query()
 def gbt(spark, sf_dir):
-    return _learnt(spark, sf_dir, lambda a, b, c: models.boosted_scores(a, b, c, rounds=10))
+    return _learnt(spark, sf_dir, models.boosted_scores)
 
 
 @query()

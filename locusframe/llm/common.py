@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the contracts, [\x20\x09-\x0D]. ``bytes.split()`` splits at exactly these.
@@ -48,6 +48,29 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def text_code(text: Column) -> Column:
+    """A 64-bit hash of a text (null is empty), which with the row's key tells a row from others: n^2 / 2^65 of any mix-up under one key."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, told: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` without the rows that ``told`` names, all columns kept.
+
+    ``told`` is a written table (_lf_key, _lf_code, stays): rows with that key and ``text_code`` go, or where ``stays``
+    is true all but one of them go (rows that repeat the one that stays; rare, so looked at only if there are any). The
+    counted number of rows is broadcast if small, else both sides are sorted. Null keys are keys like others.
+    """
+    coded = docs.withColumn("_lf_own", text_code(F.col(text)))
+    pairs = lambda side: coded[key].eqNullSafe(side["_lf_key"]) & (coded["_lf_own"] == side["_lf_code"])
+    gone, repeated = (told.where(w).select("_lf_key", "_lf_code") for w in ("not stays", "stays"))
+    if repeated.isEmpty():
+        return coded.join(broadcast_if_small(gone), pairs(gone), "left_anti").select(docs.columns)
+    every = told.select("_lf_key", "_lf_code")
+    kept = coded.join(broadcast_if_small(every), pairs(every), "left_anti").select(docs.columns)
+    once = coded.join(broadcast_if_small(repeated), pairs(repeated), "left_semi").dropDuplicates([key, "_lf_own"]).select(docs.columns)
+    return kept.unionByName(once)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``limit`` bytes of text at most (one row at least)."""
     for batch in batches:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import broadcast_if_small, text_batches, written
+from locusframe.llm.common import broadcast_if_small, text_batches, text_code, without, written
 from locusframe.llm.components import connected_components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z only
@@ -192,22 +192,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
     A document is its key and its text's hash, so other texts under the same key (null too, which comes last) stay. Rows
     that repeat the one that stays are rare: they are looked at only if there are any.
     """
-    body = F.xxhash64(F.col(text).cast("string"))
-    named = docs.select(F.struct(F.col(key).alias("key"), body.alias("body")).alias("who"), F.col(text).alias("text"))
-    prints = written(fingerprints(named, "who", "text").select("who.key", "who.body", "fp"), "fingerprints")
-    place = F.struct(F.col("key").isNull().alias("last"), "key", "fp", "body")
+    named = docs.select(F.struct(F.col(key).alias("key"), text_code(F.col(text)).alias("code")).alias("who"), F.col(text).alias("text"))
+    prints = written(fingerprints(named, "who", "text").select("who.key", "who.code", "fp"), "fingerprints")
+    place = F.struct(F.col("key").isNull().alias("last"), "key", "fp", "code")
     distinct = written(prints.groupBy("fp").agg(F.min(place).alias("least")), "distinct")
     classes = _classes(distinct, most)
     firsts = classes.groupBy("class").agg(F.min("least").alias("first"))
     marked = prints.join(classes.select("fp", "class").join(firsts, "class").select("fp", "first"), "fp")
-    stays = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("fp") == F.col("first.fp")) & (F.col("body") == F.col("first.body"))
-    told = written(marked.groupBy(F.col("key").alias("_lf_key"), F.col("body").alias("_lf_text")).agg(F.first(stays).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "gone")
-    whole = docs.withColumn("_lf_body", body)
-    pairs = lambda side: whole[key].eqNullSafe(side["_lf_key"]) & (whole["_lf_body"] == side["_lf_text"])
-    gone, repeated = (told.where(w).select("_lf_key", "_lf_text") for w in ("not stays", "stays"))
-    if repeated.isEmpty():
-        return whole.join(broadcast_if_small(gone), pairs(gone), "left_anti").select(docs.columns)
-    every = told.select("_lf_key", "_lf_text")
-    kept = whole.join(broadcast_if_small(every), pairs(every), "left_anti").select(docs.columns)
-    once = whole.join(broadcast_if_small(repeated), pairs(repeated), "left_semi").dropDuplicates([key, "_lf_body"]).select(docs.columns)
-    return kept.unionByName(once)
+    stays = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("fp") == F.col("first.fp")) & (F.col("code") == F.col("first.code"))
+    told = marked.groupBy(F.col("key").alias("_lf_key"), F.col("code").alias("_lf_code")).agg(F.first(stays).alias("stays"), F.count("*").alias("n"))
+    return without(docs, written(told.where("not stays or n > 1"), "gone"), key, text)

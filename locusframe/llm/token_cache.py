@@ -74,43 +74,51 @@ def as_bytes(ids) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
-class MergeTable:
-    """Ranked merges of pairs of ids, and the merging of many words at once."""
+class IntTable:
+    """A fixed map of non-negative 64-bit numbers, looked up as arrays; ``none`` for what it doesn't hold."""
 
     _ODD = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, pairs: list[tuple[int, int]], merged: list[int]):
-        """``pairs`` in rank order; the pair of rank r becomes the id ``merged[r]``. A pair listed twice has its last rank, as in the library."""
-        ranks = {a << 32 | b: rank for rank, (a, b) in enumerate(pairs)}
-        self.merged = np.array([*merged, 0], dtype=np.int64)
-        self.none = len(merged)
-        self.bits = max(4, (4 * len(ranks)).bit_length())
+    def __init__(self, entries: dict[int, int], none: int):
+        self.none, self.bits = none, max(4, (4 * len(entries)).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.ranks = np.full(1 << self.bits, self.none, np.int64)
-        slots = self._slot(np.array(list(ranks), dtype=np.int64)).tolist()
-        for slot, (code, rank) in zip(slots, ranks.items(), strict=True):
+        self.values = np.full(1 << self.bits, none, np.int64)
+        slots = self._slot(np.array(list(entries), dtype=np.int64)).tolist()
+        for slot, (key, value) in zip(slots, entries.items(), strict=True):
             while self.keys[slot] >= 0:
                 slot = (slot + 1) & (1 << self.bits) - 1
-            self.keys[slot], self.ranks[slot] = code, rank
+            self.keys[slot], self.values[slot] = key, value
 
-    def _slot(self, codes: np.ndarray) -> np.ndarray:
-        return (codes.astype(np.uint64) * self._ODD >> np.uint64(64 - self.bits)).astype(np.int64)
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * self._ODD >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The rank of each pair, ``none`` for pairs that don't merge."""
-        codes = left << 32 | right
-        slots = self._slot(codes)
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        slots = self._slot(asked)
         keys = self.keys[slots]
-        out = np.where(keys == codes, self.ranks[slots], self.none)
-        open_ = np.flatnonzero((keys != codes) & (keys >= 0))
-        while len(open_):  # the next slots, for the few whose slot another pair holds
+        out = np.where(keys == asked, self.values[slots], self.none)
+        open_ = np.flatnonzero((keys != asked) & (keys >= 0))
+        while len(open_):  # the next slots, for the few whose slot another key holds
             slots[open_] = (slots[open_] + 1) & (1 << self.bits) - 1
             keys = self.keys[slots[open_]]
-            hit = keys == codes[open_]
-            out[open_[hit]] = self.ranks[slots[open_[hit]]]
+            hit = keys == asked[open_]
+            out[open_[hit]] = self.values[slots[open_[hit]]]
             open_ = open_[~hit & (keys >= 0)]
         return out
 
+
+class MergeTable:
+    """Ranked merges of pairs of ids, and the merging of many words at once."""
+
+    def __init__(self, pairs: list[tuple[int, int]], merged: list[int]):
+        """``pairs`` in rank order; the pair of rank r becomes the id ``merged[r]``. A pair listed twice has its last rank, as in the library."""
+        self.merged = np.array([*merged, 0], dtype=np.int64)
+        self.none = len(merged)
+        self.ranks = IntTable({a << 32 | b: rank for rank, (a, b) in enumerate(pairs)}, self.none)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, ``none`` for pairs that don't merge."""
+        return self.ranks(left << 32 | right)
+
     def merge(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, their numbers), from words given as first ids in a row and their numbers.
 
@@ -163,12 +171,24 @@ class TextEncoder:
         suffix = model["end_of_word_suffix"] or ""
         self.word_ends = bool(suffix)
         vocabulary = model["vocab"]
+        if max(vocabulary.values()) >= 1 << 31:
+            raise ValueError("ids of more than 31 bits")
         pairs = [p if not isinstance(p, str) else p.split(" ") for p in model["merges"]]
         self.table = MergeTable([(vocabulary[a], vocabulary[b]) for a, b in pairs], [vocabulary[a + b] for a, b in pairs])
         letters = byte_letters()
         self.first = np.array([vocabulary[x] for x in letters], dtype=np.int64)
         self.last = np.array([vocabulary[x + suffix] for x in letters], dtype=np.int64)
-        self.pieces = PieceCache(lambda piece: as_bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids))
+        self.pieces = PieceCache(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece that isn't plain."""
+        return as_bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
+    def _words(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, their numbers) of plain pre-tokens, given as bytes in a row and their numbers."""
+        ids, ends = self.first[data], np.cumsum(lengths) - 1
+        ids[ends] = self.last[data[ends]]
+        return self.table.merge(ids, lengths)
 
     def _split(self, texts: pa.Array) -> pa.ListArray:
         """The pieces of each text, null as empty."""
@@ -215,12 +235,8 @@ class TextEncoder:
             capital = (data >= 0x41) & (data <= 0x5A)
             follows = np.concatenate([[False], data[:-1] == 0xC3]) & (data >= 0x80) & (data <= 0x9E)
             data = data + (capital | follows) * np.uint8(0x20)
-        ids = self.first[data]
         at = np.flatnonzero(starts)
-        if len(data):
-            ends = np.append(at[1:], len(data)) - 1
-            ids[ends] = self.last[data[ends]]
-        ids, counts = self.table.merge(ids, np.diff(at, append=len(data)))
+        ids, counts = self._words(data, np.diff(at, append=len(data)))
         return plain, ids, np.bincount(owner[at], weights=counts, minlength=len(sizes)).astype(np.int64)
 
     def _distinct(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:

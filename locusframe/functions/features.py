@@ -38,8 +38,10 @@ def one_hots(ref: Column, alt: Column, strand: Column | None = None) -> dict[str
     return {f"{start}{n}_{b}": (turn(c) == b).cast("int") for n, c in (("ref", ref), ("alt", alt)) for b in BASES}
 
 
-def relative_position(pos: Column, length: Column) -> Column:
-    return F.when(pos <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), pos / length)))
+def relative_position(pos: Column, length: Column, kind: Column | None = None) -> Column:
+    """Place in the protein from 0 to 1; a position that isn't given is 0, of a lost stop 1 (with ``kind``)."""
+    unknown = F.lit(0.0) if kind is None else F.when(kind == "stop_lost", 1.0).otherwise(0.0)
+    return F.when(pos <= 0, unknown).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), pos / length)))
 
 
 def pair_table(spark: SparkSession) -> DataFrame:
@@ -52,9 +54,28 @@ def pair_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ref_aa string, alt_aa string, distance double, delta_charge double")
 
 
-def severity(kind: Column, distance: Column) -> Column:
-    """A pair's distance with its overrides: start lost 215, stop lost and stop gained 200, other non-missense 0."""
-    return F.when(kind == "start_lost", 215.0).when(kind.isin("stop_lost", "nonsense"), 200.0).when(kind == "missense", F.coalesce(distance, F.lit(100.0))).otherwise(0.0)
+def change_kind(kind: Column, ref_aa: Column, alt_aa: Column) -> Column:
+    """How a change counts in features: start_lost, stop_lost, exchange (two standard residues), stop, or null for no protein change."""
+    standard = list(GRANTHAM)
+    return (
+        F.when(kind.isin("start_lost", "stop_lost"), kind).when(ref_aa.isin(standard) & alt_aa.isin(standard), "exchange")
+        .when(F.coalesce(ref_aa == "*", F.lit(False)) | F.coalesce(alt_aa == "*", F.lit(False)) | (kind == "nonsense"), "stop")
+    )
+
+
+def severity(kind: Column, distance: Column, ref_aa: Column, alt_aa: Column) -> Column:
+    """A pair's distance (100 if unknown) with its overrides: start lost 215, stops 200, no protein change 0."""
+    change = change_kind(kind, ref_aa, alt_aa)
+    return F.when(change == "start_lost", 215.0).when(change.isin("stop_lost", "stop"), 200.0).when(change == "exchange", F.coalesce(distance, F.lit(100.0))).otherwise(0.0)
+
+
+def property_delta(change: Column, ref_value: Column, alt_value: Column, met_value: Column | float) -> Column:
+    """Alternative minus reference of a residue property: a lost start loses methionine, a lost stop gains a residue, a stop loses one."""
+    lost = F.lit(met_value) if not isinstance(met_value, Column) else met_value
+    return (
+        F.when(change == "start_lost", -lost).when(change == "stop_lost", F.coalesce(alt_value, F.lit(0.0)))
+        .when(change == "exchange", F.round(alt_value - ref_value, 3)).when(change == "stop", F.coalesce(-ref_value, F.lit(0.0))).otherwise(0.0)
+    )
 
 
 def centred_window(sequence: Column, pos: Column, longest: int = 1022) -> tuple[Column, Column]:
@@ -68,12 +89,17 @@ def residue_status(sequence: Column, pos: Column, ref: Column) -> Column:
     return F.when(sequence.isNull(), "missing").when((ref == "*") & (pos == F.length(sequence) + 1), "stop_site").when((pos < 1) | (pos > F.length(sequence)), "out_of_bounds").when(F.substring(sequence, pos, F.lit(1)) == ref, "matched").otherwise("mismatch")
 
 
-def base_entropy(sequence: Column) -> Column:
-    """1 - H / 2 of the base composition, 0 without bases."""
-    counts = [F.length(sequence) - F.length(F.replace(sequence, F.lit(b), F.lit(""))) for b in BASES]
-    total = counts[0] + counts[1] + counts[2] + counts[3]
+def base_counts(sequence: Column) -> Column:
+    """struct(a, c, g, t) of a text's bases; select it before ``base_entropy`` reads it, so that it is counted once."""
+    return F.struct(*[(F.length(sequence) - F.length(F.replace(sequence, F.lit(b), F.lit("")))).alias(b.lower()) for b in BASES])
+
+
+def base_entropy(counts: Column) -> Column:
+    """1 - H / 2 of a base composition (``base_counts``), 0.5 without bases."""
+    each = [F.coalesce(counts[b.lower()], F.lit(0)) for b in BASES]
+    total = each[0] + each[1] + each[2] + each[3]
     share = lambda c: F.when(c > 0, -(c / total) * F.log2(c / total)).otherwise(0.0)
-    return F.when(total > 0, 1 - (share(counts[0]) + share(counts[1]) + share(counts[2]) + share(counts[3])) / 2).otherwise(0.0)
+    return F.when(total > 0, 1 - (share(each[0]) + share(each[1]) + share(each[2]) + share(each[3])) / 2).otherwise(0.5)
 
 
 def motif_score(alt: Column) -> Column:
@@ -89,5 +115,7 @@ def logistic(logit: Column, scale: float = 1.0, bias: float = 0.0) -> Column:
 
 
 def masked_llr(scores: Column, ref: Column, alt: Column) -> Column:
-    """log p(alt) - log p(ref) of a position's score map; 0 if either is absent."""
-    return F.coalesce(F.try_element_at(scores, alt) - F.try_element_at(scores, ref), F.lit(0.0))
+    """struct(llr, available): log p(alt) - log p(ref) of a position's score map, 0 and 0 if either is absent; 'Ter' is '*'."""
+    key = lambda c: F.when(c == "Ter", "*").otherwise(c)
+    llr = F.try_element_at(scores, key(alt)) - F.try_element_at(scores, key(ref))
+    return F.struct(F.coalesce(llr, F.lit(0.0)).alias("llr"), llr.isNotNull().cast("int").alias("available"))

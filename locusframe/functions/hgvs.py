@@ -16,6 +16,7 @@ REVIEW_STARS = {
     "criteria provided, conflicting classifications": 1,
     "criteria provided, conflicting interpretations": 1,
 }
+# The patterns that define which names are understood.
 PROTEIN = r"\(p\.([A-Z][a-z]{2})(\d+)([A-Z][a-z]{2}|=|\*|\?)\)"
 FRAMESHIFT = r"\(p\.[A-Z][a-z]{2}\d+[A-Za-z]{0,3}fs"
 TRANSCRIPT = r"^[NX][MR]_\d+\.\d+"
@@ -117,6 +118,12 @@ def name_transcript(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, TRANSCRIPT, 0), F.lit(""))
 
 
+def substitution(name: Column) -> Column:
+    """struct(cpos, ref, alt) of a coding substitution, null for other names."""
+    part = lambda i: F.regexp_extract(name, SUBSTITUTION, i)
+    return F.when(name.rlike(SUBSTITUTION), F.struct(part(1).try_cast("int").alias("cpos"), part(2).alias("ref"), part(3).alias("alt")))
+
+
 def single_panel_hit(symbols: Column, panel: list[str]) -> Column:
     """The one symbol of the list that is in the panel; null for none, AMBIGUOUS for more."""
     hits = F.filter(F.split(symbols, ";"), lambda s: s.isin(panel))

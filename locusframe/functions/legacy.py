@@ -40,6 +40,11 @@ def risk_band(percent: Column) -> Column:
     return F.when(percent >= 85, "high").when(percent >= 50, "moderate_high").when(percent >= 20, "uncertain").otherwise("low")
 
 
+def first_bands(probability: Column) -> Column:
+    """Five bands of the first feature set, by a probability."""
+    return F.when(probability >= 0.90, "very_high").when(probability >= 0.65, "high").when(probability >= 0.35, "uncertain").when(probability >= 0.10, "low").otherwise("very_low")
+
+
 def exchange_severity(distance: Column) -> Column:
     """How radical an amino acid exchange is; null for no exchange."""
     return F.when(distance >= 100, "radical").when(distance >= 50, "moderate").when(distance > 0, "conservative")

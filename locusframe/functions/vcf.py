@@ -56,20 +56,25 @@ def allele_matches(told: Column, ref: Column, alt: Column, n_alts: Column) -> Co
 
 
 def first_annotation(info: Column, tag: str, fields: dict[str, int], ref: Column, alt: Column, n_alts: Column, panel: list[str]) -> Column:
-    """The first entry of CSQ or ANN for this allele with a symbol of the panel, as a struct of its fields; else null."""
+    """The first entry of CSQ or ANN for this allele with a symbol of the panel, as a struct of its fields; else null.
+
+    Symbols are compared and returned in upper case. The entry is bound once, in a lambda, so that the fields don't
+    repeat the search.
+    """
     entries = F.transform(F.split(info_value(info, tag), ","), lambda e: F.split(e, r"\|"))
-    fits = lambda e: F.coalesce(allele_matches(F.get(e, F.lit(0)), ref, alt, n_alts) & F.get(e, F.lit(fields["symbol"])).isin(panel), F.lit(False))
-    found = F.get(F.filter(entries, fits), F.lit(0))
-    made = F.struct(*[F.nullif(F.get(found, F.lit(i)), F.lit("")).alias(n) for n, i in fields.items()])
-    return F.when(found.isNotNull(), made)
+    symbol = lambda e: F.upper(F.get(e, F.lit(fields["symbol"])))
+    fits = lambda e: F.coalesce(allele_matches(F.upper(F.trim(F.get(e, F.lit(0)))), ref, alt, n_alts) & symbol(e).isin(panel), F.lit(False))
+    value = lambda e, n, i: symbol(e) if n == "symbol" else F.nullif(F.get(e, F.lit(i)), F.lit(""))
+    made = F.transform(F.filter(entries, fits), lambda e: F.struct(*[value(e, n, i).alias(n) for n, i in fields.items()]))
+    return F.get(made, F.lit(0))
 
 
 def splice_score(info: Column, ref: Column, alt: Column, n_alts: Column) -> Column:
     """The largest of four splice deltas over entries of this allele; entries with a bad number don't count."""
-    entries = F.transform(F.split(info_value(info, "SpliceAI"), ","), lambda e: F.split(e, r"\|"))
-    deltas = lambda e: F.transform(F.slice(e, 3, 4), lambda x: x.try_cast("double"))
-    whole = lambda e: (F.size(e) >= 6) & ~F.exists(deltas(e), lambda x: x.isNull()) & allele_matches(F.get(e, F.lit(0)), ref, alt, n_alts)
-    own = F.array_max(F.transform(F.filter(entries, whole), lambda e: F.array_max(deltas(e))))
+    fields = F.transform(F.split(info_value(info, "SpliceAI"), ","), lambda e: F.split(e, r"\|"))
+    parsed = F.transform(fields, lambda e: F.struct(F.get(e, F.lit(0)).alias("allele"), F.size(e).alias("n"), F.transform(F.slice(e, 3, 4), lambda x: x.try_cast("double")).alias("deltas")))
+    whole = lambda e: (e["n"] >= 6) & ~F.exists(e["deltas"], lambda x: x.isNull()) & allele_matches(e["allele"], ref, alt, n_alts)
+    own = F.array_max(F.transform(F.filter(parsed, whole), lambda e: F.array_max(e["deltas"])))
     tag = F.when(n_alts == 1, F.regexp_extract(info, r"(?i)(?:^|;)(?:SpliceAI_)?DS_MAX=([0-9.]+)", 1).try_cast("double"))
     return F.greatest(own, tag)
 

@@ -100,6 +100,43 @@ def off_primary(rows: DataFrame, group: str, value: str, order: str) -> DataFram
     return found.where("kinds > 1")
 
 
+def primary_flag(rows: DataFrame, group: str, value: str, order: str, name: str) -> DataFrame:
+    """``rows`` with 1 where their value is the group's most frequent one; an empty value is never it."""
+    told = rows.where(F.coalesce(F.col(value), F.lit("")) != "")
+    primary = mode_by(told, group, value, order).select(F.col(group).alias("_g"), F.col(value).alias("_p"))
+    return rows.join(primary, F.col(group) == F.col("_g"), "left").withColumn(name, F.coalesce(F.col(value) == F.col("_p"), F.lit(False)).cast("int")).drop("_g", "_p")
+
+
+def class_counts(rows: DataFrame, group: str, kind: str) -> DataFrame:
+    """(group, classes): a map of each class to its number of rows, classes in order of their names."""
+    each = rows.where(F.col(kind).isNotNull()).groupBy(group, kind).agg(F.count("*").alias("n"))
+    return each.groupBy(group).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(kind, "n")))).alias("classes"))
+
+
+def panel_rollup(derived: DataFrame, known: DataFrame, group: str, value: str) -> DataFrame:
+    """(groups, plus, minus, other, agreeing, agreement_pct) of a panel's derived values against a known list.
+
+    Groups that are not derived count as disagreeing.
+    """
+    both = known.select(group, F.col(value).alias("_k")).join(derived.select(group, F.col(value).alias("_d")), group, "left")
+    v = F.col("_d")
+    counts = both.agg(F.count("*").alias("groups"), F.count_if(v == "+").alias("plus"), F.count_if(v == "-").alias("minus"), F.count_if(~F.coalesce(v.isin("+", "-"), F.lit(False))).alias("other"), F.count_if(F.coalesce(v == F.col("_k"), F.lit(False))).alias("agreeing"))
+    return counts.withColumn("agreement_pct", F.expr("try_divide(100.0 * agreeing, groups)").cast("double"))
+
+
+def status_summary(rows: DataFrame, status: str = "residue_status") -> DataFrame:
+    """(total, matched, mismatched, out_of_bounds, missing, stop_site, rate) of residue checks; stop sites aren't asked."""
+    names = {"matched": "matched", "mismatched": "mismatch", "out_of_bounds": "out_of_bounds", "missing": "missing", "stop_site": "stop_site"}
+    counts = rows.agg(F.count("*").alias("total"), *[F.count_if(F.col(status) == v).alias(n) for n, v in names.items()])
+    return counts.withColumn("rate", F.expr("try_divide(matched, total - stop_site)"))
+
+
+def changed_classes(old: DataFrame, new: DataFrame, key: list[str], value: str) -> DataFrame:
+    """(before, after, n) of keys whose value differs between two snapshots."""
+    both = old.select(*key, F.col(value).alias("before")).join(new.select(*key, F.col(value).alias("after")), key)
+    return both.where(~F.col("before").eqNullSafe(F.col("after"))).groupBy("before", "after").agg(F.count("*").alias("n"))
+
+
 def snapshot_agreement(old: DataFrame, new: DataFrame, key: list[str], compared: list[str]) -> DataFrame:
     """(shared, only_old, only_new, <column>_same, ...) of two tables with one row a key."""
     a = old.select(*key, F.struct(*compared).alias("_a"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions import vcf
+from locusframe.functions.features import score_tier
 from locusframe.functions.hgvs import significance_tier
 
 LOSS = ("frameshift", "splice_acceptor", "splice_donor", "splice_canonical")
@@ -26,43 +27,54 @@ def split_alternatives(sites: DataFrame, gt: str = "gt", alts: str = "alts") ->
 
 
 def cascade() -> Column:
-    """struct(tier, source, score) of the first evidence that decides; source 'unresolved' is left for a model.
+    """struct(tier, source, score, notes) of the first evidence that decides; source 'unresolved' is left for a model.
 
     Reads af, significance, stars, consequence, splice and ref_aa. Order: common (af > 0.01), registry with two stars or
     more, loss of function, splice score (0.5, then 0.2), splice region without a residue.
     """
-    made = lambda tier, source, score: F.struct(F.lit(tier).alias("tier"), F.lit(source).alias("source"), F.lit(score).alias("score"))
+    made = lambda tier, source, score, notes: F.struct(F.lit(tier).alias("tier"), F.lit(source).alias("source"), F.lit(score).alias("score"), notes.alias("notes"))
     told = significance_tier(F.col("significance"))
     low = F.lower(F.coalesce(F.col("consequence"), F.lit("")))
+    splice = F.format_string("splice score %.2f", F.col("splice").cast("double"))
     return (
-        F.when(F.col("af") > 0.01, made("Benign", "frequency", 0.001))
-        .when((F.col("stars") >= 2) & F.col("significance").isNotNull(), F.struct(told["tier"].alias("tier"), F.lit("registry").alias("source"), told["score"].alias("score")))
-        .when(low.rlike("|".join(LOSS)), made("Likely Pathogenic", "loss_of_function", 0.95))
-        .when(F.col("splice") >= 0.5, made("Likely Pathogenic", "splice", 0.95))
-        .when(F.col("splice") >= 0.2, made("VUS", "splice", 0.5))
-        .when(low.contains("splice_region") & F.col("ref_aa").isNull(), made("VUS", "splice_region", 0.4))
-        .otherwise(made("Unscored", "unresolved", 0.0))
+        F.when(F.col("af") > 0.01, made("Benign", "frequency", 0.001, F.format_string("population frequency %.4f", F.col("af").cast("double"))))
+        .when((F.col("stars") >= 2) & F.col("significance").isNotNull(), F.struct(told["tier"].alias("tier"), F.lit("registry").alias("source"), told["score"].alias("score"), F.format_string("%s (%d stars)", "significance", "stars").alias("notes")))
+        .when(low.rlike("|".join(LOSS)), made("Likely Pathogenic", "loss_of_function", 0.95, F.col("consequence")))
+        .when(F.col("splice") >= 0.5, made("Likely Pathogenic", "splice", 0.95, splice))
+        .when(F.col("splice") >= 0.2, made("VUS", "splice", 0.5, splice))
+        .when(low.contains("splice_region") & F.col("ref_aa").isNull(), made("VUS", "splice_region", 0.4, F.col("consequence")))
+        .otherwise(made("Unscored", "unresolved", 0.0, F.lit(None).cast("string")))
     )
 
 
+def model_verdict(score: Column) -> Column:
+    """struct(tier, source, score, notes) of a model's calibrated score, for rows that the cascade leaves."""
+    return F.struct(score_tier(score).alias("tier"), F.lit("model").alias("source"), score.alias("score"), F.format_string("calibrated score %.4f", score).alias("notes"))
+
+
 def phase_states(calls: DataFrame, order: str, by: tuple[str, ...] = ("sample_id", "gene")) -> DataFrame:
     """(by, state) of each group of heterozygous calls: single, trans, cis or unphased.
 
-    Of repeated variants the last counts. A trans pair decides, then an unphased one. Only pairs inside a (sample, gene)
-    group of the few calls that reach this step are formed.
+    Of repeated variants the last counts. Two calls are in trans if one phase block has them on different haplotypes, or
+    if they are different alternatives of one site of which one call carries two or more. A trans pair decides, then a
+    pair that can't be told, then cis. No pairs are formed: blocks and sites are counted, so a group of any size is a
+    few sums.
     """
     key = ["chrom", "pos", "ref", "alt"]
     own = calls.groupBy(*by, *key).agg(F.max_by(F.struct("gt", "ps"), F.col(order)).alias("g"))
-    own = own.select(*by, F.struct(*key).alias("k"), F.col("g.ps").alias("ps"), vcf.phased_slot(F.col("g.gt")).alias("slot"), vcf.alternative_count(F.col("g.gt")).alias("n"))
-    a, b = own.alias("a"), own.alias("b")
-    pairs = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by] + [F.col("a.k") < F.col("b.k")])
-    locus = (F.col("a.k.chrom") == F.col("b.k.chrom")) & (F.col("a.k.pos") == F.col("b.k.pos")) & (F.col("a.k.alt") != F.col("b.k.alt")) & (F.greatest("a.n", "b.n") >= 2)
-    block = F.col("a.slot").isNotNull() & F.col("b.slot").isNotNull() & F.col("a.ps").eqNullSafe(F.col("b.ps"))
-    verdict = F.when(locus, "trans").when(block & (F.col("a.slot") != F.col("b.slot")), "trans").when(block, "cis").otherwise("unphased")
-    told = pairs.select(*[F.col(f"a.{c}").alias(c) for c in by], verdict.alias("v")).groupBy(*by)
-    states = told.agg(F.when(F.bool_or(F.col("v") == "trans"), "trans").when(F.bool_or(F.col("v") == "unphased"), "unphased").otherwise("cis").alias("state"))
-    groups = own.select(*by).distinct()
-    return groups.join(states, list(by), "left").withColumn("state", F.coalesce("state", F.lit("single")))
+    own = own.select(*by, *key, F.col("g.ps").alias("ps"), vcf.phased_slot(F.col("g.gt")).alias("slot"), vcf.alternative_count(F.col("g.gt")).alias("n"))
+    # what one site gives: calls whose slot is known by block, and whether two alternatives there exclude each other
+    sites = own.groupBy(*by, "chrom", "pos").agg((F.min("alt") != F.max("alt")).alias("_several"), F.max("n").alias("_most"), F.count("*").alias("_calls"))
+    # a pair at one site with other alternatives is trans if either call carries two alternatives
+    marked = sites.groupBy(*by).agg(F.bool_or(F.col("_several") & (F.col("_most") >= 2)).alias("_locus"), F.sum("_calls").alias("_all"))
+    blocks = own.where("slot is not null").groupBy(*by, "ps").agg(F.count("*").alias("_n"), (F.min("slot") != F.max("slot")).alias("_split"))
+    held = blocks.groupBy(*by).agg(F.bool_or("_split").alias("_trans"), F.max("_n").alias("_largest"))
+    found = marked.join(held, list(by), "left")
+    state = (
+        F.when(F.col("_all") == 1, "single").when(F.col("_locus") | F.coalesce("_trans", F.lit(False)), "trans")
+        .when(F.coalesce("_largest", F.lit(0)) < F.col("_all"), "unphased").otherwise("cis")
+    )
+    return found.select(*by, state.alias("state"))
 
 
 def resolve_recessive(verdicts: DataFrame, genes: list[str], order: str) -> DataFrame:

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.operators.ranks import running, with_range
+
 
 def _by_score(rows: DataFrame, score: str, label: str, by: list[str], weight: Column | None = None) -> DataFrame:
     w = F.lit(1) if weight is None else weight
@@ -20,11 +22,11 @@ def _by_score(rows: DataFrame, score: str, label: str, by: list[str], weight: Co
 def ranking(rows: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
     """(by, positives, negatives, auc, ap): exact ROC area with half credit for ties, and step-wise average precision; null with one class only."""
     by = by or []
-    sums = _by_score(rows, score, label, by, weight)
-    up = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    marked = sums.withColumns({"below": F.coalesce(F.sum("q").over(up), F.lit(0)), "tp": F.sum("p").over(down), "all": F.sum(F.col("p") + F.col("q")).over(down)})
-    out = marked.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"), F.sum(F.when(F.col("all") > 0, F.col("p") * F.col("tp") / F.col("all"))).alias("s"))
+    sums = with_range(_by_score(rows, score, label, by, weight), F.col(score))
+    up = running(sums, by, [F.col(score)], {"below": F.col("q")})
+    marked = running(up, by, [F.desc(score)], {"tp": F.col("p"), "all": F.col("p") + F.col("q")}, down=True)
+    tp, every = F.col("tp") + F.col("p"), F.col("all") + F.col("p") + F.col("q")
+    out = marked.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"), F.sum(F.when(every > 0, F.col("p") * tp / every)).alias("s"))
     both = (F.col("positives") > 0) & (F.col("negatives") > 0)
     return out.select(*by, "positives", "negatives", F.when(both, F.col("u") / (F.col("positives") * F.col("negatives"))).alias("auc"), F.when(both, F.col("s") / F.col("positives")).alias("ap"))
 
@@ -74,11 +76,12 @@ def bootstrap_interval(rows: DataFrame, key: str, score: str = "score", label: s
     return both.select(F.coalesce("auc", F.lit(0.5)).alias("auc"), F.coalesce("ap", F.lit(0.0)).alias("ap"), *[bound(m, n) for m in ("auc", "ap") for n in ("low", "high")])
 
 
-def shuffled_labels(rows: DataFrame, key: str, label: str = "label", seed: int = 11, blocks: int = 64) -> DataFrame:
-    """``rows`` with labels dealt anew inside hash blocks, by two independent orders."""
+def shuffled_labels(rows: DataFrame, key: str, label: str = "label", seed: int = 11, block_rows: int = 10_000) -> DataFrame:
+    """``rows`` with labels dealt anew inside hash blocks of about ``block_rows``, by two independent orders."""
+    blocks = max(1, -(-rows.count() // block_rows))
     block = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(blocks))
-    a = rows.withColumns({"_b": block}).withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.col(key), F.lit(seed + 1)))))
-    b = a.select("_b", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.col(key), F.lit(seed + 2)))).alias("_n"), F.col(label).alias("_l"))
+    a = rows.withColumns({"_b": block}).withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.col(key), F.lit(seed + 1)), key)))
+    b = a.select("_b", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.col(key), F.lit(seed + 2)), key)).alias("_n"), F.col(label).alias("_l"))
     return a.join(b, ["_b", "_n"]).withColumn(label, F.col("_l")).drop("_b", "_n", "_l")
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +56,27 @@ def platt(validation: DataFrame, logit: str, label: str = "label") -> DataFrame:
 
 
 def truncated_svd(rows: DataFrame, column: str, k: int = 16) -> DataFrame:
-    """(component, value): the leading singular values of an array column, not centred."""
-    matrix = RowMatrix(rows.select(array_to_vector(F.col(column).cast("array<double>")).alias("v")).rdd.map(lambda r: Vectors.dense(r["v"].toArray())))
-    return rows.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(matrix.computeSVD(k).s)], "component int, value double")
+    """(component, value): the leading singular values of an array column, not centred; rows without an array don't count.
+
+    Batches are summed to their matrix of products (width x width, whatever the rows), and those sums are added up.
+    """
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column(0).to_pylist(), dtype=np.float64)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["products"])
+
+    sums = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("array<double>")).mapInArrow(products, "products array<double>")
+    cells = sums.select(F.posexplode("products").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()  # width squared
+    width = math.isqrt(len(cells))
+    gram = np.zeros(len(cells))
+    for c in cells:
+        gram[c["i"]] = c["x"]
+    values = np.sqrt(np.maximum(np.linalg.eigvalsh(gram.reshape(width, width))[::-1][:k], 0.0)) if width else []
+    return rows.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(values)], "component int, value double")
 
 
 def score_batches(rows: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], output: str = "logit") -> DataFrame:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.functions import hgvs
+from locusframe.functions.features import complement
+from locusframe.functions.legacy import CODON_AMINO_ACIDS, CODON_BASES
+
+#: A genomic substitution in a name.
+GENOMIC = r"g\.(\d+)([ACGT])>([ACGT])"
+
 
 def row_checks(rows: DataFrame, checks: dict[str, str]) -> DataFrame:
     """(check, against): rows that fail each SQL condition, in one pass."""
@@ -38,3 +46,92 @@ def parity(stored: DataFrame, recomputed: DataFrame, key: list[str], columns: li
     joined = stored.alias("a").join(recomputed.alias("b"), key)
     counts = joined.agg(*[F.count_if(~F.coalesce(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= tolerance, F.col(f"a.{c}").isNull() & F.col(f"b.{c}").isNull())).alias(c) for c in columns])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("differing")) for c in columns])).alias("c")).select("c.*")
+
+
+def counts_match(rows: DataFrame, manifest: DataFrame, label: str = "label", name: str = "counts_match") -> DataFrame:
+    """Labels whose number of rows differs from the manifest's (label, n), on either side."""
+    own = rows.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
+    told = manifest.select(F.col("label").alias("_t"), F.col("n").alias("_m"))
+    both = own.join(told, F.col("_l").eqNullSafe(F.col("_t")), "full")
+    return both.agg(F.lit(name).alias("check"), F.count_if(~F.coalesce(F.col("_n") == F.col("_m"), F.lit(False))).alias("against"))
+
+
+def cardinalities(rows: DataFrame, wanted: dict[str, int]) -> DataFrame:
+    """One check a column: 1 if its number of distinct values isn't the wanted one."""
+    found = rows.agg(*[F.countDistinct(c).alias(c) for c in wanted])
+    parts = [F.struct(F.lit(f"distinct_{c}").alias("check"), (F.col(c) != n).cast("bigint").alias("against")) for c, n in wanted.items()]
+    return found.select(F.explode(F.array(*parts)).alias("c")).select("c.*")
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """``rows`` (hgvs_name, ref, alt, gene) with what their names say: cdna (cpos, ref, alt), named_gene, and whether the
+    name's alleles are the variant's (``plus``) or their complements (``minus``); null without a coding substitution of the gene."""
+    cdna, gene = hgvs.substitution(F.col("hgvs_name")), hgvs.name_gene(F.col("hgvs_name"))
+    told = rows.withColumns({"cdna": cdna, "named_gene": gene})
+    own = F.col("cdna").isNotNull() & F.coalesce(F.col("named_gene") == F.col("gene"), F.lit(True))
+    same = lambda turn: F.when(own, (F.col("cdna.ref") == turn(F.col("ref"))) & (F.col("cdna.alt") == turn(F.col("alt"))))
+    return told.withColumns({"plus": same(lambda c: c), "minus": same(complement)})
+
+
+def codon_changes() -> list[tuple[str, int, str, str, str]]:
+    """(ref_aa, place, ref, alt, alt_aa) of every single-base change of every codon, from the genetic code."""
+    code = {"".join(c): a for c, a in zip(itertools.product(CODON_BASES, repeat=3), CODON_AMINO_ACIDS, strict=True)}
+    return sorted({(a, i, c[i], b, code[c[:i] + b + c[i + 1 :]]) for c, a in code.items() for i in range(3) for b in CODON_BASES if b != c[i]})
+
+
+PROTEIN_CLASSES = ("missense", "synonymous", "nonsense", "start_lost")
+
+
+def protein_rows(rows: DataFrame, kinds: tuple[str, ...] = PROTEIN_CLASSES) -> DataFrame:
+    """Rows of the classes that change or name a residue."""
+    return rows.where(F.col("variant_class").isin(*kinds))
+
+
+def fix_stop_lost(rows: DataFrame) -> DataFrame:
+    """``rows`` with what is called missense but starts from a stop as stop_lost."""
+    stop = (F.col("variant_class") == "missense") & (F.col("ref_aa") == "*")
+    return rows.withColumn("variant_class", F.when(stop, "stop_lost").otherwise(F.col("variant_class")))
+
+
+def name_checks(rows: DataFrame) -> DataFrame:
+    """Checks of labelled variants against their names, one row a check.
+
+    label_text: the label isn't what the significance says. alleles: neither the variant's alleles nor their complements
+    stand in the name. strands: genes named on both strands. residue_place: aa_pos isn't the codon of the coding
+    position. reachable: the residues aren't one base change of a codon apart, with that base at that place.
+    missense_stop: missense from a stop. foreign_gene: names of another gene. genomic_name: a genomic name with other
+    position or alleles.
+    """
+    told = named(rows)
+    good = protein_rows(told).where("(plus or minus) and cdna is not null")
+    label = hgvs.significance_label(F.col("clinical_significance"))
+    genomic = [F.regexp_extract("hgvs_name", GENOMIC, i) for i in (1, 2, 3)]
+    is_genomic = (genomic[0] != "") & F.col("cdna").isNull()
+    same = (genomic[0].try_cast("bigint") == F.col("pos")) & (genomic[1] == F.col("ref")) & (genomic[2] == F.col("alt"))
+    counts = {
+        "label_text": F.col("label").isin(0, 1) & (label != F.col("label")),
+        "alleles": ~F.col("plus") & ~F.col("minus"),
+        "missense_stop": (F.col("variant_class") == "missense") & (F.col("ref_aa") == "*"),
+        "foreign_gene": F.col("cdna").isNotNull() & (F.col("named_gene") != F.col("gene")),
+        "genomic_name": is_genomic & ~F.coalesce(same, F.lit(False)),
+        "residue_place": F.col("variant_class").isin(*PROTEIN_CLASSES) & (F.col("plus") | F.col("minus")) & (F.floor((F.col("cdna.cpos") - 1) / 3) + 1 != F.col("aa_pos")),
+    }
+    flat = told.agg(*[F.count_if(F.coalesce(t, F.lit(False))).alias(n) for n, t in counts.items()])
+    flat = flat.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("against")) for n in counts])).alias("c")).select("c.*")
+    strands = told.groupBy("gene").agg(F.count_if("plus").alias("p"), F.count_if("minus").alias("m")).agg(F.lit("strands").alias("check"), F.count_if((F.col("p") > 0) & (F.col("m") > 0)).alias("against"))
+    changes = rows.sparkSession.createDataFrame(codon_changes(), "_ra string, _i int, _r string, _a string, _aa string")
+    place = F.pmod(F.col("cdna.cpos") - 1, F.lit(3))
+    odd = good.join(F.broadcast(changes), (F.col("ref_aa") == F.col("_ra")) & (place == F.col("_i")) & (F.col("cdna.ref") == F.col("_r")) & (F.col("cdna.alt") == F.col("_a")) & (F.col("alt_aa") == F.col("_aa")), "left_anti")
+    return suite([flat, strands, odd.agg(F.lit("reachable").alias("check"), F.count("*").alias("against"))])
+
+
+def far_from_gene(rows: DataFrame, extents: DataFrame, most: int = 50_000, name: str = "far_from_gene") -> DataFrame:
+    """Rows on another chromosome than their gene's extent (gene, chrom, start, end), or over ``most`` bases outside it."""
+    at = extents.select("gene", F.col("chrom").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    away = F.greatest(F.col("_s") - F.col("pos"), F.col("pos") - F.col("_e"), F.lit(0))
+    return rows.join(at, "gene").agg(F.lit(name).alias("check"), F.count_if((F.col("chrom") != F.col("_c")) | (away > most)).alias("against"))
+
+
+def bounds(genes: DataFrame, least: int = 30, most: int = 40_000) -> DataFrame:
+    """Genes without a strand, or with a length that no protein has."""
+    return row_checks(genes, {"strand": "strand in ('+', '-')", "length": f"length between {least} and {most}"})

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.operators.ranks import numbered
 
-def stratified_split(rows: DataFrame, label: str, order: Column, train: float = 0.70, validation: float = 0.15) -> DataFrame:
-    """``split`` with exact shares inside each label; ``order`` (a seeded hash, or a key) decides who goes where."""
-    ranked = rows.withColumns({"_n": F.row_number().over(Window.partitionBy(label).orderBy(order)), "_all": F.count("*").over(Window.partitionBy(label))})
-    return _cut(ranked, train, validation)
+
+def stratified_split(rows: DataFrame, label: str, order: Column, key: str, train: float = 0.70, validation: float = 0.15) -> DataFrame:
+    """``split`` with exact shares inside each label; the numeric ``order`` (a seeded hash, or a key), then ``key``, decides who goes where."""
+    sizes = rows.groupBy(label).agg(F.count("*").alias("_all"))
+    return _cut(numbered(rows, [label], order, [key]).join(F.broadcast(sizes), label), train, validation)  # a row a label
 
 
 def time_split(rows: DataFrame, time: Column, key: str, train: float = 0.70, validation: float = 0.10) -> DataFrame:
@@ -28,23 +30,35 @@ def _cut(ranked: DataFrame, train: float, validation: float) -> DataFrame:
     return ranked.withColumn("split", split).drop("_n", "_all")
 
 
-def group_folds(rows: DataFrame, group: str, folds: int = 5, most_groups: int = 100_000) -> DataFrame:
-    """``fold`` of each row's group, balanced by rows: heaviest group first into the lightest fold.
+def group_folds(rows: DataFrame, group: str, folds: int = 5, share: int = 1000, blocks: int = 1024) -> DataFrame:
+    """``fold`` of each row's group, balanced by rows: heaviest first into the lightest fold.
 
-    The group table is dealt out on the driver up to ``most_groups`` groups; beyond that groups go by hash.
+    Groups of over 1 / ``share`` of all rows (so at most ``share``) are dealt one by one, the small rest by hash block, so
+    what is dealt on the driver is at most ``share`` + ``blocks`` entries however many groups there are.
     """
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
-    known = sizes.orderBy(F.desc("n"), group).limit(most_groups + 1).collect()
-    if len(known) > most_groups:
-        return rows.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))
+    block = F.pmod(F.xxhash64(F.lit(17), F.col(group)), F.lit(blocks)).cast("int")
+    total = rows.count()
+    heavy = sizes.where(F.col("n") * share > total).select(F.col(group).alias("_group"), F.lit(None).cast("int").alias("_block"), "n")
+    rest = sizes.where(F.col("n") * share <= total).groupBy(block.alias("_block")).agg(F.sum("n").alias("n")).select(F.lit(None).cast(rows.schema[group].dataType).alias("_group"), "_block", "n")
     loads, dealt = [0] * folds, []
-    for r in known:
+    for r in heavy.unionByName(rest).orderBy(F.desc("n"), "_block", "_group").collect():
         fold = loads.index(min(loads))
         loads[fold] += r["n"]
-        dealt.append((r[group], fold))
+        dealt.append((r["_group"], r["_block"], fold))
     kind = rows.schema[group].dataType.simpleString()
-    table = rows.sparkSession.createDataFrame(dealt, f"`{group}` {kind}, fold int")
-    return rows.join(F.broadcast(table), group, "left")
+    table = rows.sparkSession.createDataFrame(dealt, f"_group {kind}, _block int, _fold int")
+    by_group = table.where("_block is null").select("_group", "_fold")
+    by_block = table.where("_block is not null").select("_block", F.col("_fold").alias("_rest"))
+    found = rows.withColumn("_block", block).join(F.broadcast(by_group), F.col(group).eqNullSafe(F.col("_group")), "left").join(F.broadcast(by_block), "_block", "left")
+    return found.withColumn("fold", F.coalesce("_fold", "_rest")).drop("_group", "_block", "_fold", "_rest")
+
+
+def group_transfer(rows: DataFrame, group: str, train: list[str], test: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(training, test) rows of two disjoint sets of groups."""
+    if both := set(train) & set(test):
+        raise ValueError("groups on both sides: " + ", ".join(sorted(map(str, both))))
+    return rows.where(F.col(group).isin(train)), rows.where(F.col(group).isin(test))
 
 
 def position_block(aa_pos: Column, pos: Column) -> Column:
@@ -56,3 +70,9 @@ def neighbour_leak(train: DataFrame, test: DataFrame, key: list[str]) -> DataFra
     """(rows, shared): how many test rows have a key that training rows have too."""
     known = train.select(*key).distinct().withColumn("_k", F.lit(1))
     return test.join(known, key, "left").agg(F.count("*").alias("rows"), F.count("_k").alias("shared"))
+
+
+def neighbour_mean(train: DataFrame, test: DataFrame, key: list[str], label: str = "label") -> DataFrame:
+    """``test`` rows whose key training rows have too, with the training mean of that key: what leaks through neighbours."""
+    means = train.groupBy(*key).agg(F.avg(label).alias("neighbour_mean"))
+    return test.join(means, key)

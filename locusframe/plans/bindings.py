@@ -36,6 +36,28 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
   WHEN 3 THEN 'x (p.Met1?)' WHEN 4 THEN 'x (p.Arg5Ter)' WHEN 5 THEN 'x (p.Lys5=)' WHEN 6 THEN 'NM_1.2(CD2):c.10+' || cast(l_linenumber AS varchar(9)) || 'T>A' WHEN 7 THEN 'NM_1.2(CD2):c.10-' || cast(l_linenumber * 3 AS varchar(9)) || 'T>A'
   WHEN 8 THEN 'NM_1.2(CD2):c.-5G>A' WHEN 9 THEN 'NM_1.2(CD2):c.*5G>A' WHEN 10 THEN 'n.5A>G' WHEN 11 THEN 'x (p.Gly5fs)' ELSE 'NM_1.2(CD2):c.77G>A' END AS name FROM lineitem""",
     ),
+    # calls as sites of a file: INFO names the gene by CSQ (kind 0, 5), by ANN (1), for another allele only (2), or not at all (3, 4)
+    "sites": (
+        ("calls",),
+        """SELECT sample_id, ord AS line, chrom, pos, ref, alt, gene AS told, filter, gt, dp, gq, af_milli, splice_pct, consequence AS told_consequence, cast(splice_pct % 6 AS int) AS kind,
+  'DB;AF=' || cast(af_milli / 1000.0 AS varchar(9)) || ';SpliceAI=' || alt || '|X|0.00|' || cast(splice_pct / 100.0 AS varchar(9)) || '|0.00|0.00' || CASE cast(splice_pct % 6 AS int)
+   WHEN 0 THEN ';CSQ=' || alt || '|x|x|NONE,' || alt || '|' || consequence || '|x|' || gene || '|||T1||||c.5A>G|p.K5R|||5|K/R'
+   WHEN 1 THEN ';CSQ=' || alt || '|x|x|NONE|||||||||||;ANN=' || alt || '|' || consequence || '|x|' || gene || '|||T2|||c.6A>G|.'
+   WHEN 2 THEN ';CSQ=' || 'TTT' || '|' || consequence || '|x|' || gene || '|||T1'
+   WHEN 5 THEN ';CSQ=|' || consequence || '|x|' || lower(gene) || '|||T3||||||||5|K' ELSE '' END AS info FROM calls""",
+    ),
+    "known": (("registry",), "SELECT *, 'G' || cast(ord % 23 AS varchar(9)) AS gene, 'missense' AS variant_class FROM registry"),
+    "places": (("supplier",), "SELECT 'G' || cast(s_suppkey % 25 AS varchar(9)) AS gene, cast(s_suppkey % 22 + 1 AS varchar(9)) AS chrom, s_suppkey * 170 AS start, s_suppkey * 170 + 4200 AS stop FROM supplier"),
+    "variants": (
+        ("calls",),
+        """SELECT ord, gene, chrom, pos, ref, alt, dp - 1 AS aa_pos, CASE dp % 8 WHEN 0 THEN 'start_lost' WHEN 1 THEN 'stop_lost' WHEN 2 THEN 'nonsense' WHEN 3 THEN 'synonymous' WHEN 4 THEN 'intronic' WHEN 5 THEN 'odd' ELSE 'missense' END AS variant_class,
+  CASE dp % 8 WHEN 0 THEN 'M' WHEN 1 THEN '*' WHEN 3 THEN substr('*KR', cast(gq % 3 + 1 AS int), 1) WHEN 4 THEN '.' WHEN 5 THEN '.' ELSE substr('KRDW', cast(gq % 4 + 1 AS int), 1) END AS ref_aa,
+  CASE dp % 8 WHEN 0 THEN '?' WHEN 2 THEN '*' WHEN 3 THEN substr('*KR', cast(gq % 3 + 1 AS int), 1) WHEN 4 THEN '.' WHEN 5 THEN '.' ELSE substr('KRDW?', cast(splice_pct % 5 + 1 AS int), 1) END AS alt_aa,
+  CASE cast(splice_pct % 4 AS int) WHEN 0 THEN 'NM_1.1(' || gene || '):c.' || cast(dp AS varchar(9)) || ref || '>' || alt WHEN 1 THEN 'NM_1.1(' || gene || '):c.' || cast(dp AS varchar(9)) || translate(ref, 'ACGT', 'TGCA') || '>' || translate(alt, 'ACGT', 'TGCA')
+   WHEN 2 THEN 'NM_1.1(ZZ9):c.7A>G' ELSE 'NC_1:g.' || cast(pos + cast(splice_pct % 8 AS int) - 3 AS varchar(9)) || ref || '>' || alt END AS hgvs_name,
+  CASE consequence WHEN 'missense' THEN 'Pathogenic' WHEN 'synonymous' THEN 'Likely benign' ELSE 'Uncertain significance' END AS clinical_significance,
+  CASE consequence WHEN 'missense' THEN 1 WHEN 'synonymous' THEN CASE WHEN gq > 40 THEN 1 ELSE 0 END ELSE 2 END AS label FROM calls""",
+    ),
 }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions import features, hgvs, vcf
-from locusframe.operators import aggregates, annotate, classify, metrics, models, quality, splits
+from locusframe.operators import aggregates, annotate, classify, metrics, models, quality, report, splits
 from locusframe.plans.bindings import bound, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,12 +150,14 @@ def risk_summary(spark, sf_dir):
     return annotate.best_ranges(rows, ["sample_id", "outcome"]).select("sample_id", "outcome", "risk_high_pct", "risk_low_pct")
 
 
-@query(f"{_FINAL}, r AS (SELECT sample_id, ord, final_tier IN ('Benign', 'Likely Benign') AS benign, row_number() OVER (PARTITION BY sample_id, final_tier IN ('Benign', 'Likely Benign') ORDER BY ord) AS rn FROM final) SELECT sample_id, ord, benign FROM r WHERE NOT benign OR rn <= 10")
+_SHOWN = "SELECT *, final_tier IN ('Benign', 'Likely Benign') AS benign, count(*) OVER (PARTITION BY sample_id) AS n, row_number() OVER (PARTITION BY sample_id, final_tier IN ('Benign', 'Likely Benign') ORDER BY ord) AS rn, count(*) FILTER (final_tier IN ('Benign', 'Likely Benign')) OVER (PARTITION BY sample_id) AS nb FROM (SELECT *, {group} AS sample_id FROM (SELECT * EXCLUDE (sample_id) FROM final))"
+
+
+@query(f"{_FINAL}, r AS ({_SHOWN.format(group='cast(floor(ord / 100000000000) AS bigint) % 8000')}) SELECT sample_id, ord, row_number() OVER (PARTITION BY sample_id ORDER BY n > 20 AND benign, ord) AS place, CASE WHEN n > 20 THEN greatest(nb - 10, 0) ELSE 0 END AS omitted FROM r WHERE n <= 20 OR NOT benign OR rn <= 10")
 def display_topk(spark, sf_dir):
-    """All rows that aren't benign and the first ten benign ones of each sample: a report's display limit."""
-    f = final_verdicts(spark, sf_dir).withColumn("benign", F.col("tier").isin("Benign", "Likely Benign"))
-    ranked = f.withColumn("rn", F.row_number().over(Window.partitionBy("sample_id", "benign").orderBy("ord")))
-    return ranked.where("not benign or rn <= 10").select("sample_id", "ord", "benign")
+    """What a report shows of each sample: all of up to 20 verdicts, else those that aren't benign and the first ten benign ones."""
+    f = final_verdicts(spark, sf_dir).withColumn("sample_id", F.floor(F.col("ord") / 100_000_000_000) % 8000)
+    return report.display_rows(f, "ord").select("sample_id", "ord", F.col("place").cast("bigint").alias("place"), "omitted")
 
 
 @query(f"{with_tables('calls')}, c AS (SELECT gene, consequence, count(*) AS n, min(ord) AS f FROM calls GROUP BY 1, 2) SELECT gene, consequence, n FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY n DESC, f) AS rn FROM c) WHERE rn = 1")
@@ -225,14 +227,15 @@ def centred_window(spark, sf_dir):
 _N = "(length(text) - length(replace(text, '{b}', '')))::double"
 
 
-@query("WITH c AS (SELECT doc_id, " + ", ".join(f"{_N.format(b=b)} AS {b.lower()}" for b in "ACGT") + " FROM documents), t AS (SELECT *, a + c + g + t AS n FROM c) SELECT doc_id, round(CASE WHEN n > 0 THEN 1 - (" + " + ".join(f"CASE WHEN {b} > 0 THEN -({b} / n) * log2({b} / n) ELSE 0 END" for b in "acgt") + ") / 2 ELSE 0 END, 6) AS score FROM t")
+@query("WITH c AS (SELECT doc_id, " + ", ".join(f"{_N.format(b=b)} AS {b.lower()}" for b in "ACGT") + " FROM documents), t AS (SELECT *, a + c + g + t AS n FROM c) SELECT doc_id, round(CASE WHEN n > 0 THEN 1 - (" + " + ".join(f"CASE WHEN {b} > 0 THEN -({b} / n) * log2({b} / n) ELSE 0 END" for b in "acgt") + ") / 2 ELSE 0.5 END, 6) AS score FROM t")
 def base_entropy(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.round(features.base_entropy(F.col("text")), 6).alias("score"))
+    counted = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", features.base_counts(F.col("text")).alias("n"))
+    return counted.select("doc_id", F.round(features.base_entropy(F.col("n")), 6).alias("score"))
 
 
 @query(f"{with_tables('predictions')}, r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY key) AS n, count(*) OVER (PARTITION BY label) AS c FROM predictions), s AS (SELECT label, CASE WHEN n <= floor(c * 0.7 + 1e-9) THEN 'train' WHEN n <= floor(c * 0.85 + 1e-9) THEN 'validation' ELSE 'test' END AS split FROM r) SELECT label, split, count(*) AS n FROM s GROUP BY 1, 2")
 def stratified_split_counts(spark, sf_dir):
-    return splits.stratified_split(bound(spark, sf_dir, "predictions"), "label", F.col("key")).groupBy("label", "split").agg(F.count("*").alias("n"))
+    return splits.stratified_split(bound(spark, sf_dir, "predictions"), "label", F.col("key"), "key").groupBy("label", "split").agg(F.count("*").alias("n"))
 
 
 @query("WITH r AS (SELECT user_id, row_number() OVER (ORDER BY ts, event_id) AS n, count(*) OVER () AS c FROM events), s AS (SELECT user_id, CASE WHEN n <= floor(c * 0.7 + 1e-9) THEN 'train' WHEN n <= floor(c * 0.8 + 1e-9) THEN 'validation' ELSE 'test' END AS split FROM r) SELECT split, count(*) AS n, sum(user_id)::bigint AS users FROM s GROUP BY 1")
@@ -298,8 +301,8 @@ def prior_baselines(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = bound(spark, sf_dir, "predictions").join(d.select(F.col("doc_id").alias("key"), features.base_entropy(F.col("text")).alias("entropy"), F.log1p("n_chars").alias("size")), "key")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("key"), features.base_counts(F.col("text")).alias("n"), F.log1p("n_chars").alias("size"))
+    rows = bound(spark, sf_dir, "predictions").join(d.select("key", features.base_entropy(F.col("n")).alias("entropy"), "size"), "key").persist()  # learners read it many times
     return rows.where("key % 4 <> 0"), rows.where("key % 4 = 0"), ["score0", "entropy", "size"]
 
 

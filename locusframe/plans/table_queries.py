@@ -39,7 +39,7 @@ SELECT p.gene, coalesce(pathogenic, 0) AS pathogenic, coalesce(benign, 0) AS ben
 FROM (SELECT unnest({PANEL}) AS gene) p LEFT JOIN c ON p.gene = c.gene LEFT JOIN t ON p.gene = t.gene AND rn = 1""")
 def extraction_manifest(spark, sf_dir):
     panel = spark.createDataFrame([(g,) for g in PANEL], "gene string")
-    return extraction.gene_manifest(extraction.extract(dump(spark, sf_dir), PANEL, "ord"), panel, "ord")
+    return extraction.gene_manifest(extraction.extract(dump(spark, sf_dir), PANEL, "ord").persist(), panel, "ord")  # read three times
 
 
 @query(f"{with_tables('predictions')} SELECT class, count(*) AS n, count(*) FILTER (label = 1) AS positives, round(100.0 * count(*) / sum(count(*)) OVER (), 4)::double AS pct FROM predictions GROUP BY 1")

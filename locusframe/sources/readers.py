@@ -30,6 +30,15 @@ def read_vcf(spark: SparkSession, paths) -> DataFrame:
     )
 
 
+def quarantined_lines(spark: SparkSession, paths) -> DataFrame:
+    """(sample_id, line, fields, reason, value) of the data lines that ``read_vcf`` leaves out or can't place."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("sample_id"), F.monotonically_increasing_id().alias("line"))
+    fields = F.split("value", "\t")
+    reason = F.when(F.size(fields) < 5, "short").when(F.get(fields, F.lit(1)).try_cast("bigint").isNull(), "position")
+    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumns({"fields": F.size(fields), "reason": reason})
+    return rows.where("reason is not null").select("sample_id", "line", "fields", "reason", "value")
+
+
 def assembly_of(spark: SparkSession, paths) -> DataFrame:
     """(sample_id, accepted, older) from each file's header: only GRCh38 files are accepted."""
     heads = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("sample_id")).withColumn("head", F.col("value").startswith("##"))
@@ -44,12 +53,17 @@ def require_assembly(spark: SparkSession, paths) -> None:
 
 
 def read_registry(spark: SparkSession, path) -> DataFrame:
-    """A tab-separated registry dump with a '#' header; raises on missing columns, leaves short rows out."""
-    rows = spark.read.csv(path, sep="\t", header=True, quote="")
-    rows = rows.toDF(*[c.lstrip("#") for c in rows.columns])
-    if missing := [c for c in REGISTRY_COLUMNS if c not in rows.columns]:
+    """A tab-separated registry dump with a '#' header; raises on missing columns.
+
+    Rows of fewer fields than the header are left out; an empty field is an empty text, not a short row.
+    """
+    lines = spark.read.text(path)
+    head = lines.where(F.col("value").startswith("#")).first()
+    names = head["value"].lstrip("#").split("\t") if head else []
+    if missing := [c for c in REGISTRY_COLUMNS if c not in names]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return rows.where(F.col("AlternateAlleleVCF").isNotNull())
+    fields = lines.where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f")).where(F.size("f") >= len(names))
+    return fields.select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(names)])
 
 
 def read_labelled(spark: SparkSession, path) -> DataFrame:
@@ -83,3 +97,8 @@ def key_values(header):
     """strand (default '+') and length (default 50000) of a 'key=value' header."""
     values = F.str_to_map(header, F.lit(" "), F.lit("="))
     return F.coalesce(F.try_element_at(values, F.lit("strand")), F.lit("+")), F.coalesce(F.regexp_replace(F.try_element_at(values, F.lit("length")), "bp$", "").try_cast("int"), F.lit(50000))
+
+
+def read_score_cache(spark: SparkSession, path, embedding: bool = True) -> DataFrame:
+    """(gene, aa_pos, scores[, embedding]) of a written score cache; only these columns are read."""
+    return spark.read.parquet(path).select("gene", "aa_pos", "scores", *["embedding"] * embedding)

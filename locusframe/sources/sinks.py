@@ -28,18 +28,21 @@ def append_missing(spark: SparkSession, path: str, wanted: DataFrame, keys: list
     return spark.read.parquet(path)
 
 
-def report_json(verdicts: DataFrame, sample: str = "sample_id") -> DataFrame:
-    """One JSON report a sample: totals and its verdicts."""
-    body = F.struct(F.col(sample).alias("sample"), F.count("*").alias("total"), F.count_if(F.col("tier").isin("Pathogenic", "Likely Pathogenic")).alias("actionable"), F.sort_array(F.collect_list(F.struct([F.col(c) for c in verdicts.columns if c != sample]))).alias("verdicts"))
-    return verdicts.groupBy(sample).agg(F.to_json(body).alias("value"))
+def write_features(features: DataFrame, path: str, form: str = "parquet") -> None:
+    """The featured table, as Parquet or as CSV with a header."""
+    writer = features.write.mode("errorifexists")
+    writer.parquet(path) if form == "parquet" else writer.option("header", True).csv(path)
 
 
-def report_lines(verdicts: DataFrame, sample: str = "sample_id") -> DataFrame:
-    """Numbered text lines of each sample's report."""
-    from pyspark.sql import Window
+def write_score_cache(scores: DataFrame, path: str) -> None:
+    """(gene, aa_pos, scores, embedding), a row a position; embeddings are stored in single precision."""
+    scores.select("gene", "aa_pos", "scores", F.col("embedding").cast("array<float>").alias("embedding")).write.parquet(path)
 
-    number = F.row_number().over(Window.partitionBy(sample).orderBy("chrom", "pos", "ref", "alt"))
-    return verdicts.withColumn("number", number).select(sample, "number", F.format_string("VARIANT #%d  %s:%d %s>%s  %s  %s", "number", "chrom", "pos", "ref", "alt", F.coalesce("gene", F.lit("-")), "tier").alias("line"))
+
+def write_report_lines(lines: DataFrame, path: str, sample: str = "sample_id") -> None:
+    """``report.report_lines`` as text: a folder a sample, whose files are read in order of their names."""
+    dealt = lines.repartitionByRange(sample, "section", "number").sortWithinPartitions(sample, "section", "number")
+    dealt.select(sample, F.col("line").alias("value")).write.partitionBy(sample).text(path)
 
 
 def markdown_rows(metrics: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,9 +5,7 @@ import math
 import re
 import zlib
 
-import numpy as np
 import pytest
-import xxhash
 
 from locusframe.llm import katz
 from locusframe.llm.common import table
@@ -15,14 +13,10 @@ from locusframe.llm.common import table
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def code(word):
-    return word if isinstance(word, int) else xxhash.xxh64_intdigest(word.encode())
-
-
-def tokens(text, bits):
+def tokens(text):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) + [katz._END]
     before = [katz._BEGIN, *words[:-1]]
-    return [(int(katz.history_class(np.array([code(h)], dtype=np.uint64), bits)[0]), w) for h, w in zip(before, words, strict=True)]
+    return list(zip(before, words, strict=True))
 
 
 def discounts(counts):
@@ -35,8 +29,8 @@ def discounts(counts):
     return lambda r: out.get(r, 1)
 
 
-def brute(rows, bits):
-    train = [x for i, t in rows if zlib.crc32(str(i).encode() if i is not None else b"") % 5 != 1 for x in tokens(t, bits)]
+def brute(rows):
+    train = [x for i, t in rows if zlib.crc32(str(i).encode() if i is not None else b"") % 5 != 1 for x in tokens(t)]
     words, pairs, classes = (collections.Counter(x) for x in ([w for _, w in train], train, [h for h, _ in train]))
     n = len(train)
     d1, d2 = discounts(words.values()), discounts(pairs.values())
@@ -54,24 +48,24 @@ def brute(rows, bits):
 
     out = []
     for i, t in rows:
-        own = tokens(t, bits)
+        own = tokens(t)
         base = sum(math.log10((words[w] + 0.5) / (n + 0.5 * (len(words) + 1))) for _, w in own)
         out.append((i, zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1, len(own), sum(words[w] > 0 for _, w in own), n, base, sum(math.log10(p(h, w)) for h, w in own)))
     return out, p, words, weight
 
 
-@pytest.mark.parametrize("bits", [4, 16])
-def test_scores(spark, small, bits, monkeypatch):
-    monkeypatch.setattr(katz, "HOT", 50)
+@pytest.mark.parametrize("hot", [50, 4096])
+def test_scores(spark, small, hot, monkeypatch):
+    monkeypatch.setattr(katz, "HOT", hot)
     docs = table(spark, small, "documents")
     odd = spark.createDataFrame([(0, None, "k"), (1, "", "k"), (2, "a B a b", "k"), (2, "a B a b", "k"), (None, "a b", "k"), (7, "x", "k"), (9, " a\x85b ", "k")], "doc_id bigint, text string, `key` string")
     for df in (docs, odd):
-        want, p, words, weight = brute([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()], bits)
+        want, p, words, weight = brute([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
         order = lambda x: (x[0] is not None, x[0] or 0)
-        got = sorted([tuple(r) for r in katz.score_documents(df, bits=bits, bucket_tokens=5000).collect()], key=order)
+        got = sorted([tuple(r) for r in katz.score_documents(df, bucket_tokens=5000).collect()], key=order)
         for a, b in zip(got, sorted(want, key=order), strict=True):
             assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
-        for h in [*list(weight)[:3], -1]:  # every history's probabilities sum to one over the words and one unknown
+        for h in [*list(weight)[:3], katz._BEGIN, -1]:  # every history's probabilities sum to one over the words and one unknown
             assert sum(p(h, w) for w in [*words, "never seen"]) == pytest.approx(1)
     assert katz.score_documents(odd.limit(0)).count() == 0
     only = spark.createDataFrame([(i, "a b") for i in range(20) if katz.held_out(i)], "doc_id bigint, text string")

@@ -57,18 +57,18 @@ def pack_block(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nd
 def pack(pieces: DataFrame, limits: Limits, key: str, length: str, loss: Column, block_rows: int = 2048) -> DataFrame:
     """``pieces`` with sequence_id and offset (tokens before the piece in its sequence, without gaps from 0).
 
-    Rows are dealt to blocks of about ``block_rows`` by a hash of their key; each block is packed on its own in one
-    task, so that memory and time a task don't grow with the table, and a block wastes one partly filled sequence at
-    most. Sequence numbers are made gapless by the blocks' counts. No piece may exceed a limit by itself. Null keys
-    form a block of their own hash; repeated rows are packed each.
+    Rows are dealt to blocks of about ``block_rows`` by a hash of all their columns, so that pieces under one key (null
+    too) spread; only equal rows share a block. Each block is packed on its own in one task, so that memory and time a
+    task don't grow with the table, and a block wastes one partly filled sequence at most. Sequence numbers are made
+    gapless by the blocks' counts. No piece may exceed a limit by itself. Repeated rows are packed each.
     """
     blocks = max(1, -(-pieces.count() // block_rows))
-    rows = pieces.withColumn("_lf_block", F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn("_lf_loss", loss.cast("long"))
+    rows = pieces.withColumn("_lf_block", F.pmod(F.xxhash64(*[c for c, t in pieces.dtypes if not t.startswith(("array", "map"))]), F.lit(blocks))).withColumn("_lf_loss", loss.cast("long"))
     most = np.array([limits.tokens, limits.segments, limits.loss])
     names = pieces.columns
 
     def one(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values([c for c in (key, "start") if c in block], kind="stable").reset_index(drop=True)
+        block = block.sort_values([c for c in (key, "start", "ids_crc32") if c in block], kind="stable").reset_index(drop=True)
         sizes = np.stack([block[length].to_numpy(np.int64), np.ones(len(block), np.int64), block["_lf_loss"].to_numpy(np.int64)], axis=1)
         full = (sizes[:, 0] == limits.tokens) | (sizes[:, 2] == limits.loss)
         bins, places = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
@@ -114,13 +114,22 @@ def token_pieces(docs: DataFrame, vocabulary: str, end: int, longest: int, key:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end: int, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
-    """Tokenises, cuts and packs whole documents; each id lies in one piece, all of its tokens bear loss."""
+    """Tokenises, cuts and packs whole documents; each id lies in one piece, all of its tokens bear loss.
+
+    Returns key, start, length, ids_crc32, doc_tokens, sequence_id, offset and (``ids``) ids. Null and empty texts are one
+    piece with the end id; null keys and repeated rows are packed each; an empty table gives none; other columns are
+    ignored, whatever their names.
+    """
     pieces = written(token_pieces(docs, vocabulary, end, min(limits.tokens, limits.loss), key, text, ids), "pieces")
     return pack(pieces, limits, key, "length", F.col("length"))
 
 
 def pack_conversations(turns: DataFrame, vocabulary: str, end: int, limits: Limits = Limits(), conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", answer: str = "assistant") -> DataFrame:
-    """Packs instruction data: each turn is a segment, and only the ``answer`` role's tokens bear loss."""
+    """Packs instruction data: each turn is a segment, and only the ``answer`` role's tokens bear loss.
+
+    ``segment`` is the turn's conversation, number and role as JSON (nulls are left out of it). Null and empty texts have the
+    end id only; repeated turns are packed each; an empty table gives none; other columns are ignored.
+    """
     segment = F.to_json(F.struct(F.col(conversation), F.col(turn), F.col(role).alias("role")))
     pieces = written(token_pieces(turns.select(segment.alias("segment"), F.col(text).alias("text")), vocabulary, end, min(limits.tokens, limits.loss), "segment"), "pieces")
     answers = F.get_json_object("segment", "$.role") == answer

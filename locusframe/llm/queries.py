@@ -40,7 +40,7 @@ def op3_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to zstandard frames in ascending doc_id order and read back."""
     docs = table(spark, sf_dir, "documents")
-    return token_store.token_files_digest(spark, docs, vocabulary("word_bpe_49k.json"), 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return token_store.token_files_digest(spark, docs, vocabulary("word_bpe_49k.json"), 2)
 
 
 def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +74,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages come back from archives in which every seventh page's record was damaged."""
+    return warc.salvage(spark, table(spark, sf_dir, "pages"), F.col("page_id") % 7 == 3).select("page_id", "recovered", (F.col("gap_bytes") > 0).alias("logged"))
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy does, alone and with the others."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns packed, under limits on tokens, segments and the answers' tokens."""
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"), vocabulary("byte_bpe_50k.json"), 0, packing.Limits(1024, 16, 512))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rendezvous_sharding, op2_warc_round_trip, op3_paragraph_minhash, op4_token_frames, op5_prefix_bpe, op6_rule_ledger, op7_vector_packing, op8_simhash_pigeonring, op9_katz_scores, op10_exact_dedup)
+    f.__name__: f for f in (op1_rendezvous_sharding, op2_warc_round_trip, op3_paragraph_minhash, op4_token_frames, op5_prefix_bpe, op6_rule_ledger, op7_vector_packing, op8_simhash_pigeonring, op9_katz_scores, op10_exact_dedup, warc_salvage, rule_ablations, packed_conversations)
 }
 
 # The rendezvous scores of shards 0 to 8 in SQL, and the reduction of a CRC-32 over a text's bytes by a table of 256.
@@ -95,9 +110,7 @@ placed AS (SELECT doc_id, size, text_crc32, {_BEST(SHARDS)}::int AS shard, {_BES
   {_HEX.format("coalesce(doc_id::varchar, 'null')", 8)} % {SHARD_BLOCKS} AS block FROM sums)
 SELECT doc_id, size::bigint AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id) - 1 AS slot, grown_shard FROM placed"""
 
-ORACLE_SQL: dict[str, str] = {
-    "op1_rendezvous_sharding": _SHARD_SQL,
-    "op6_rule_ledger": r"""
+_LEDGER_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 w AS (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws FROM t),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2),
@@ -112,7 +125,14 @@ b AS (SELECT doc_id, n_words, word_chars, n_symbols, len(ls)::bigint AS n_lines,
 f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN n_words > 1000000 THEN 4 ELSE 0 END
   + CASE WHEN word_chars < 2 * n_words THEN 8 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 16 ELSE 0 END
   + CASE WHEN 10 * n_symbols > 3 * n_words THEN 32 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 4 * n_lines THEN 64 ELSE 0 END)::bigint AS failed FROM b)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, n_lines, failed FROM f""",
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, n_lines, failed FROM f"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_rendezvous_sharding": _SHARD_SQL,
+    "op6_rule_ledger": _LEDGER_SQL,
+    "warc_salvage": "SELECT page_id, page_id % 7 <> 3 AS recovered, CASE WHEN page_id % 7 = 3 THEN true END AS logged FROM pages",
+    "rule_ablations": f"""WITH l AS ({_LEDGER_SQL}), r(rule, bit) AS (VALUES {", ".join(f"('{r}', {1 << i})" for i, r in enumerate(quality_rules.RULES))})
+SELECT rule, count(*) FILTER (failed & bit <> 0) AS failing, count(*) FILTER (failed = bit) AS failing_alone, count(*) FILTER (failed = 0) AS kept FROM l, r GROUP BY 1""",
     "op10_exact_dedup": r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents),
 h AS (SELECT doc_id, sha256(x) AS text_sha256 FROM t)

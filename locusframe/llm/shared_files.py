@@ -32,4 +32,12 @@ def whole_file(uri: str) -> Iterator:
         with contextlib.suppress(OSError):
             system.delete_file(own)
         raise
-    system.move(own, path)
+    try:
+        if system.get_file_info(path).type == fs.FileType.NotFound:
+            system.move(own, path)
+            return
+    except OSError:  # some file systems refuse to move onto a file that came into being meanwhile
+        if system.get_file_info(path).type != fs.FileType.File:
+            raise
+    with contextlib.suppress(OSError):
+        system.delete_file(own)  # an earlier attempt's file stays

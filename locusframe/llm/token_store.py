@@ -34,6 +34,8 @@ _HEAD = struct.Struct("<II")
 
 #: Raw bytes after which a frame ends; a longer document has a frame of its own.
 FRAME_BYTES = 1 << 20
+#: Text for one file, if the number of files isn't given.
+FILE_BYTES = 256 << 20
 
 
 class FrameWriter:
@@ -118,16 +120,22 @@ class FrameReader:
         return self.frame(number)[begin : begin + int(self.counts[at]) * 4]
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int | None, files: int, key: str = "doc_id", text: str = "text", frame_bytes: int = FRAME_BYTES) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int | None, files: int | None = None, key: str = "doc_id", text: str = "text", frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Encodes every text and writes ``files`` files in ascending key order; returns their manifest.
 
+    Without a number there are as many as shuffle partitions, and more for a larger table, so that a file holds about
+    FILE_BYTES of text at most; its index and a writer's memory are bounded by that.
+
     Manifest: file_no, path, n_docs, n_tokens, bytes, start (ids in all files before it). Rows are range-partitioned
     and sorted by key (null keys first), so a file is one sorted range and the files follow each other. Null and empty
     texts have only the ``end`` id (none if it is None); repeated rows are all written. Each file is written to the
     shared folder by one task and moved into place whole.
     """
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).repartitionByRange(files, "key").sortWithinPartitions("key")
+    if files is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
+        files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).repartitionByRange(files, "key").sortWithinPartitions("key", F.xxhash64("text"))  # every attempt in the same order
     last = b"" if end is None else int(end).to_bytes(4, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +185,12 @@ def read_token_files(manifest: DataFrame, key_type: str = "bigint", wanted: Data
     return source.repartition(max(1, manifest.count()), "path").mapInArrow(read, schema)
 
 
-def token_files_digest(spark: SparkSession, docs: DataFrame, vocabulary: str, end: int, files: int) -> DataFrame:
-    """Writes the documents' ids to the shared folder, reads the files back, and returns what they hold."""
+def token_files_digest(spark: SparkSession, docs: DataFrame, vocabulary: str, end: int, files: int | None = None) -> DataFrame:
+    """Writes the documents' ids to the shared folder, reads the files back, and returns what they hold.
+
+    doc_id, start, n_tokens and ids_crc32, one row a document; null and empty texts have the end id only, null keys come
+    first, repeated rows are all there, an empty table gives none, other columns are ignored.
+    """
     manifest = write_token_files(docs, shared_path(spark, "tokens"), vocabulary, end, files)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return read_token_files(manifest, kind, ids=False).withColumnRenamed("key", "doc_id")

@@ -1,8 +1,10 @@
 """Operator 2: WARC archives, written from a table and read back by a salvage reader.
 
 Archives are gzip files of one member a record (or plain files of records). The reader checks each record (framing,
-length, block digest). Where a check fails it looks for the next gzip member or version line that starts a whole valid
-record, goes on from there, and reports the bytes between as a quarantined gap.
+length, block digest). Where a check fails it looks for the next gzip member or version line, whichever comes first, that
+starts a whole valid record, goes on from there, and reports the bytes between as a quarantined gap. Both kinds are looked
+for at every step, so archives may hold both. A valid record that stands whole inside a damaged plain record's block is
+found by its version line and returned.
 """
 
 from __future__ import annotations
@@ -16,21 +18,23 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import shared_path, text_batches, written
+from locusframe.llm.common import broadcast_if_small, shared_path, text_batches, written
 from locusframe.llm.shared_files import opened, whole_file
 
 # Fixed values of the formats.
 _MEMBER = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
+_MARK = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n"
 
 _CHUNK = 1 << 20
-_MOST_HEADER = 1 << 20
+#: An archive is closed at this size and the next one begun.
+ARCHIVE_BYTES = 1 << 30
 
 
 def base32_sha1(data: bytes) -> str:
@@ -88,7 +92,7 @@ def _parse(data: bytes, offset: int, length: int | None = None) -> tuple[Record,
     line = _VERSION_LINE.match(data)
     if not line:
         raise _Bad("no version line")
-    end = data.find(b"\r\n\r\n", line.end() - 2, _MOST_HEADER)
+    end = data.find(b"\r\n\r\n", line.end() - 2)
     if end < 0:
         raise _Bad("unended header")
     fields = {}
@@ -116,15 +120,16 @@ class SalvageReader:
     def __init__(self, file, size: int):
         self.file, self.size = file, size
 
-    def _find(self, mark: bytes, start: int) -> int:
-        """The next place of ``mark`` at or after ``start``, or the file's size."""
+    def _find(self, start: int) -> int:
+        """The next place of either mark at or after ``start``, or the file's size."""
+        longest = max(len(_MEMBER), len(_VERSION))
         while start < self.size:
             chunk = self.file.read_at(min(_CHUNK, self.size - start), start)
-            if (at := chunk.find(mark)) >= 0:
-                return start + at
+            if at := _MARK.search(chunk):
+                return start + at.start()
             if start + len(chunk) >= self.size:
                 break
-            start += max(1, len(chunk) - len(mark) + 1)
+            start += max(1, len(chunk) - longest + 1)
         return self.size
 
     def _member(self, offset: int) -> Record:
@@ -146,29 +151,45 @@ class SalvageReader:
             raise _Bad("bytes after the record")
         return record
 
+    def _head(self, offset: int) -> tuple[bytes, int]:
+        """(what was read from ``offset``, where its header ends), read on as long as all lines are header lines."""
+        head, checked = b"", 0
+        while True:
+            more = self.file.read_at(min(65536, self.size - offset - len(head)), offset + len(head))
+            head += more
+            if not checked:
+                if not _VERSION_LINE.match(head):
+                    raise _Bad("no version line")
+                checked = head.index(b"\r\n") + 2
+            while (line := head.find(b"\r\n", checked)) >= 0:
+                if line == checked:
+                    return head, line - 2
+                if b":" not in head[checked:line]:
+                    raise _Bad("malformed header line")
+                checked = line + 2
+            if not more:
+                raise _Bad("unended header")
+
     def _plain(self, offset: int) -> Record:
-        head = self.file.read_at(min(65536, self.size - offset), offset)
-        while (end := head.find(b"\r\n\r\n")) < 0 and len(head) < min(_MOST_HEADER, self.size - offset):
-            head += self.file.read_at(min(65536, self.size - offset - len(head)), offset + len(head))
-        if not _VERSION_LINE.match(head):
-            raise _Bad("no version line")
-        told = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", head[:end]) if end >= 0 else None
+        head, end = self._head(offset)
+        told = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", head[:end])
         need = end + 8 + int(told[1]) if told else len(head)
         if need > self.size - offset:
             raise _Bad("truncated or mislaid record")
         return _parse(head[:need] if need <= len(head) else head + self.file.read_at(need - len(head), offset + len(head)), offset)[0]
 
+    def _record(self, offset: int) -> Record:
+        return self._member(offset) if self.file.read_at(min(2, self.size - offset), offset) == _MEMBER[:2] else self._plain(offset)
+
     def __iter__(self) -> Iterator[Record | Gap]:
-        packed = self.file.read_at(min(2, self.size), 0) == _MEMBER[:2] or self._find(_MEMBER, 0) < self._find(_VERSION, 0)
-        mark, read = (_MEMBER, self._member) if packed else (_VERSION, self._plain)
         offset, gap, reason = 0, None, ""
         while offset < self.size:
             try:
-                record = read(offset)
+                record = self._record(offset)
             except _Bad as e:
                 if gap is None:
                     gap, reason = offset, str(e)
-                offset = self._find(mark, offset + 1)
+                offset = self._find(offset + 1)
                 continue
             if gap is not None:
                 yield Gap(gap, offset - gap, reason)
@@ -183,12 +204,14 @@ def _name(page: int | None, again: int) -> str:
     return f"urn:page:{'null' if page is None else page}" + (f":{again}" if again > 1 else "")
 
 
-def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", date: str = "1970-01-01T00:00:00Z", packed: bool = True, dedup_bytes: int = 0, level: int = 6) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", date: str = "1970-01-01T00:00:00Z", packed: bool = True, dedup_bytes: int = 0, level: int = 6, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record a row into archives under ``folder`` and returns (path, records, bytes) of each.
 
     Of rows with equal payloads of at least ``dedup_bytes`` bytes, that with the least key is a response and the others
     are revisits that refer to it; of repeated rows with one key the first is the response. Null html is an empty
-    payload, null urls leave out the target, null keys come last. An archive is written by one task, whole or not at all.
+    payload, null urls leave out the target, null keys come last. An archive is written by one task, whole or not at all, and
+    closed at ``archive_bytes``. Pages are written where they are read; only narrow rows are shuffled. An empty table
+    gives no archives; other columns are ignored.
     """
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(key).cast("bigint").alias("page"), F.col(url).cast("string").alias("url"), body.alias("html"))
@@ -197,15 +220,23 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     firsts = narrow.where(F.col("size") >= dedup_bytes).groupBy("sha").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
     later = written(narrow.where(F.col("size") >= dedup_bytes).join(firsts, "sha").where(~F.col("page").eqNullSafe(F.col("first"))).select(F.col("page").alias("at"), F.col("sha").alias("at_sha"), "first").distinct(), "revisits")
     hashed = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    found = hashed.join(later, hashed["page"].eqNullSafe(later["at"]) & (hashed["sha"] == later["at_sha"]), "left")
-    nth = F.row_number().over(Window.partitionBy("page").orderBy("sha"))
-    nth_same = F.row_number().over(Window.partitionBy("page").orderBy("sha")) - F.rank().over(Window.partitionBy("page").orderBy("sha")) + 1
-    ready = found.withColumn("nth", nth).withColumn("same", nth_same).select("page", "url", "html", "first", "at", "nth", "same")
+    few = broadcast_if_small(later)
+    found = hashed.join(few, hashed["page"].eqNullSafe(few["at"]) & (hashed["sha"] == few["at_sha"]), "left")
+    # rows that repeat a key are numbered, and only they are shuffled for it
+    again = written(narrow.groupBy("page").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page").alias("of")), "repeated")
+    if again.isEmpty():
+        ready = found.withColumns({"nth": F.lit(1), "same": F.lit(1)})
+    else:
+        own = broadcast_if_small(again)
+        at = F.col("page").eqNullSafe(F.col("of"))
+        # the rows of one key, however many, are numbered in order of their payloads
+        nth, rank = (f().over(Window.partitionBy("page").orderBy("sha")) for f in (F.row_number, F.rank))
+        many = found.join(own, at, "left_semi").withColumns({"nth": nth, "same": nth - rank + 1})
+        ready = found.join(own, at, "left_anti").withColumns({"nth": F.lit(1), "same": F.lit(1)}).unionByName(many)
+    ready = ready.select("page", "url", "html", "first", "at", "nth", "same")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = f"{folder}/pages-{TaskContext.get().partitionId():06d}.warc" + ".gz" * packed
-        records = size = 0
-        with whole_file(path) as out:
+        def rows() -> Iterator[tuple[bytes, int]]:
             for batch, bodies in text_batches(batches, 2):
                 columns = [batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)]
                 for page, target, first, at, again, same, payload in zip(*columns, bodies, strict=True):
@@ -214,11 +245,19 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
                     to = _name(page if first is None and at is None else first, again - same + 1 if first is None and at is None else 1) if revisit else None
                     head = _HTTP % len(payload)
                     data = record_bytes("revisit" if revisit else "response", _name(page, again), target, head if revisit else head + payload, date, base32_sha1(payload), to)
-                    data = gzip_member(data, level) if packed else data
+                    yield gzip_member(data, level) if packed else data
+
+        source, data, part = rows(), None, 0
+        while data is not None or (data := next(source, None)) is not None:
+            path = f"{folder}/pages-{TaskContext.get().partitionId():06d}-{part:04d}.warc" + ".gz" * packed
+            records = size = 0
+            with whole_file(path) as out:
+                while data is not None and (not size or size + len(data) <= archive_bytes):
                     out.write(data)
                     records, size = records + 1, size + len(data)
-        if records:
+                    data = next(source, None)
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [records], "bytes": [size]})
+            part += 1
 
     return written(ready.mapInArrow(write, "path string, records bigint, bytes bigint"), "archives")
 
@@ -261,12 +300,66 @@ def read_archives(paths: DataFrame, payload: bool = False) -> DataFrame:
     return source.repartition(max(1, source.count()), "path").mapInArrow(read, schema + ", payload binary" * payload)
 
 
+def gap_log(found: DataFrame) -> DataFrame:
+    """(path, offset, length, reason) of the quarantined bytes among the rows of ``read_archives``."""
+    return found.where("reason is not null").select("path", "offset", "length", "reason")
+
+
+def damaged_copies(found: DataFrame, damaged: Column, folder: str) -> DataFrame:
+    """Copies of archives in which the middle bytes of the ``damaged`` records (rows of ``read_archives``) are changed: a fault injected on purpose."""
+    spots = found.groupBy("path").agg(F.sort_array(F.filter(F.collect_list(F.when(damaged, F.col("offset") + F.floor(F.col("length") / 2))), lambda x: x.isNotNull())).alias("spots"))
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, place = opened(path)
+                new = f"{folder}/{path.rpartition('/')[2]}"
+                with system.open_input_file(place) as file, whole_file(new) as out:
+                    for start in range(0, file.size(), _CHUNK):
+                        data = bytearray(file.read_at(min(_CHUNK, file.size() - start), start))
+                        for spot in places:
+                            if start <= spot < start + len(data):
+                                data[spot - start] ^= 0xFF
+                        out.write(bytes(data))
+                yield pa.RecordBatch.from_pydict({"path": [new]})
+
+    return written(spots.mapInArrow(copy, "path string"), "damaged")
+
+
+def page_number(record_id: Column) -> Column:
+    """The page_id in a record's id; null for null keys."""
+    return F.try_element_at(F.split(record_id, ":"), F.lit(3)).try_cast("bigint")
+
+
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes every page as a record, reads the archives back, and tells of each page what they hold."""
+    """Writes every page as a record, reads the archives back, and tells of each page what they hold.
+
+    Returns page_id, payload_bytes, payload_digest, record_type and refers_to, one row a page, repeated and null keys too;
+    an empty table gives none; other columns are ignored. Archives just written have to be whole: a gap raises.
+    """
     archives = write_archives(pages, shared_path(spark, "warc"))
-    records = written(read_archives(archives).where("reason is null"), "records")
-    number = lambda name: F.expr(f"try_cast(split({name}, ':')[2] as bigint)")
-    whole = records.where("record_type = 'response'").select(F.col("record_id").alias("of"), F.col("payload_bytes").alias("size"), "payload_digest")
-    whole = whole.withColumnRenamed("payload_digest", "digest")
+    found = written(read_archives(archives), "records")
+    if gap := gap_log(found).first():
+        raise OSError(f"{gap['path']}: {gap['reason']} at {gap['offset']}")
+    records = found.where("reason is null")
+    whole = records.where("record_type = 'response'").select(F.col("record_id").alias("of"), F.col("payload_bytes").alias("size"), F.col("payload_digest").alias("digest"))
     joined = records.join(whole, F.coalesce("refers_to", "record_id") == F.col("of"), "left")
-    return joined.select(number("record_id").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+    return joined.select(page_number(F.col("record_id")).alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", page_number(F.col("refers_to")).alias("refers_to"))
+
+
+def salvage(spark: SparkSession, pages: DataFrame, damaged: Column, packed: bool = True) -> DataFrame:
+    """Archives of all pages, some records damaged on purpose, read back: (page_id, recovered) of every record written, and its gap.
+
+    ``damaged`` reads ``page_id``. Columns: page_id, recovered, gap_bytes, gap_reason (null for recovered records).
+    """
+    archives = write_archives(pages, shared_path(spark, "warc"), packed=packed)
+    before = written(read_archives(archives).withColumn("page_id", page_number(F.col("record_id"))), "records")
+    copies = damaged_copies(before, F.coalesce(damaged, F.lit(False)), shared_path(spark, "warc"))
+    after = written(read_archives(copies), "salvaged")
+    name = F.substring_index("path", "/", -1)
+    told = after.select(name.alias("file"), "offset", "length", "reason", "record_id")
+    gaps = told.where("reason is not null").select(F.col("file").alias("_f"), F.col("offset").alias("_o"), F.col("length").alias("gap_bytes"), F.col("reason").alias("gap_reason"))
+    good = told.where("reason is null").select(F.col("file").alias("_gf"), F.col("offset").alias("_go"), F.lit(True).alias("ok"))
+    own = before.select(name.alias("file"), "offset", "page_id")
+    found = own.join(good, (F.col("file") == F.col("_gf")) & (F.col("offset") == F.col("_go")), "left").join(gaps, (F.col("file") == F.col("_f")) & (F.col("offset") == F.col("_o")), "left")
+    return found.select("page_id", F.coalesce("ok", F.lit(False)).alias("recovered"), "gap_bytes", "gap_reason")

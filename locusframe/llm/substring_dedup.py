@@ -36,6 +36,8 @@ BLOCK_ROWS = 2048
 #: Each repeat of so many words in a row goes, however it is punctuated ("over 50 words").
 LEAST_RUN = 51
 GRAM = 16
+#: A side of a join is broadcast up to so many rows (a few MB); larger ones are sorted.
+SMALL = 50_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MARKS = (b".", b"!", b"?")
@@ -190,42 +192,64 @@ def _source(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     return source, source.schema["key"].dataType.simpleString()
 
 
-def band_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(band, name): the band keys of every paragraph and the first half of its name; within a slice each once."""
-    source, _ = _source(docs, key, text)
+def shared_bands(rows: DataFrame) -> DataFrame:
+    """The distinct rows of (band, name) whose band has two names or more; rows stream through their task, whatever a band's size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_batches(batches, 1):
-            found = Paragraphs(texts)
-            names = found.names()
-            chosen = np.flatnonzero(found.lengths >= SHINGLE)
-            _, once = np.unique(names[chosen], return_index=True)
-            chosen = chosen[once]
-            keys = found.bands(chosen)
-            yield pa.RecordBatch.from_arrays([_signed(keys.ravel()), _signed(np.tile(names[chosen], len(keys)))], ["band", "name"])
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # the last row, and whether it was returned
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band, name = (batch.column(i).to_numpy() for i in (0, 1))
+            told = np.zeros(len(band), bool)
+            if held is not None:
+                band, name, told = (np.concatenate([[h], x]) for h, x in zip(held, (band, name, told), strict=True))
+            new = np.concatenate([[True], (band[1:] != band[:-1]) | (name[1:] != name[:-1])])
+            band, name, told = band[new], name[new], told[new]
+            same = np.concatenate([[False], band[1:] == band[:-1], [False]])
+            several = same[:-1] | same[1:]
+            held = band[-1], name[-1], told[-1] | several[-1]
+            out = several & ~told
+            yield pa.RecordBatch.from_arrays([pa.array(band[out]), pa.array(name[out])], ["band", "name"])
 
-    return source.mapInArrow(run, "band bigint, name bigint")
+    return rows.repartition("band").sortWithinPartitions("band", "name").mapInArrow(keep, "band bigint, name bigint")
 
 
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, th, number, words, name) of every paragraph of SHINGLE words or more, th telling texts under one key apart; documents without a key are left out."""
-    source = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), _text_hash(text).alias("th"))
+    """(key, th, number, words, name, bands) of every paragraph of SHINGLE words or more, th telling texts under one key apart.
+
+    ``name`` is the first half of its name, ``bands`` its band keys; of equal paragraphs in a slice of texts only the first has
+    them, the others null.
+    """
+    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), _text_hash(text).alias("th"))
     kind = source.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, 1):
             found = Paragraphs(texts)
             c = np.flatnonzero(found.lengths >= SHINGLE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found.doc[c])), batch.column(2).take(pa.array(found.doc[c])), pa.array(found.number[c].astype(np.int32)), pa.array(found.lengths[c].astype(np.int32)), _signed(found.names()[c])], ["key", "th", "number", "words", "name"])
+            names = found.names()[c]
+            first = np.unique(names, return_index=True)[1]
+            keys = np.ascontiguousarray(found.bands(c[first]).T)
+            sizes = np.zeros(len(c) + 1, np.int32)
+            sizes[first + 1] = BANDS
+            order = np.argsort(first)
+            missing = np.ones(len(c), bool)
+            missing[first] = False
+            bands = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), _signed(keys[order].ravel()), mask=pa.array(missing))
+            own = pa.array(found.doc[c])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(found.number[c].astype(np.int32)), pa.array(found.lengths[c].astype(np.int32)), _signed(names), bands], ["key", "th", "number", "words", "name", "bands"])
 
-    return source.mapInArrow(run, f"key {kind}, th bigint, number int, words int, name bigint")
+    return source.mapInArrow(run, f"key {kind}, th bigint, number int, words int, name bigint, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, every: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(name, shingles): the distinct shingle hashes of each named paragraph, read again from the first document that has it."""
-    least = every.join(broadcast_if_small(names, 1_000_000), "name").groupBy("name").agg(F.min("key").alias("at"))
-    asked = least.groupBy("at").agg(F.collect_list("name").alias("names"))
+    """(name, shingles): the distinct shingle hashes of each named paragraph, read again from the first text that has it."""
+    place = F.struct(F.col("key").isNull().alias("last"), "key", "th")
+    least = every.select("key", "th", "name").join(broadcast_if_small(names, SMALL), "name").groupBy("name").agg(F.min(place).alias("at"))
+    asked = least.groupBy(F.col("at.key").alias("_k"), F.col("at.th").alias("_t")).agg(F.collect_list("name").alias("names"))
     source, _ = _source(docs, key, text)
+    source = source.withColumn("th", _text_hash("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, 0):
@@ -238,7 +262,7 @@ def shingle_sets(docs: DataFrame, every: DataFrame, names: DataFrame, key: str =
             chosen = chosen[found.lengths[chosen] >= SHINGLE]
             yield pa.RecordBatch.from_arrays([pa.array(own[chosen]), pa.array([x.view(np.int64) for x in found.sets(chosen)], pa.list_(pa.int64()))], ["name", "shingles"])
 
-    wanted = source.join(asked, source["key"] == asked["at"]).select("text", "names")
+    wanted = source.join(asked, source["key"].eqNullSafe(asked["_k"]) & (source["th"] == asked["_t"])).select("text", "names")
     return wanted.mapInArrow(run, "name bigint, shingles array<bigint>").groupBy("name").agg(F.first("shingles").alias("shingles"))
 
 
@@ -267,14 +291,10 @@ def jaccard_links(sets: list[np.ndarray], asks: np.ndarray, least: float) -> lis
 def near_paragraphs(docs: DataFrame, every: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Links (a, b) between names of distinct paragraphs that connect all verified pairs.
 
-    ``every``: the table of ``occurrences``. The first pass shuffles (band, name) only, as least and greatest name of a
-    band, summed before the shuffle. Bands with two names are few: the second pass keeps the names that have one, the
-    shingle sets of those are read again, and the bands are compared inside tasks, one of over ``block_rows`` paragraphs
-    as pairs of blocks. A task returns a spanning forest, never all pairs.
+    ``every``: the table of ``occurrences``. (band, name) is shuffled, and the bands with two names are kept. They are few: the shingle sets of their names are read again, and the bands are compared inside tasks, one of over
+    ``block_rows`` paragraphs as pairs of blocks. A task returns a spanning forest, never all pairs.
     """
-    spread = band_rows(docs, key, text).groupBy("band").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b").select("band")
-    bands = written(spread, "bands")
-    named = written(band_rows(docs, key, text).join(broadcast_if_small(bands, 1_000_000), "band").distinct(), "named")
+    named = written(shared_bands(every.select(F.explode("bands").alias("band"), "name")), "named")
     sets = written(shingle_sets(docs, every, named.select("name").distinct(), key, text), "sets")
     members = named.join(sets, "name")
     counts = named.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
@@ -319,8 +339,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     A component holds paragraphs of equal text or of similarity ``least`` or more, directly or through others. Its first
     paragraph (by key, then number) names it and stays. Others are removed if they and the repeating paragraphs beside
     them have ``least_words`` words together. Only components that lose a paragraph are returned. Null and empty texts
-    have no paragraphs, nor have texts of under five words; documents with a null key are left alone; rows that repeat a
-    key and text count once. Equal texts are known by 64-bit hashes (a chance of n^2 / 2^65 of any mix-up).
+    have no paragraphs, nor have texts of under five words; null keys come last, each of their texts by itself; rows that
+    repeat a key and text count once; an empty table gives none; other columns are ignored. Equal texts are known by 64-bit hashes (a chance of n^2 / 2^65 of any mix-up).
     """
     return _passages(docs, key, text, least, least_words).drop("_lf_text")
 
@@ -331,11 +351,11 @@ def _passages(docs: DataFrame, key: str, text: str, least: float, least_words: i
     linked = connected_components(near_paragraphs(docs, every, key, text, least), "a", "b")
     copied = every.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     wanted = written(copied.unionByName(linked.select(F.col("node").alias("name"))).distinct().join(linked, F.col("name") == linked["node"], "left").select("name", F.coalesce("component", "name").alias("component")), "wanted")
-    held = written(every.join(broadcast_if_small(wanted, 1_000_000), "name").select("key", "th", "number", "words", "component").distinct(), "held")
-    place = F.struct("key", "th", "number")
+    held = written(every.join(broadcast_if_small(wanted, SMALL), "name").select("key", "th", "number", "words", "component").distinct(), "held")
+    place = F.struct(F.col("key").isNull().alias("last"), "key", "th", "number")
     # written sides, here and in _runs: each join's shuffle is apart from the sums', so that Spark can split a large component
     firsts = written(held.groupBy("component").agg(F.min(place).alias("first")), "firsts")
-    marked = held.join(broadcast_if_small(firsts), "component").withColumn("again", place != F.col("first"))
+    marked = held.join(broadcast_if_small(firsts, SMALL), "component").withColumn("again", place != F.col("first"))
     return _runs(marked, least_words).select(F.col("key").alias(key), F.col("th").alias("_lf_text"), "number", "words", F.col("first.key").alias("component_doc"), F.col("first.number").alias("component_number"), "removed")
 
 
@@ -347,7 +367,7 @@ def _runs(marked: DataFrame, least_words: int) -> DataFrame:
     gone = runs.withColumn("removed", F.col("together") >= least_words).drop("run", "together")
     every = written(gone.unionByName(marked.where("not again").withColumn("removed", F.lit(False))), "runs")
     losing = written(every.where("removed").select("component").distinct(), "losing")
-    return every.join(broadcast_if_small(losing), "component", "left_semi")
+    return every.join(broadcast_if_small(losing, SMALL), "component", "left_semi")
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -383,9 +403,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     where = F.xxhash64("key", "th", "start")
     anchors = blocks.groupBy("anchor").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.min("block").alias("c"), F.max("block").alias("d"))
     anchors = written(anchors.where("a <> b").select("anchor", F.expr("c <> d").alias("differ")), "anchors")
-    held = written(blocks.join(broadcast_if_small(anchors, 1_000_000), "anchor").drop("anchor"), "anchored")
+    held = written(blocks.join(broadcast_if_small(anchors, SMALL), "anchor").drop("anchor"), "anchored")
     firsts = written(held.groupBy("block").agg(F.min(place).alias("first")), "firsts")
-    judged = written(held.join(broadcast_if_small(firsts), "block").withColumn("later", later), "judged")
+    judged = written(held.join(broadcast_if_small(firsts, SMALL), "block").withColumn("later", later), "judged")
     whole = judged.where("later").select("key", "th", "start", (F.col("start") + F.col("n") + (LEAST_RUN - 1)).alias("stop"), F.col("first.key").alias("origin"))
     asked = judged.where("differ and not later").groupBy("key", "th").agg(F.collect_list(F.struct("start", "n")).alias("blocks"))
     asked = written(asked.select(F.col("key").alias("_k"), F.col("th").alias("_t"), "blocks"), "asked")
@@ -393,7 +413,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     windows = written(texts.mapInArrow(opened, f"key {kind}, th bigint, start int, window bigint"), "windows")
     twice = windows.groupBy("window").agg(F.min(place).alias("first"), F.min(where).alias("a"), F.max(where).alias("b"))
     twice = written(twice.where("a <> b").select("window", "first"), "twice")
-    single = windows.join(broadcast_if_small(twice), "window").where(later).select("key", "th", "start", (F.col("start") + LEAST_RUN).alias("stop"), F.col("first.key").alias("origin"))
+    single = windows.join(broadcast_if_small(twice, SMALL), "window").where(later).select("key", "th", "start", (F.col("start") + LEAST_RUN).alias("stop"), F.col("first.key").alias("origin"))
     before = Window.partitionBy("key", "th").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("key", "th").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
     every = whole.unionByName(single).withColumn("new", F.when(F.col("start") <= F.max("stop").over(before), 0).otherwise(1))
@@ -438,7 +458,8 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """``docs`` with the removed paragraphs and repeated spans cut out of their texts, all rows and columns kept.
 
     ``length`` names a column that is set to the new text's length in characters. Documents without removals pass as
-    they are. Only the numbers of removed paragraphs and the bounds of spans are joined to the documents.
+    they are, null texts and keys too; a text is cut by its own removals, whatever else stands under its key; rows that
+    repeat a key and text are cut alike. Only the numbers of removed paragraphs and the bounds of spans are joined to the documents.
     """
     found = _passages(docs, key, text, least, least_words).where("removed")
     gone = written(found.groupBy(F.col(key).alias("_lf_key"), "_lf_text").agg(F.collect_set("number").alias("_lf_gone")), "removals")

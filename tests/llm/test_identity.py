@@ -26,3 +26,11 @@ def test_passages_go_from_their_own_text(spark):
     rows = [(1, passage), (2, f"Begin.\n{passage}\nEnd."), (2, other)]
     kept = {(r.doc_id, r.text) for r in substring_dedup.remove_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert kept == {(1, passage), (2, "Begin.\nEnd."), (2, other)}
+
+
+def test_null_keys_take_part_and_come_last(spark):
+    passage = " ".join(f"{a} b{i} c{i} d e f g h{i} i{i}." for i, a in enumerate(A.split()[:5]))
+    rows = spark.createDataFrame([(None, f"Begin.\n{passage}\nEnd."), (2, passage)], SCHEMA)
+    told = substring_dedup.repeated_passages(rows).collect()
+    assert {r.doc_id for r in told if r.removed} == {None} and {r.component_doc for r in told} == {2}
+    assert {(r.doc_id, r.text) for r in substring_dedup.remove_passages(rows).collect()} == {(None, "Begin.\nEnd."), (2, passage)}

@@ -146,7 +146,9 @@ def brute_paragraphs(text):
 
 def brute_passages(rows, least=0.8):
     units = {}
-    for doc, text in sorted({(d, t) for d, t in rows if d is not None}, key=lambda x: (x[0], x[1] or "")):
+    last = 10**12  # null keys come last, each of their texts by itself
+    nameless = {t: last + n for n, t in enumerate(sorted({t for d, t in rows if d is None and t}))}
+    for doc, text in sorted({(nameless.get(t, last) if d is None else d, t) for d, t in rows}, key=lambda x: (x[0], x[1] or "")):
         for n, words in enumerate(brute_paragraphs(text)):
             if len(words) >= 5:
                 units[doc, n] = [w.lower() if w.isascii() else w.translate(substring_dedup._LOWER) for w in words]
@@ -177,6 +179,7 @@ def components_of(nodes, links):
 def test_passages(spark, docs, odd, empty):
     for df in (docs, odd):
         rows = substring_dedup.repeated_passages(df).collect()
+        assert all(r.doc_id is not None for r in rows)  # no passage of these tables is lost from a null key
         units, pairs = brute_passages(texts_of(df))
         strong = components_of(units, [(a, b) for a, b, j in pairs if j >= 0.8])
         got = {(r.doc_id, r.number): (r.component_doc, r.component_number) for r in rows}

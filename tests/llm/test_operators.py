@@ -13,9 +13,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from locusframe.llm import bpe, components, exact_dedup, packing, quality_rules, sharding, simhash, substring_dedup, token_store, warc
+from locusframe.llm import bpe, common, components, exact_dedup, packing, quality_rules, sharding, simhash, substring_dedup, token_store, warc
 from locusframe.llm.common import shared_path, table
 from locusframe.llm.queries import vocabulary
+from locusframe.llm.shared_files import whole_file
 from locusframe.llm.token_cache import library_tokenizer, text_encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,6 +125,49 @@ def test_warc_salvage(packed):
     assert [type(x) for x in read(b"junk" + parts[0])] == [warc.Gap, warc.Record]
 
 
+def test_warc_headers_of_any_length_and_mixed_archives(spark):
+    pages = spark.createDataFrame([(1, "http://a/" + "u" * 1_200_000, "<p>x</p>"), (2, "u", "<p>y</p>")], "page_id bigint, url string, html string")
+    assert sorted(r.page_id for r in warc.archive_round_trip(spark, pages).collect()) == [1, 2]
+    raw = [warc.record_bytes("response", f"urn:page:{i}", "u", warc._HTTP % 3 + b"abc", "1970-01-01T00:00:00Z", warc.base32_sha1(b"abc")) for i in range(4)]
+    hurt = bytearray(warc.gzip_member(raw[1]))
+    hurt[len(hurt) // 2] ^= 0xFF
+    data = b"".join([warc.gzip_member(raw[0]), bytes(hurt), raw[2], warc.gzip_member(raw[3]), b"WARC/1.1\r\nno header line here\r\n"])
+    found = list(warc.SalvageReader(Memory(data), len(data)))
+    assert [x.fields["warc-record-id"] for x in found if isinstance(x, warc.Record)] == [f"<urn:page:{i}>" for i in (0, 2, 3)]
+    assert [x.length for x in found if isinstance(x, warc.Gap)] == [len(hurt), 31]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_salvage_of_damaged_archives(spark, small, packed):
+    pages = table(spark, small, "pages")
+    rows = warc.salvage(spark, pages, F.col("page_id") % 7 == 3, packed).collect()
+    assert len(rows) == pages.count() and all(r.recovered == (r.page_id % 7 != 3) for r in rows)
+    assert all((r.gap_bytes or 0) > 0 and r.gap_reason for r in rows if not r.recovered) and all(r.gap_bytes is None for r in rows if r.recovered)
+
+
+def test_archives_are_closed_by_size(spark, small):
+    pages = table(spark, small, "pages").coalesce(1)
+    archives = warc.write_archives(pages, shared_path(spark, "warc"), archive_bytes=20_000)
+    assert archives.count() > 3 and warc.read_archives(archives).where("reason is null").count() == pages.count()
+
+
+def test_second_attempt_keeps_the_file(tmp_path):
+    for _ in range(2):
+        with whole_file(str(tmp_path / "a")) as out:
+            out.write(b"same")
+    assert (tmp_path / "a").read_bytes() == b"same" and len(list(tmp_path.iterdir())) == 1
+
+
+def test_sorted_sides_give_the_same(spark, docs, monkeypatch):
+    """Without any broadcast by count, results are those with it."""
+    jobs = [lambda: exact_dedup.exact_dedup(docs), lambda: exact_dedup.keep_first(docs), lambda: simhash.simhash_components(docs), lambda: simhash.keep_one(docs), lambda: substring_dedup.remove_passages(docs)]
+    want = [j().collect() for j in jobs]
+    for module in (common, exact_dedup, simhash, substring_dedup, warc):
+        monkeypatch.setattr(module, "broadcast_if_small", lambda df, rows=0: df)
+    for job, rows in zip(jobs, want, strict=True):
+        same(job().collect(), rows)
+
+
 # 3
 
 

@@ -127,7 +127,15 @@ f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
   + CASE WHEN 10 * n_symbols > 3 * n_words THEN 32 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 4 * n_lines THEN 64 ELSE 0 END)::bigint AS failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, n_lines, failed FROM f"""
 
+# SHA-1 in base 32: five hex digits are four of its digits. The first page of equal payloads is the response.
+_B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::bigint >> {15 - 5 * j}) & 31)::int + 1, 1)" for i in range(8) for j in range(4))
+_WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT page_id, strlen(x) AS payload_bytes, {_B32} AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_round_trip": _WARC_SQL,
     "op1_rendezvous_sharding": _SHARD_SQL,
     "op6_rule_ledger": _LEDGER_SQL,
     "warc_salvage": "SELECT page_id, page_id % 7 <> 3 AS recovered, CASE WHEN page_id % 7 = 3 THEN true END AS logged FROM pages",

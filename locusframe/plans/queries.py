@@ -244,7 +244,13 @@ def time_split_counts(spark, sf_dir):
     return splits.time_split(e, F.col("ts"), "event_id").groupBy("split").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
 
 
-@query()
+_FOLDS = """, g AS (SELECT grp, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, grp) AS k FROM predictions GROUP BY 1),
+d AS (SELECT 0::bigint AS k, NULL::varchar AS grp, 0::bigint AS n, 0::bigint AS fold, [0, 0, 0, 0, 0]::bigint[] AS loads
+ UNION ALL SELECT g.k, g.grp, g.n, list_position(loads, list_min(loads)) - 1, [CASE WHEN i = list_position(loads, list_min(loads)) THEN loads[i] + g.n ELSE loads[i] END FOR i IN range(1, 6)] FROM d JOIN g ON g.k = d.k + 1)
+SELECT fold::int AS fold, grp, n FROM d WHERE k > 0"""
+
+
+@query(with_tables("predictions").replace("WITH ", "WITH RECURSIVE ", 1) + _FOLDS)
 def group_kfold(spark, sf_dir):
     return splits.group_folds(bound(spark, sf_dir, "predictions"), "grp").groupBy("fold", "grp").agg(F.count("*").alias("n"))
 

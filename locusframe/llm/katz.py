@@ -136,17 +136,26 @@ class Unigrams:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    head = json.dumps([[a.dtype.str, len(a)] for a in arrays]).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + b"".join(a.tobytes() for a in arrays))
+    """Arrays as compressed bytes: ascending codes as differences, and the bytes of each place of all numbers together."""
+    told, parts = [], []
+    for a in arrays:
+        ascending = a.dtype == np.uint64 and len(a) > 1 and bool((a[1:] >= a[:-1]).all())
+        told.append([a.dtype.str, len(a), int(ascending)])
+        x = np.diff(a, prepend=np.uint64(0)) if ascending else np.ascontiguousarray(a)
+        parts.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"")
+    head = json.dumps(told).encode()
+    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + b"".join(parts))
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     at = 4 + int.from_bytes(raw[:4], "little")
     out = []
-    for kind, n in json.loads(raw[4:at]):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += out[-1].nbytes
+    for kind, n, ascending in json.loads(raw[4:at]):
+        size = n * np.dtype(kind).itemsize
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(-1, n).T).reshape(-1).view(kind) if n else np.zeros(0, kind)
+        out.append(np.cumsum(x, dtype=np.uint64) if ascending else x)
+        at += size
     return out
 
 
@@ -279,7 +288,8 @@ def count_words(sent: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame
         to = _bucket(histories[own_history], spread, hot_codes, buckets)
         seen = np.flatnonzero(r > 0)
         for b, own in _parts(to[seen], seen):
-            rows.append((b, _PAIRS, -1, bucket, _packed(histories[own_history[own]], np.diff(own_word[own], prepend=0).astype(np.uint32), r[own].astype(np.uint32), count[own_word[own]].astype(np.uint64))))
+            before, at = np.unique(own_history[own], return_inverse=True)
+            rows.append((b, _PAIRS, -1, bucket, _packed(histories[before], at.astype(np.uint32), np.diff(own_word[own], prepend=0).astype(np.uint32), r[own].astype(np.uint32), count[own_word[own]].astype(np.int64))))
         late = np.concatenate(late_entry)
         number = np.concatenate(late_slice)
         for b, own in _parts(to[entry[late]], np.arange(len(late))):
@@ -320,10 +330,10 @@ def gather(counted: DataFrame, unigrams: Unigrams, hot: dict[int, int]) -> DataF
         whole = lambda x, i, kind: np.concatenate([np.zeros(0, kind), *[p[i] for p in x]]).astype(kind)
         # unseen tokens: history (as a place, or none), slice, document, times; a hot history's pairs may lie elsewhere
         asked = whole([(x[0][x[1]],) for x in unseen], 0, np.uint64)
-        own = whole(pairs, 0, np.uint64)
+        own = whole([(x[0][x[1]],) for x in pairs], 0, np.uint64)
         histories, at = np.unique(np.concatenate([own, np.unique(asked[np.isin(asked, hot_codes)])]), return_inverse=True)
         at = at[: len(own)]
-        r, count = whole(pairs, 2, np.int64), whole(pairs, 3, np.int64)
+        r, count = whole(pairs, 3, np.int64), whole(pairs, 4, np.int64)
         n = len(histories)
         total = lambda x: np.bincount(at, weights=x, minlength=n)
         few = [total(r == k).astype(np.uint32) for k in range(1, CUT + 1)]
@@ -333,8 +343,8 @@ def gather(counted: DataFrame, unigrams: Unigrams, hot: dict[int, int]) -> DataF
         known = np.flatnonzero(place < n)  # an unknown history's weight is 1
         slices, doc, times = whole([(x[2][x[3]],) for x in unseen], 0, np.int64), whole(unseen, 4, np.uint32), whole(unseen, 5, np.uint32)
         which, number = np.unique(slices[known], return_inverse=True)
-        sizes = np.array([len(p[0]) for p in pairs], dtype=np.uint32)
-        table = _packed(histories, *few, *stats, np.array(owners, dtype=np.int64), sizes, at.astype(np.uint32), whole(pairs, 1, np.uint32), r.astype(np.uint32), place[known].astype(np.uint32), which, number.astype(np.uint32), doc[known], times[known])
+        sizes = np.array([len(p[1]) for p in pairs], dtype=np.uint32)
+        table = _packed(histories, *few, *stats, np.array(owners, dtype=np.int64), sizes, at.astype(np.uint32), whole(pairs, 2, np.uint32), r.astype(np.uint32), place[known].astype(np.uint32), which, number.astype(np.uint32), doc[known], times[known])
         return pd.DataFrame([(_MODEL, -1, target, table, *[int((r == k).sum()) for k in range(1, CUT + 2)])], columns=columns)
 
     return counted.groupBy("target").applyInPandas(one, _MET)

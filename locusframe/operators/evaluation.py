@@ -18,13 +18,13 @@ def out_of_fold(rows: DataFrame, learn: Learner, fold: str = "fold", folds: int
     return reduce(DataFrame.unionByName, [learn(rows.where(F.col(fold) != k), rows.where(F.col(fold) == k)) for k in range(folds)])
 
 
-def ablation(splits: dict[str, tuple[DataFrame, DataFrame]], learners: dict[str, Learner], key: str, label: str = "label", replicates: int = 200) -> DataFrame:
+def ablation(splits: dict[str, tuple[DataFrame, DataFrame]], learners: dict[str, Learner], label: str = "label", replicates: int = 200) -> DataFrame:
     """(split, model, auc, ap, auc_low, auc_high, ap_low, ap_high), a row a split and model."""
     parts = []
     for name, (train, test) in splits.items():
         for model, learn in learners.items():
-            scored = learn(train, test).select(key, "score", label)
-            parts.append(metrics.bootstrap_interval(scored, key, label=label, replicates=replicates).select(F.lit(name).alias("split"), F.lit(model).alias("model"), "*"))
+            scored = learn(train, test).select("score", label)
+            parts.append(metrics.bootstrap_interval(scored, label=label, replicates=replicates).select(F.lit(name).alias("split"), F.lit(model).alias("model"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -46,29 +46,39 @@ def threshold_metrics(rows: DataFrame, score: str = "score", label: str = "label
     return c.select("tp", "fp", "fn", "tn", share("tp + tn", "tp + fp + fn + tn").alias("accuracy"), share("tp", "tp + fp").alias("precision"), share("tp", "tp + fn").alias("recall"), share("tn", "tn + fp").alias("specificity"), share("2 * tp", "2 * tp + fp + fn").alias("f1"))
 
 
-def _poisson_steps() -> list[float]:
-    """P(X <= k) of Poisson(1), as far as a double tells them apart."""
-    steps, term, total = [], math.exp(-1), 0.0
-    for k in range(1, 64):
-        if total + term == total:
+def _poisson_steps(rate: int) -> list[float]:
+    """P(X <= k) of Poisson(rate), as far as a double tells them apart."""
+    steps, term, total = [], math.exp(-rate), 0.0
+    for k in range(1, 1000):
+        if k > rate and total + term == total:
             break
         total += term
         steps.append(total)
-        term /= k
+        term *= rate / k
     return [s for s in steps if s < 1]
 
 
-def bootstrap_interval(rows: DataFrame, key: str, score: str = "score", label: str = "label", replicates: int = 200, seed: int = 7) -> DataFrame:
+#: Rows of one score and label that are drawn together in a replicate.
+DRAWN = 30
+
+
+def bootstrap_interval(rows: DataFrame, score: str = "score", label: str = "label", replicates: int = 200, seed: int = 7) -> DataFrame:
     """(auc, ap, auc_low, auc_high, ap_low, ap_high): estimates over all rows, and 95 % intervals over replicates with Poisson(1) weights from a seeded hash.
 
-    Weights are drawn a row and replicate and summed to scores at once; replicates with one class only don't count.
-    With one class in all rows, or none, the areas are 0.5 and the precisions 0; without any replicate bounds are the estimates.
+    Rows are summed to scores first; n rows of one score and label weigh Poisson(n) in a replicate, drawn for up to DRAWN
+    rows at once. Replicates with one class only don't count. With one class in all rows, or none, the areas are 0.5 and
+    the precisions 0; without any replicate bounds are the estimates.
     """
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    first, *steps = _poisson_steps()
-    weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.when(u > first, 1).otherwise(0))
-    spread = rows.select(key, score, label, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    found = ranking(spread, score, label, ["replicate"], weight).where("auc is not null")
+    sums = _by_score(rows, score, label, [])
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("l"), F.col("p").alias("n")), F.struct(F.lit(0).alias("l"), F.col("q").alias("n")))).alias("side")
+    some = sums.select(F.col(score).alias("s"), sides).where("side.n > 0")
+    parts = some.select("s", "side.l", "side.n", F.posexplode(F.sequence(F.lit(1), F.ceil(F.col("side.n") / DRAWN))).alias("at", "part"))
+    parts = parts.withColumn("rate", F.least(F.lit(DRAWN), F.col("n") - F.col("at") * DRAWN).cast("int"))
+    spread = parts.select("s", "l", "at", "rate", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    u = (F.shiftrightunsigned(F.xxhash64("s", "l", "at", "replicate", F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    tables = F.lit([_poisson_steps(r) for r in range(1, DRAWN + 1)])
+    drawn = spread.withColumn("u", u).withColumn("w", F.size(F.filter(F.element_at(tables, F.col("rate")), lambda s: s < F.col("u"))))
+    found = ranking(drawn.select(F.col("s").alias(score), F.col("l").alias(label), "replicate", "w"), score, label, ["replicate"], F.col("w")).where("auc is not null")
     bounds = found.agg(*[F.percentile(m, F.lit(q)).alias(f"{m}_{n}") for m in ("auc", "ap") for n, q in (("low", 0.025), ("high", 0.975))])
     point = ranking(rows, score, label).select("auc", "ap")
     both = bounds.join(F.broadcast(point))

@@ -199,7 +199,7 @@ def ablation_matrix(spark, sf_dir):
     p = bound(spark, sf_dir, "predictions").persist()
     given = lambda train, test: test
     cuts = {"by_key": (p.where("key % 3 <> 0"), p.where("key % 3 = 0")), "by_block": (p.where("key % 30 >= 10"), p.where("key % 30 < 10"))}
-    table = evaluation.ablation(cuts, {"prior": _prior, "score": given}, "key")
+    table = evaluation.ablation(cuts, {"prior": _prior, "score": given})
     meets = evaluation.overlapping(table).select("split", "overlap")
     return table.join(meets, "split")
 

@@ -292,7 +292,7 @@ def threshold_metrics(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return metrics.bootstrap_interval(bound(spark, sf_dir, "predictions"), "key")
+    return metrics.bootstrap_interval(bound(spark, sf_dir, "predictions"))
 
 
 @query()

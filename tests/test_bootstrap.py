@@ -1,5 +1,7 @@
 """Bootstrap intervals with their estimates, and the registered sizes of the jobs."""
 
+from pyspark.sql import functions as F
+
 from locusframe.operators import metrics, models
 from locusframe.plans import queries as plans
 
@@ -8,12 +10,19 @@ SCHEMA = "key bigint, score double, label int"
 
 def test_interval_has_estimates(spark):
     rows = spark.createDataFrame([(i, (i * 37 % 101) / 101, int(i * 53 % 7 < 3 or i % 101 > 80)) for i in range(300)], SCHEMA)
-    got, point = metrics.bootstrap_interval(rows, "key").first(), metrics.ranking(rows).first()
+    got, point = metrics.bootstrap_interval(rows).first(), metrics.ranking(rows).first()
     assert got.auc == point.auc and got.ap == point.ap
     assert got.auc_low < got.auc < got.auc_high and got.ap_low < got.ap < got.ap_high
     for some in (rows.where("label = 1"), rows.limit(0)):
-        assert tuple(metrics.bootstrap_interval(some, "key").first()) == (0.5, 0.0, 0.5, 0.5, 0.0, 0.0)
-    assert len(metrics._poisson_steps()) > 12
+        assert tuple(metrics.bootstrap_interval(some).first()) == (0.5, 0.0, 0.5, 0.5, 0.0, 0.0)
+    assert len(metrics._poisson_steps(1)) > 12 and len(metrics._poisson_steps(30)) > 60
+
+
+def test_many_rows_of_a_score_are_drawn_together(spark):
+    """Intervals from a few scores with many rows each are those of the rows drawn one by one, as wide as theory says."""
+    rows = spark.range(20_000).select((F.col("id") % 2).cast("double").alias("score"), (F.col("id") % 10 < F.when(F.col("id") % 2 == 1, 7).otherwise(3)).cast("int").alias("label"))
+    r = metrics.bootstrap_interval(rows).first()
+    assert r.auc_low < r.auc < r.auc_high and 0.008 < r.auc_high - r.auc_low < 0.02
 
 
 def test_registered_rounds_and_replicates(spark, monkeypatch):

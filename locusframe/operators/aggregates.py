@@ -137,6 +137,31 @@ def changed_classes(old: DataFrame, new: DataFrame, key: list[str], value: str)
     return both.where(~F.col("before").eqNullSafe(F.col("after"))).groupBy("before", "after").agg(F.count("*").alias("n"))
 
 
+def largest_groups(rows: DataFrame, group: str, top: int = 8) -> DataFrame:
+    """(group, n) of the ``top`` largest groups, ties by name: a report's list."""
+    return rows.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(top)
+
+
+def first_mismatches(rows: DataFrame, order: list[str], status: str = "residue_status", top: int = 10) -> DataFrame:
+    """The first ``top`` rows whose residue differs, as examples for a report."""
+    return rows.where(F.col(status) == "mismatch").orderBy(*order).limit(top)
+
+
+def in_vocabulary_order(rows: DataFrame, kind: str = "variant_class") -> DataFrame:
+    """``rows`` (one a class) with ``class_id`` and in its order; classes outside the vocabulary come with other_noncoding."""
+    from locusframe.functions.hgvs import class_id
+
+    return rows.withColumn("class_id", class_id(F.col(kind))).orderBy("class_id", kind)
+
+
+def coordinate_breaks(rows: DataFrame, by: list[str], strand: str, cpos: str, pos: str = "pos") -> DataFrame:
+    """(by, breaks): how often the coding position runs against the genome's along a strand ('-' turns the order)."""
+    before = lambda c: F.lag(c).over(Window.partitionBy(*by).orderBy(cpos, pos))
+    sign = F.when(F.col(strand) == "-", -1).otherwise(1)
+    against = (F.col(cpos) > before(cpos)) & (sign * (F.col(pos) - before(pos)) < 0)
+    return rows.select(*by, against.alias("_against")).groupBy(*by).agg(F.count_if("_against").alias("breaks"))
+
+
 def snapshot_agreement(old: DataFrame, new: DataFrame, key: list[str], compared: list[str]) -> DataFrame:
     """(shared, only_old, only_new, <column>_same, ...) of two tables with one row a key."""
     a = old.select(*key, F.struct(*compared).alias("_a"))

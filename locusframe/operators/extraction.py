@@ -55,7 +55,19 @@ def gene_manifest(extracted: DataFrame, panel: DataFrame, order: str, least: int
     return full.withColumn("is_sparse", F.col("pathogenic") + F.col("benign") < least)
 
 
-def manifest_json(genes: DataFrame) -> DataFrame:
-    """The manifest as one JSON row; it holds a row a panel gene, so it is as small as the panel."""
+def manifest_json(genes: DataFrame, classes: DataFrame | None = None, parameters: dict | None = None) -> DataFrame:
+    """The manifest as one JSON row: sums, genes, genes without labelled variants, sparse genes, class counts and parameters.
+
+    It holds a row a panel gene, so it is as small as the panel. ``classes``: ``aggregates.class_counts`` of the extraction.
+    """
+    if classes is not None:
+        genes = genes.join(classes, "gene", "left")
     sums = [F.sum(c).alias(c) for c in ("pathogenic", "benign", "uncertain", "conflicting")]
-    return genes.agg(*sums, F.sort_array(F.collect_list(F.struct(*genes.columns))).alias("genes")).select(F.to_json(F.struct("*")).alias("value"))
+    named = lambda test: F.sort_array(F.filter(F.collect_list(F.when(test, F.col("gene"))), lambda g: g.isNotNull()))
+    labelled = F.col("pathogenic") + F.col("benign")
+    each = F.transform(F.sort_array(F.collect_list(F.struct(F.col("gene").alias("_g"), F.to_json(F.struct(*genes.columns)).alias("j")))), lambda x: x["j"])
+    told = genes.agg(*sums, named(labelled == 0).alias("genes_without_labels"), named((labelled > 0) & F.col("is_sparse")).alias("sparse_genes"), each.alias("genes"))
+    given = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in (parameters or {"stages": len(STAGES)}).items()]))
+    head = F.to_json(F.struct(*[c for c in told.columns if c != "genes"]))
+    # the genes are JSON already
+    return told.select(F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"genes":['), F.concat_ws(",", "genes"), F.lit('],"parameters":'), given, F.lit("}")).alias("value"))

@@ -243,3 +243,27 @@ def report_texts(spark, sf_dir):
     back = report.parse_range(report.risk_range(F.col("dp").cast("double"), F.col("dp") + 7.0))
     rows = bound(spark, sf_dir, "calls").select("ord", legacy.first_bands(F.col("splice_pct") / 100).alias("band"), report.display_annotation(p, c, F.col("consequence")).alias("shown"), back.alias("r"))
     return rows.select("ord", "band", "shown", "r.low", "r.high")
+
+
+@query(f"{with_tables('variants')} SELECT gene, count(*) AS n FROM variants GROUP BY 1 ORDER BY n DESC, gene LIMIT 8")
+def largest_groups(spark, sf_dir):
+    return aggregates.largest_groups(bound(spark, sf_dir, "variants"), "gene")
+
+
+@query(f"{with_tables('variants')} SELECT ord, gene, aa_pos FROM variants WHERE gene <> 'G1' AND NOT (ref_aa = '*' AND aa_pos = 21) AND aa_pos BETWEEN 1 AND 20 AND substr('KRDWKRDWKRDWKRDWKRDW', aa_pos::int, 1) <> ref_aa ORDER BY ord LIMIT 10")
+def first_mismatches(spark, sf_dir):
+    v = bound(spark, sf_dir, "variants")
+    sequences = v.select("gene").distinct().where("gene <> 'G1'").withColumn("seq", F.lit("KRDW" * 5))
+    return aggregates.first_mismatches(annotate.sequence_lookup(v, sequences), ["ord"]).select("ord", "gene", "aa_pos")
+
+
+@query(f"{with_tables('variants')} SELECT variant_class, count(*) AS n, count(*) FILTER (label = 1) AS positives, CASE variant_class WHEN 'synonymous' THEN 0 WHEN 'missense' THEN 1 WHEN 'nonsense' THEN 2 WHEN 'start_lost' THEN 3 WHEN 'stop_lost' THEN 4 WHEN 'intronic' THEN 7 ELSE 10 END AS class_id FROM variants GROUP BY 1")
+def classes_in_order(spark, sf_dir):
+    counts = aggregates.class_distribution(bound(spark, sf_dir, "variants"), "variant_class", "label").drop("pct")
+    return aggregates.in_vocabulary_order(counts)
+
+
+@query(f"{with_tables('variants')}, l AS (SELECT gene, aa_pos AS c, pos, CASE WHEN cast(substr(gene, 2) AS int) % 2 = 1 THEN -1 ELSE 1 END AS s, lag(aa_pos) OVER w AS c0, lag(pos) OVER w AS p0 FROM variants WINDOW w AS (PARTITION BY gene ORDER BY aa_pos, pos)) SELECT gene, count(*) FILTER (c > c0 AND s * (pos - p0) < 0) AS breaks FROM l GROUP BY 1")
+def coordinate_breaks(spark, sf_dir):
+    v = bound(spark, sf_dir, "variants").withColumn("strand", F.when(F.substring("gene", 2, 9).cast("int") % 2 == 1, "-").otherwise("+"))
+    return aggregates.coordinate_breaks(v, ["gene"], "strand", "aa_pos")

@@ -261,3 +261,13 @@ def test_class_counts_and_flags(spark):
     rows = spark.createDataFrame([("A", "x", 1), ("A", "x", 2), ("A", "y", 3), ("A", "", 4), ("B", None, 5)], "gene string, t string, ord long")
     assert {r.gene: r.classes for r in aggregates.class_counts(rows, "gene", "t").collect()} == {"A": {"x": 2, "y": 1, "": 1}}
     assert {r.ord: r.on for r in aggregates.primary_flag(rows, "gene", "t", "ord", "on").collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
+def test_manifest_json(spark):
+    from locusframe.operators import extraction
+
+    genes = spark.createDataFrame([("A", 40, 5, 1, 0, "T1", False), ("B", 1, 0, 0, 0, None, True), ("C", 0, 0, 2, 0, None, True)], "gene string, pathogenic long, benign long, uncertain long, conflicting long, primary_transcript string, is_sparse boolean")
+    classes = spark.createDataFrame([("A", {"missense": 45})], "gene string, classes map<string,long>")
+    told = json.loads(extraction.manifest_json(genes, classes, {"min_stars": 1, "indels": False}).first()["value"])
+    assert (told["pathogenic"], told["genes_without_labels"], told["sparse_genes"], told["parameters"]) == (41, ["C"], ["B"], {"min_stars": 1, "indels": False})
+    assert [g["gene"] for g in told["genes"]] == ["A", "B", "C"] and told["genes"][0]["classes"] == {"missense": 45}

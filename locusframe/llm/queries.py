@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import bpe, exact_dedup, katz, packing, quality_rules, sharding, simhash, substring_dedup, token_store, warc
+from locusframe.llm import bpe, exact_dedup, katz, language, packing, quality_rules, sharding, simhash, substring_dedup, token_store, warc
 from locusframe.llm.common import table
 
 SHARDS = 8
@@ -74,6 +74,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those outside the held-out fold."""
+    return language.identify(spark, table(spark, sf_dir, "documents"))
+
+
 def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which pages come back from archives in which every seventh page's record was damaged."""
     return warc.salvage(spark, table(spark, sf_dir, "pages"), F.col("page_id") % 7 == 3).select("page_id", "recovered", (F.col("gap_bytes") > 0).alias("logged"))
@@ -90,7 +95,7 @@ def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rendezvous_sharding, op2_warc_round_trip, op3_paragraph_minhash, op4_token_frames, op5_prefix_bpe, op6_rule_ledger, op7_vector_packing, op8_simhash_pigeonring, op9_katz_scores, op10_exact_dedup, warc_salvage, rule_ablations, packed_conversations)
+    f.__name__: f for f in (op1_rendezvous_sharding, op2_warc_round_trip, op3_paragraph_minhash, op4_token_frames, op5_prefix_bpe, op6_rule_ledger, op7_vector_packing, op8_simhash_pigeonring, op9_katz_scores, op10_exact_dedup, op13_cross_parsing, warc_salvage, rule_ablations, packed_conversations)
 }
 
 # The rendezvous scores of shards 0 to 8 in SQL, and the reduction of a CRC-32 over a text's bytes by a table of 256.

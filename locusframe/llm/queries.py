@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import alignment, bpe, exact_dedup, katz, language, packing, quality_rules, sharding, simhash, substring_dedup, token_store, warc
+from locusframe.llm import alignment, bpe, exact_dedup, katz, language, packing, prefix_trie, quality_rules, sharding, simhash, substring_dedup, token_store, warc
 from locusframe.llm.common import table
 
 SHARDS = 8
@@ -79,6 +79,11 @@ def op11_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations with its subtree totals."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those outside the held-out fold."""
     return language.identify(spark, table(spark, sf_dir, "documents"))
@@ -100,7 +105,7 @@ def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rendezvous_sharding, op2_warc_round_trip, op3_paragraph_minhash, op4_token_frames, op5_prefix_bpe, op6_rule_ledger, op7_vector_packing, op8_simhash_pigeonring, op9_katz_scores, op10_exact_dedup, op11_merge_path_alignment, op13_cross_parsing, warc_salvage, rule_ablations, packed_conversations)
+    f.__name__: f for f in (op1_rendezvous_sharding, op2_warc_round_trip, op3_paragraph_minhash, op4_token_frames, op5_prefix_bpe, op6_rule_ledger, op7_vector_packing, op8_simhash_pigeonring, op9_katz_scores, op10_exact_dedup, op11_merge_path_alignment, op12_prefix_trie, op13_cross_parsing, warc_salvage, rule_ablations, packed_conversations)
 }
 
 # The rendezvous scores of shards 0 to 8 in SQL, and the reduction of a CRC-32 over a text's bytes by a table of 256.

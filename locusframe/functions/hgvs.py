@@ -95,17 +95,18 @@ def significance_label(text: Column) -> Column:
 
 
 def significance_tier(text: Column) -> Column:
-    """struct(tier, score) of a registry's verdict; here words must stand alone."""
+    """struct(tier, score) of a registry's verdict; here words must stand alone, and only the phrase 'likely pathogenic' (or
+    'likely benign') makes a verdict a likely one."""
     low = F.lower(F.coalesce(text, F.lit("")))
     word = lambda w: low.rlike(rf"\b{w}\b")
     path, benign = word("pathogenic"), word("benign")
     made = lambda tier, score: F.struct(F.lit(tier).alias("tier"), F.lit(score).alias("score"))
     return (
-        F.when(low.contains("conflicting") | low.contains("uncertain") | word("vus") | (path & benign), made("VUS", 0.5))
-        .when(path & low.contains("likely"), made("Likely Pathogenic", 0.90))
-        .when(path, made("Pathogenic", 0.99))
-        .when(benign & low.contains("likely"), made("Likely Benign", 0.10))
-        .when(benign, made("Benign", 0.01))
+        F.when(low.contains("conflicting") | low.contains("uncertain") | low.contains("vus") | (path & benign), made("VUS", 0.5))
+        .when(path & low.contains("likely pathogenic"), made("Likely Pathogenic", 0.95))
+        .when(path, made("Pathogenic", 0.999))
+        .when(benign & low.contains("likely benign"), made("Likely Benign", 0.05))
+        .when(benign, made("Benign", 0.001))
         .otherwise(made("VUS", 0.5))
     )
 

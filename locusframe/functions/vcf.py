@@ -39,8 +39,8 @@ def format_number(form: Column, sample: Column, name: str) -> Column:
 
 
 def info_value(info: Column, *keys: str) -> Column:
-    """The value of the first of the keys that stands in the text."""
-    return F.nullif(F.regexp_extract(info, rf"(?:^|;)(?:{'|'.join(keys)})=([^;]*)", 1), F.lit(""))
+    """The value of the first of the keys that stands in the text with a value."""
+    return F.nullif(F.regexp_extract(info, rf"(?:^|;)(?:{'|'.join(keys)})=([^;]+)", 1), F.lit(""))
 
 
 def allele_frequency(info: Column, alt_index: Column) -> Column:
@@ -70,13 +70,20 @@ def first_annotation(info: Column, tag: str, fields: dict[str, int], ref: Column
 
 
 def splice_score(info: Column, ref: Column, alt: Column, n_alts: Column) -> Column:
-    """The largest of four splice deltas over entries of this allele; entries with a bad number don't count."""
+    """The largest splice delta of this alternative; null without any.
+
+    Entries of SpliceAI count if their allele is this one (upper case; unnamed with one alternative only). Empty and '.'
+    deltas are skipped; an entry with a delta that isn't a number doesn't count. With one alternative the tags DS_MAX,
+    SpliceAI_DS_max and SpliceAI_max count too, in any case. Deletions have no short form here, so ``ref`` isn't read.
+    """
     fields = F.transform(F.split(info_value(info, "SpliceAI"), ","), lambda e: F.split(e, r"\|"))
-    parsed = F.transform(fields, lambda e: F.struct(F.get(e, F.lit(0)).alias("allele"), F.size(e).alias("n"), F.transform(F.slice(e, 3, 4), lambda x: x.try_cast("double")).alias("deltas")))
-    whole = lambda e: (e["n"] >= 6) & ~F.exists(e["deltas"], lambda x: x.isNull()) & allele_matches(e["allele"], ref, alt, n_alts)
-    own = F.array_max(F.transform(F.filter(parsed, whole), lambda e: F.array_max(e["deltas"])))
-    tag = F.when(n_alts == 1, F.regexp_extract(info, r"(?i)(?:^|;)(?:SpliceAI_)?DS_MAX=([0-9.]+)", 1).try_cast("double"))
-    return F.greatest(own, tag)
+    told = lambda e: F.filter(F.transform(F.slice(e, 3, 4), lambda x: F.trim(x)), lambda x: ~x.isin("", "."))
+    parsed = F.transform(fields, lambda e: F.struct(F.upper(F.trim(F.get(e, F.lit(0)))).alias("allele"), F.size(e).alias("n"), F.transform(told(e), lambda x: x.try_cast("double")).alias("deltas")))
+    own = lambda e: F.when(e["allele"].isin("", "."), n_alts == 1).otherwise(e["allele"] == alt)
+    whole = lambda e: (e["n"] >= 6) & ~F.exists(e["deltas"], lambda x: x.isNull()) & own(e)
+    best = F.array_max(F.transform(F.filter(parsed, whole), lambda e: F.array_max(e["deltas"])))
+    tag = F.when(n_alts == 1, F.regexp_extract(info, r"(?i)(?:^|;)(?:DS_MAX|SpliceAI_DS_max|SpliceAI_max)=([0-9.]+)", 1).try_cast("double"))
+    return F.greatest(best, tag)
 
 
 def consequence_class(consequence: Column) -> Column:

@@ -30,7 +30,8 @@ def duplicate_summary(rows: DataFrame, key: list[str], order: str, label: str) -
 def mode_by(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
     """(group, value, n): the most frequent value, the first seen of equals."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
-    return counts.groupBy(group).agg(F.max_by(F.struct(value, "n"), F.struct("n", -F.col("_first"))).alias("_m")).select(group, f"_m.{value}", "_m.n")
+    # the least first place of the greatest number: min_by of a struct whose number is negative
+    return counts.groupBy(group).agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), "_first")).alias("_m")).select(group, f"_m.{value}", "_m.n")
 
 
 def strand_vote(rows: DataFrame, group: str, plus: Column, minus: Column) -> DataFrame:
@@ -56,6 +57,12 @@ def null_audit(rows: DataFrame) -> DataFrame:
     return rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in rows.columns])
 
 
+def multiplicity(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(n, groups): how many groups have n distinct values."""
+    each = rows.groupBy(*group).agg(F.countDistinct(value).alias("n"))
+    return each.groupBy("n").agg(F.count("*").alias("groups"))
+
+
 def ordinal(rows: DataFrame, column: str, name: str) -> DataFrame:
     """``rows`` with the 0-based rank of the column's value among its sorted distinct values."""
     ids = rows.select(column).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(column)) - 1)  # distinct values only

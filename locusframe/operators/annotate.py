@@ -128,12 +128,12 @@ def baseline_lookup(risks: DataFrame, baselines: DataFrame) -> DataFrame:
     return found.withColumn("baseline_text", F.when(F.col("baseline").isNull(), "Baseline unavailable").otherwise(F.format_string("~%.1f%% general pop.", F.col("baseline").cast("double"))))
 
 
-def risk_fan_out(calls: DataFrame, risks: DataFrame, probability: str, default: str = "GEN_DEFAULT") -> DataFrame:
-    """A row a call and outcome with ``expected`` = probability x rate and ``place`` by it, largest first.
+def risk_fan_out(calls: DataFrame, risks: DataFrame, probability: str, key: list[str], default: str = "GEN_DEFAULT") -> DataFrame:
+    """A row a call and outcome with ``expected`` = probability x rate and ``place`` by it in the call, largest first.
 
-    Genes without a row in ``risks`` (gene, outcome, rate) take those of ``default``.
+    ``key`` tells one call from another, so calls that are equal in all else have places of their own. Genes without a row in ``risks`` (gene, outcome, rate) take those of ``default``.
     """
     known = risks.select(F.col("gene").alias("_known")).distinct()
     at = calls.join(known, calls["gene"] == known["_known"], "left").withColumn("_gene", F.coalesce("_known", F.lit(default))).drop("_known")
     rows = at.join(risks.select(F.col("gene").alias("_gene"), "outcome", "rate"), "_gene").withColumn("expected", F.col(probability) * F.col("rate")).drop("_gene")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*calls.columns).orderBy(F.desc("expected"), "outcome")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("expected"), "outcome")))

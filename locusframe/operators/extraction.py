@@ -14,9 +14,9 @@ STAGES = ["not_in_panel", "ambiguous_gene", "assembly", "origin", "no_alleles",
 
 
 def told(rows: DataFrame, panel: list[str]) -> DataFrame:
-    """``rows`` (symbols, name, significance, review, ...) with gene, label, stars and variant_class read from their texts."""
+    """``rows`` (symbols, name, significance, review, ...) with gene, label, stars and variant_class read from their texts, alleles in upper case."""
     kind = hgvs.classify_name(F.col("name"))
-    return rows.withColumns({"gene": hgvs.single_panel_hit(F.col("symbols"), panel), "label": hgvs.significance_label(F.col("significance")), "stars": hgvs.review_stars(F.col("review")), "variant_class": kind["variant_class"]})
+    return rows.withColumns({"ref": F.upper("ref"), "alt": F.upper("alt"), "gene": hgvs.single_panel_hit(F.col("symbols"), panel), "label": hgvs.significance_label(F.col("significance")), "stars": hgvs.review_stars(F.col("review")), "variant_class": kind["variant_class"]})
 
 
 def drop_reason(min_stars: int = 1, indels: bool = False, longest: int = 50) -> Column:
@@ -47,10 +47,15 @@ def funnel(rows: DataFrame, panel: list[str], min_stars: int = 1, indels: bool =
 
 
 def gene_manifest(extracted: DataFrame, panel: DataFrame, order: str, least: int = 30) -> DataFrame:
-    """One row a panel gene, those without any variant too: counts by label, sparse flag and primary transcript."""
+    """One row a panel gene, those without any variant too: counts by label, sparse flag and primary transcript.
+
+    Only single-base variants are counted. The primary transcript is that of most labelled and uncertain ones; of equals
+    the one seen first, labelled variants before uncertain ones. Conflicting variants have no vote.
+    """
+    extracted = extracted.where((F.length("ref") == 1) & (F.length("alt") == 1))
     counts = extracted.groupBy("gene").agg(*[F.count_if(F.col("label") == v).alias(n) for n, v in (("pathogenic", 1), ("benign", 0), ("uncertain", 2), ("conflicting", -1))])
-    named = extracted.withColumn("transcript", hgvs.name_transcript(F.col("name")))
-    primary = aggregates.mode_by(named, "gene", "transcript", order).select("gene", F.col("transcript").alias("primary_transcript"))
+    voting = extracted.where(F.col("label").isin(0, 1, 2)).withColumns({"transcript": hgvs.name_transcript(F.col("name")), "_vote": F.struct((F.col("label") == 2).alias("later"), order)})
+    primary = aggregates.mode_by(voting, "gene", "transcript", "_vote").select("gene", F.col("transcript").alias("primary_transcript"))
     full = panel.select("gene").distinct().join(counts, "gene", "left").join(primary, "gene", "left").fillna(0, ["pathogenic", "benign", "uncertain", "conflicting"])
     return full.withColumn("is_sparse", F.col("pathogenic") + F.col("benign") < least)
 

@@ -31,7 +31,7 @@ def calls_of(sites: DataFrame, min_dp: int = 10, min_gq: int = 20, pass_only: bo
     """One row a called alternative of the sites that pass the filters, with gt, dp, gq, ps, af and splice."""
     text = lambda n: vcf.format_field(F.col("format"), F.col("sample"), n)
     number = lambda n: vcf.format_number(F.col("format"), F.col("sample"), n)
-    rows = sites.withColumns({"gt": text("GT"), "dp": number("DP"), "gq": number("GQ"), "ps": number("PS")})
+    rows = sites.withColumns({"gt": text("GT"), "dp": number("DP"), "gq": number("GQ"), "ps": text("PS")})
     kept = rows.where(classify.call_drop_reason(min_dp, min_gq, pass_only) == "kept")
     split = classify.split_alternatives(kept)
     info = F.col("info")

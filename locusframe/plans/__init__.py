@@ -1,3 +1,3 @@
 """plans of the library: importing it registers all queries."""
 
-from locusframe.plans import job_queries, queries, table_queries  # noqa: F401
+from locusframe.plans import case_queries, job_queries, queries, table_queries  # noqa: F401

@@ -127,7 +127,7 @@ def legacy_risk_fan_out(spark, sf_dir):
     p = bound(spark, sf_dir, "penetrance").where("gene <> 'G4'").select("gene", "outcome", F.col("risk_high_pct").alias("rate"))
     risks = p.unionByName(spark.createDataFrame([("GEN_DEFAULT", "any", 5.0), ("GEN_DEFAULT", "other", 2.0)], "gene string, outcome string, rate double"))
     k = bound(spark, sf_dir, "kept").select("ord", "gene", F.col("splice").cast("double").alias("splice"))
-    return annotate.risk_fan_out(k, risks, "splice").select("ord", "outcome", F.round("expected", 6).alias("expected"), F.col("place").cast("bigint").alias("place"))
+    return annotate.risk_fan_out(k, risks, "splice", ["ord"]).select("ord", "outcome", F.round("expected", 6).alias("expected"), F.col("place").cast("bigint").alias("place"))
 
 
 _CODONS = "(VALUES " + ", ".join(str(c) for c in quality.codon_changes()) + ") x(ra, i, r, a, aa)"

@@ -8,6 +8,7 @@ from locusframe.functions import features, legacy
 from locusframe.operators import aggregates, annotate, extraction, metrics, quality
 from locusframe.plans.bindings import bound, with_tables
 from locusframe.plans.queries import query
+from locusframe.sources.shared import written
 
 PANEL = ["AB1", "BRCA1", "CD2"]
 _DUMP = """dump AS (SELECT ord, chrom, pos, ref, CASE WHEN dp = 7 THEN 'NA' WHEN dp = 8 THEN ref WHEN dp = 9 THEN alt || 'A' ELSE alt END AS alt,
@@ -33,13 +34,13 @@ def extraction_funnel(spark, sf_dir):
 
 @query(f"""{with_tables('calls')}, {_DUMP}, {_REASON}, k AS (SELECT *, CASE symbols WHEN 'CD2' THEN 'CD2' ELSE 'AB1' END AS gene FROM reasons WHERE stage = 'kept'),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos, ref, alt, gene ORDER BY ord) AS rn FROM k) WHERE rn = 1),
-t AS (SELECT gene, split_part(name, '(', 1) AS tx, row_number() OVER (PARTITION BY gene ORDER BY count(*) DESC, min(ord)) AS rn FROM f GROUP BY 1, 2),
+t AS (SELECT gene, split_part(name, '(', 1) AS tx, row_number() OVER (PARTITION BY gene ORDER BY count(*) DESC, min(CASE WHEN significance LIKE 'Unc%' THEN 1000000000000000000 ELSE 0 END + ord)) AS rn FROM f WHERE significance NOT LIKE 'Conf%' GROUP BY 1, 2),
 c AS (SELECT gene, count(*) FILTER (significance = 'Pathogenic') AS pathogenic, count(*) FILTER (significance = 'Likely benign') AS benign, count(*) FILTER (significance LIKE 'Unc%') AS uncertain, count(*) FILTER (significance LIKE 'Conf%') AS conflicting FROM f GROUP BY 1)
 SELECT p.gene, coalesce(pathogenic, 0) AS pathogenic, coalesce(benign, 0) AS benign, coalesce(uncertain, 0) AS uncertain, coalesce(conflicting, 0) AS conflicting, tx AS primary_transcript, coalesce(pathogenic + benign, 0) < 30 AS is_sparse
 FROM (SELECT unnest({PANEL}) AS gene) p LEFT JOIN c ON p.gene = c.gene LEFT JOIN t ON p.gene = t.gene AND rn = 1""")
 def extraction_manifest(spark, sf_dir):
     panel = spark.createDataFrame([(g,) for g in PANEL], "gene string")
-    return extraction.gene_manifest(extraction.extract(dump(spark, sf_dir), PANEL, "ord").persist(), panel, "ord")  # read three times
+    return extraction.gene_manifest(written(extraction.extract(dump(spark, sf_dir), PANEL, "ord"), "extracted"), panel, "ord")  # read three times
 
 
 @query(f"{with_tables('predictions')} SELECT class, count(*) AS n, count(*) FILTER (label = 1) AS positives, round(100.0 * count(*) / sum(count(*)) OVER (), 4)::double AS pct FROM predictions GROUP BY 1")

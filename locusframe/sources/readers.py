@@ -84,7 +84,7 @@ def read_fasta(spark: SparkSession, path) -> DataFrame:
     """(header, gene, seq) of each record; the gene is the header's first word."""
     records = spark.read.text(path, lineSep=">").where("trim(value) <> ''").select(F.split("value", r"\r?\n").alias("lines"))
     header = F.get("lines", F.lit(0))
-    return records.select(header.alias("header"), F.get(F.split(header, r"\s+"), F.lit(0)).alias("gene"), F.upper(F.concat_ws("", F.transform(F.expr("slice(lines, 2, size(lines))"), F.trim))).alias("seq"))
+    return records.select(header.alias("header"), F.get(F.split(header, r"\s+"), F.lit(0)).alias("gene"), F.upper(F.concat_ws("", F.transform(F.expr("slice(lines, 2, size(lines))"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")))).alias("seq"))
 
 
 def fasta_header_fields(header):

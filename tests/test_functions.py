@@ -48,3 +48,40 @@ def test_vcf_reader_and_assembly(spark, tmp_path):
     readers.require_assembly(spark, str(tmp_path / "a.vcf"))
     with pytest.raises(ValueError, match="older"):
         readers.require_assembly(spark, str(tmp_path / "b.vcf"))
+
+
+@pytest.mark.parametrize(
+    ("info", "alts", "ref", "alt", "score"),
+    [
+        ("SpliceAI=T|X|.|0.88|.|.", 1, "A", "T", 0.88), ("SpliceAI=T|X|0.88||0.1|0", 1, "A", "T", 0.88), ("SpliceAI=t|X|0|0.5|0|0", 2, "A", "T", 0.5), ("SpliceAI=-|X|0.9|0|0|0", 1, "AT", "A", None),
+        ("SpliceAI_max=0.91", 1, "A", "T", 0.91), ("SpliceAI_max=0.91", 2, "A", "T", None), ("ds_max=0.3;SpliceAI=T|X|0.2|0|0|0", 1, "A", "T", 0.3), ("SpliceAI=.|X|0.7|0|0|0", 1, "A", "T", 0.7),
+        ("SpliceAI=.|X|0.7|0|0|0", 2, "A", "T", None), ("SpliceAI=T|X|0.7|bad|0|0", 1, "A", "T", None), ("SpliceAI=T|X|0.7|0|0", 1, "A", "T", None), ("SpliceAI=C|X|0.7|0|0|0,T|X|0.11|0|0|0", 2, "A", "T", 0.11), ("SpliceAI=T|X|.|.|.|.", 1, "A", "T", None),
+    ],
+)
+def test_splice_score(spark, info, alts, ref, alt, score):
+    df = spark.createDataFrame([(info, ref, alt)], "info string, ref string, alt string")
+    assert df.select(vcf.splice_score(F.col("info"), F.col("ref"), F.col("alt"), F.lit(alts))).first()[0] == score
+
+
+def test_significance_scores(spark):
+    from locusframe.plans.case_queries import VERDICT_TEXTS
+
+    rows = spark.createDataFrame(VERDICT_TEXTS, "t string, tier string, score double").select("tier", "score", hgvs.significance_tier(F.col("t")).alias("s")).collect()
+    assert all((r.s.tier, r.s.score) == (r.tier, r.score) for r in rows)
+
+
+def test_text_phase_sets(spark):
+    rows = [("s", "G", "1", 10, "A", "G", "0|1", "a1", 1), ("s", "G", "1", 20, "A", "G", "1|0", "b2", 2), ("s", "H", "1", 10, "A", "G", "0|1", "a1", 3), ("s", "H", "1", 20, "A", "G", "1|0", "a1", 4)]
+    df = spark.createDataFrame(rows, "sample_id string, gene string, chrom string, pos long, ref string, alt string, gt string, ps string, ord long")
+    assert {r.gene: r.state for r in classify.phase_states(df, "ord").collect()} == {"G": "unphased", "H": "trans"}
+
+
+def test_frequency_keys(spark):
+    texts = ["AF=;gnomAD_AF=0.5", "AF=.;gnomAD_AF=0.5", "gnomAD_AF=0.1;AF=0.2", "XAF=0.1", "AF=x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(vcf.allele_frequency(F.col("t"), F.lit(0))).collect()
+    assert [r[0] for r in rows] == [0.5, None, 0.1, None, None]
+
+
+def test_fasta_lines_are_trimmed(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">G1 x\n MK \nR0\t\n>G2\nA1C\n")
+    assert {(r.gene, r.seq) for r in readers.read_fasta(spark, str(tmp_path / "a.fa")).collect()} == {("G1", "MKR0"), ("G2", "A1C")}

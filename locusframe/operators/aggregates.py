@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.operators.ranks import dictionary
+
 
 def funnel(rows: DataFrame, reason: Column, stages: list[str]) -> DataFrame:
     """(stage, dropped, left): one count a reason, then what is left after each stage in order."""
@@ -63,10 +65,24 @@ def multiplicity(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     return each.groupBy("n").agg(F.count("*").alias("groups"))
 
 
-def ordinal(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """``rows`` with the 0-based rank of the column's value among its sorted distinct values."""
-    ids = rows.select(column).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(column)) - 1)  # distinct values only
-    return rows.join(ids, column)
+def ordinal(rows: DataFrame, column: str, name: str, ids: DataFrame | None = None, unknown: str = "error") -> DataFrame:
+    """``rows`` with the 0-based rank of the column's value among the sorted distinct ones.
+
+    ``ids`` is a dictionary (column, name) fitted before, by ``ranks.dictionary``; without it that of ``rows``. Values that
+    it lacks, null among them, raise in the task that meets them ('error'), get -1 ('keep'), or go with their rows
+    ('skip'). All rows are kept otherwise; a dictionary fitted here numbers values in ranges, so no task holds them all.
+    """
+    if unknown not in ("error", "keep", "skip"):
+        raise ValueError(f"unknown={unknown!r}: error, keep or skip")
+    fitted = ids is None
+    ids = dictionary(rows, column, name) if fitted else ids.select(column, name)
+    found = rows.join(ids, column, "inner" if unknown == "skip" else "left")
+    if unknown == "skip":
+        return found.select(*rows.columns, name)
+    missing = F.raise_error(F.concat(F.lit(f"{column}: unknown value "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
+    instead = F.lit(-1) if unknown == "keep" else missing.cast("bigint")
+    instead = F.when(F.col(column).isNull(), F.lit(None).cast("bigint")).otherwise(instead) if fitted else instead
+    return found.select(*rows.columns, F.coalesce(F.col(name), instead).alias(name))
 
 
 def standardised(rows: DataFrame, columns: list[str], fit: DataFrame | None = None) -> DataFrame:

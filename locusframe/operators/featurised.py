@@ -6,18 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions import features, hgvs
+from locusframe.operators import aggregates, annotate
 
 PROPERTIES = ("mw", "charge", "logp", "tpsa")
+#: Columns that get the number of their value, and its name.
+IDS = {"gene": "gene_id", "syndrome_group": "syndrome_id"}
 
 
-def featurise(variants: DataFrame, genes: DataFrame, residues: DataFrame, pairs: DataFrame) -> DataFrame:
+def with_ids(rows: DataFrame, fitted: dict[str, DataFrame] | None = None, unknown: str = "error") -> DataFrame:
+    """``rows`` with gene_id and, where they have a syndrome_group, syndrome_id: ranks among the sorted distinct values.
+
+    ``fitted`` has the dictionaries of a training table by column (``ranks.dictionary``), for serving; ``unknown`` says what
+    becomes of values that they lack (``aggregates.ordinal``).
+    """
+    for column, name in IDS.items():
+        if column in rows.columns:
+            rows = aggregates.ordinal(rows, column, name, (fitted or {}).get(column), unknown)
+    return rows
+
+
+def featurise(variants: DataFrame, genes: DataFrame, residues: DataFrame, pairs: DataFrame, unknown_genes: str = "error") -> DataFrame:
     """``variants`` with their features; all rows and columns kept.
 
-    ``genes``: gene, strand, length (a gene without a row: '+', 1000). ``residues``: aa and the PROPERTIES of the
+    ``genes``: gene, strand, length. A gene without a row stops the job before it starts, naming up to ten such genes; with
+    ``unknown_genes`` 'default' it counts as '+' and 1000 long. ``residues``: aa and the PROPERTIES of the
     standard ones. ``pairs``: ref_aa, alt_aa, distance, dissimilarity. Residues and pairs are tables of 20 and 400 rows by
     their nature. Variants have ref, alt, variant_class, ref_aa, alt_aa and aa_pos. Dissimilarity is 1 for starts and
     stops, 0 for equal residues.
     """
+    if unknown_genes not in ("error", "default"):
+        raise ValueError(f"unknown_genes={unknown_genes!r}: error or default")
+    if unknown_genes == "error":
+        annotate.require_known(variants, genes, "gene")
     kind = F.col("variant_class")
     side = lambda which: residues.select(F.col("aa").alias(f"{which}_aa"), *[F.col(p).alias(f"_{which}_{p}") for p in PROPERTIES])
     rows = variants.join(genes.select("gene", F.col("strand").alias("_strand"), F.col("length").alias("_length")), "gene", "left")

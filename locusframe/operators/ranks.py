@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.sources.shared import written
+
 #: Rows of one range, roughly.
 RANGE_ROWS = 500_000
 _MOST_RANGES = 10_000
@@ -37,6 +39,34 @@ def running(ranged: DataFrame, by: list[str], order: list[Column], sums: dict[st
     return joined.withColumns({n: F.col(f"_f_{n}") + F.col(f"_i_{n}") for n in sums}).drop(*[f"_{k}_{n}" for k in "fi" for n in sums])
 
 
+def positions(rows: DataFrame, by: list[str], order: list[Column], name: str = "_n") -> DataFrame:
+    """``rows`` with their number from 1 in each group by ``order``, of any types; no task holds a group, however equal its rows.
+
+    Rows are sorted in ranges of (by, order) and the sorted table is written, which fixes the ranges; a range's rows are
+    numbered by their place in it, and a group's ranges are counted (a row a group and range). Rows equal in ``order`` are
+    numbered in an unspecified order. Nulls come first (last where the order descends).
+    """
+    ranged = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    # the lower 33 bits of the id number the rows of a partition, in their order
+    placed = ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = written(placed, "sorted")
+    parts = placed.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], F.col("_part").alias("_p"), (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_start"))
+    if not by:
+        starts = F.broadcast(starts)  # a row a partition
+    same = placed["_part"] == starts["_p"]
+    for i, b in enumerate(by):
+        same &= placed[b].eqNullSafe(starts[f"_b{i}"])
+    return placed.join(starts, same).withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_p", "_start", *[f"_b{i}" for i in range(len(by))])
+
+
+def dictionary(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): the distinct values of a column, null left out, with their 0-based rank by value."""
+    values = rows.where(F.col(column).isNotNull()).select(column).distinct()
+    return positions(values, [], [F.col(column)], name).withColumn(name, F.col(name) - 1)
+
+
 def numbered(rows: DataFrame, by: list[str], order: Column, ties: list[str], name: str = "_n") -> DataFrame:
     """``rows`` with their exact number from 1 in each group by ``order``, then by ``ties``."""
     ranged = with_range(rows.withColumn("_order", order), F.col("_order"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.operators.ranks import numbered
+from locusframe.operators.ranks import numbered, positions
 
 
 def stratified_split(rows: DataFrame, label: str, order: Column, key: str, train: float = 0.70, validation: float = 0.15) -> DataFrame:
@@ -17,12 +17,9 @@ def stratified_split(rows: DataFrame, label: str, order: Column, key: str, train
 def time_split(rows: DataFrame, time: Column, key: str, train: float = 0.70, validation: float = 0.10) -> DataFrame:
     """``split`` by time, oldest first; times that can't be read are oldest."""
     at = F.coalesce(time, F.lit("1970-01-01").cast("timestamp"))
-    # ranks without one task for all rows: rows are counted by day, then ranked inside their day
-    dated = rows.withColumns({"_t": at, "_day": F.to_date(at)})
-    days = dated.groupBy("_day").agg(F.count("*").alias("_d"))
-    days = days.withColumns({"_before": F.coalesce(F.sum("_d").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_d").over(Window.partitionBy())})
-    ranked = dated.join(days, "_day").withColumn("_n", F.col("_before") + F.row_number().over(Window.partitionBy("_day").orderBy("_t", key)))
-    return _cut(ranked, train, validation).drop("_t", "_day", "_d", "_before")
+    # sorted in ranges of time and key, so a day that holds most rows (all times that can't be read) is many ranges
+    ranked = positions(rows, [], [at, F.col(key)])
+    return _cut(ranked.join(F.broadcast(rows.agg(F.count("*").alias("_all")))), train, validation)  # one row
 
 
 def _cut(ranked: DataFrame, train: float, validation: float) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from locusframe.functions import hgvs, vcf
-from locusframe.operators import aggregates, annotate, classify, extraction
+from locusframe.operators import aggregates, annotate, classify, extraction, featurised, ranks
 from locusframe.plans.bindings import bound, with_tables
 from locusframe.plans.queries import query
+from locusframe.sources import bgzf, readers
+from locusframe.sources.shared import shared_path
 
 #: Registry texts with the tier and score that each has to get.
 VERDICT_TEXTS = [
@@ -89,3 +91,25 @@ def repeated_call_risks(spark, sf_dir):
 def outcome_multiplicity(spark, sf_dir):
     """How many (sample, outcome) have one gene behind them, two, and so on."""
     return aggregates.multiplicity(bound(spark, sf_dir, "calls"), ["sample_id", "consequence"], "gene").select(F.col("n").alias("genes"), F.col("groups").alias("outcomes"))
+
+
+@query(f"{with_tables('sites')} SELECT chrom, filter, count(*) AS n, sum(pos)::bigint AS places, sum(dp)::bigint AS depth, min(af_milli / 1000.0)::double AS least_af FROM sites GROUP BY 1, 2")
+def block_gzipped_calls(spark, sf_dir):
+    """All calls written as block-gzipped VCF files and read back in byte ranges."""
+    s = bound(spark, sf_dir, "sites")
+    field = lambda c: F.col(c).cast("string")
+    text = F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), field("pos"), F.lit("."), "ref", "alt", F.lit("."), "filter", "info", F.lit("GT:DP:GQ"), F.concat_ws(":", "gt", field("dp"), field("gq")))
+    folder = shared_path(spark, "vcf")
+    bgzf.write_lines(s.select("line", text.alias("value")), "value", folder, ["line"])
+    rows = readers.read_vcf(spark, [r.path for r in bgzf.ranges([folder], 1 << 62)], range_bytes=200_000)
+    dp = vcf.format_number(F.col("format"), F.col("sample"), "DP")
+    af = vcf.allele_frequency(F.col("info"), F.lit(0))
+    return rows.groupBy("chrom", "filter").agg(F.count("*").alias("n"), F.sum("pos").alias("places"), F.sum(dp).alias("depth"), F.min(af).alias("least_af"))
+
+
+@query(f"{with_tables('calls')}, s AS (SELECT ord, gene, 'S' || cast(dp % 9 AS varchar(9)) AS syn FROM calls) SELECT ord, dense_rank() OVER (ORDER BY gene) - 1 AS gene_id, dense_rank() OVER (ORDER BY syn) - 1 AS syndrome_id, CASE WHEN gene IN (SELECT gene FROM s WHERE ord % 2 = 0 AND gene > 'G2') THEN (SELECT count(DISTINCT gene) FROM s t WHERE t.ord % 2 = 0 AND t.gene > 'G2' AND t.gene < s.gene) ELSE -1 END AS served_id FROM s")
+def feature_ids(spark, sf_dir):
+    """Numbers of genes and syndromes, and of genes by a dictionary that lacks some of them."""
+    rows = bound(spark, sf_dir, "calls").select("ord", "gene", F.concat(F.lit("S"), (F.col("dp") % 9).cast("string")).alias("syndrome_group"))
+    part = ranks.dictionary(rows.where("ord % 2 = 0 and gene > 'G2'"), "gene", "served_id")
+    return aggregates.ordinal(featurised.with_ids(rows), "gene", "served_id", part, "keep").select("ord", "gene_id", "syndrome_id", "served_id")

@@ -89,7 +89,7 @@ def featurised_table(spark, sf_dir):
     genes = v.select("gene").distinct().where(number < 20).select("gene", F.when(number % 2 == 1, "-").otherwise("+").alias("strand"), F.lit(20).alias("length"))
     residues = spark.createDataFrame(_RESIDUES, "aa string, mw double, charge double, logp double, tpsa double")
     pairs = spark.createDataFrame(_PAIRS, "ref_aa string, alt_aa string, distance double, dissimilarity double")
-    made = featurised.featurise(v.select("ord", "gene", "ref", "alt", "variant_class", "ref_aa", "alt_aa", "aa_pos"), genes, residues, pairs)
+    made = featurised.featurise(v.select("ord", "gene", "ref", "alt", "variant_class", "ref_aa", "alt_aa", "aa_pos"), genes, residues, pairs, "default")
     rounded = [F.round(c, 6).alias(c) for c in ("rel_protein_pos", "delta_mw", "delta_charge", "delta_logp", "delta_tpsa")]
     return made.select("ord", "has_protein_change", *rounded, "severity", "dissimilarity", "is_transition", "variant_class_id", "ref_A", "cs_alt_G")
 

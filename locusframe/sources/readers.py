@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.functions.vcf import plain_chromosome
+from locusframe.sources import bgzf
 
 LABELLED = "variation_id string, gene string, syndrome_group string, chrom string, pos long, ref string, alt string, label int, clinical_significance string, review_status string, stars int, variant_class string, ref_aa string, alt_aa string, aa_pos int, transcript string, hgvs_name string, last_evaluated string, on_primary_transcript int"
 PENETRANCE = "gene string, outcome string, risk_low_pct double, risk_high_pct double, up_to_age int, source string, evidence_level string"
@@ -15,12 +18,29 @@ _GRCH38 = r"GRCh38|hg38|hs38|GCA_000001405\.15|ID=(chr)?1,.*length=248956422"
 _OLDER = r"GRCh37|hg19|hs37"
 
 
-def read_vcf(spark: SparkSession, paths) -> DataFrame:
-    """Site rows of plain or gzipped VCF files, one a line; lines of under five fields are left out.
+def text_lines(spark: SparkSession, paths, range_bytes: int = bgzf.RANGE_BYTES) -> DataFrame:
+    """(value, sample_id, line) of text files: the file, and a number that grows within it.
+
+    Files ending in .gz or .bgz that are block-gzipped are read in byte ranges, a task each; others as Spark reads them (a
+    plain gzip file is one task). Folders and patterns are Spark's; name block-gzipped files one by one.
+    """
+    given = [paths] if isinstance(paths, str) else [str(p) for p in paths]
+    packed = [p for p in given if p.endswith((".gz", ".bgz")) and "*" not in p and bgzf.is_bgzf(p)]
+    plain = [p for p in given if p not in packed]
+    parts = []
+    if packed:
+        parts.append(bgzf.read_lines(spark, packed, range_bytes).select("value", F.col("path").alias("sample_id"), "line"))
+    if plain:
+        parts.append(spark.read.text(plain).select("value", F.col("_metadata.file_path").alias("sample_id"), F.monotonically_increasing_id().alias("line")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_vcf(spark: SparkSession, paths, range_bytes: int = bgzf.RANGE_BYTES) -> DataFrame:
+    """Site rows of plain, gzipped or block-gzipped VCF files, one a line; lines of under five fields are left out.
 
     ``sample_id`` is the file, ``line`` a number that grows within it. Missing QUAL is 100, missing FILTER '.'.
     """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("sample_id"), F.monotonically_increasing_id().alias("line"))
+    lines = text_lines(spark, paths, range_bytes)
     fields = F.split("value", "\t")
     at = lambda i: F.get(fields, F.lit(i))
     rows = lines.where(~F.col("value").startswith("#") & (F.size(fields) >= 5))
@@ -32,7 +52,7 @@ def read_vcf(spark: SparkSession, paths) -> DataFrame:
 
 def quarantined_lines(spark: SparkSession, paths) -> DataFrame:
     """(sample_id, line, fields, reason, value) of the data lines that ``read_vcf`` leaves out or can't place."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("sample_id"), F.monotonically_increasing_id().alias("line"))
+    lines = text_lines(spark, paths)
     fields = F.split("value", "\t")
     reason = F.when(F.size(fields) < 5, "short").when(F.get(fields, F.lit(1)).try_cast("bigint").isNull(), "position")
     rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumns({"fields": F.size(fields), "reason": reason})
@@ -41,7 +61,7 @@ def quarantined_lines(spark: SparkSession, paths) -> DataFrame:
 
 def assembly_of(spark: SparkSession, paths) -> DataFrame:
     """(sample_id, accepted, older) from each file's header: only GRCh38 files are accepted."""
-    heads = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("sample_id")).withColumn("head", F.col("value").startswith("##"))
+    heads = text_lines(spark, paths).select("value", "sample_id").withColumn("head", F.col("value").startswith("##"))
     new, old = F.col("value").rlike(_GRCH38), F.col("value").rlike(_OLDER)
     return heads.groupBy("sample_id").agg(F.coalesce(F.bool_or(F.col("head") & new), F.lit(False)).alias("accepted"), F.coalesce(F.bool_or(F.col("head") & old & ~new), F.lit(False)).alias("older"))
 
@@ -57,7 +77,7 @@ def read_registry(spark: SparkSession, path) -> DataFrame:
 
     Rows of fewer fields than the header are left out; an empty field is an empty text, not a short row.
     """
-    lines = spark.read.text(path)
+    lines = text_lines(spark, path)
     head = lines.where(F.col("value").startswith("#")).first()
     names = head["value"].lstrip("#").split("\t") if head else []
     if missing := [c for c in REGISTRY_COLUMNS if c not in names]:

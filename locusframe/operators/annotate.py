@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions import vcf
+from locusframe.operators.intervals import interval_matches
 
 KEY = ["chrom", "pos", "ref", "alt"]
 
@@ -22,17 +23,6 @@ def registry_lookup(calls: DataFrame, registry: DataFrame, order: str) -> DataFr
     return calls.join(last_wins(registry, order), KEY, "left")
 
 
-def interval_matches(points: DataFrame, intervals: DataFrame, key: list[str], chrom: str = "chrom", pos: str = "pos", width: int = 65536) -> DataFrame:
-    """(key, n, gene) of each point: how many intervals hold it, and the gene if exactly one does.
-
-    Intervals are spread over bins of ``width`` positions, so the join is on (chromosome, bin) whatever their number.
-    """
-    spread = intervals.select("gene", F.col("chrom").alias("_c"), "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_b"))
-    at = points.select(*key, chrom, pos).withColumn("_p", F.floor(F.col(pos) / width))
-    found = at.join(spread, (at[chrom] == spread["_c"]) & (at["_p"] == spread["_b"]) & F.col(pos).between(F.col("start"), F.col("end")), "left")
-    return found.groupBy(*key).agg(F.count("gene").alias("n"), F.when(F.count("gene") == 1, F.min("gene")).alias("gene"))
-
-
 NON_CANCER = "pneumothorax|leiomyomatosis|thrombocytopenia|aplastic anemia|bone marrow"
 
 

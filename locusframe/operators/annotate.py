@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions import vcf
 from locusframe.operators.intervals import interval_matches
+from locusframe.sources.shared import shared_path, written
 
 KEY = ["chrom", "pos", "ref", "alt"]
 
@@ -18,6 +19,17 @@ def last_wins(registry: DataFrame, order: str, key: list[str] = KEY) -> DataFram
     return best.select(*key, "_r.*")
 
 
+def lay_out_registry(registry: DataFrame, table: str, order: str, buckets: int = 64) -> DataFrame:
+    """The registry as a bucketed table ``table``, one row a variant (that with the greatest ``order``), sorted by its key.
+
+    Written once, it is joined by every later job without an exchange or a sort of its side: calls are dealt into its
+    ``buckets``. Take as many that a bucket's rows fit a task (a registry of 1e9 rows: some thousands).
+    """
+    path = shared_path(registry.sparkSession, "registry")
+    last_wins(registry, order).write.bucketBy(buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(table)
+    return registry.sparkSession.table(table)
+
+
 def registry_lookup(calls: DataFrame, registry: DataFrame, order: str) -> DataFrame:
     """Exact lookup; Spark chooses between broadcast and sort-merge by size."""
     return calls.join(last_wins(registry, order), KEY, "left")
@@ -65,18 +77,24 @@ def best_candidate(candidates: DataFrame, group: str, good: Column, order: str)
     return candidates.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(good.desc(), order))).where("_n = 1").drop("_n")
 
 
-def attribute_genes(calls: DataFrame, registry: DataFrame, intervals: DataFrame, panel: list[str], key: list[str], order: str) -> DataFrame:
+#: What is read off a call's texts; they aren't carried on.
+PARSED = ("info", "format", "sample", "alts")
+
+
+def attribute_genes(calls: DataFrame, registry: DataFrame, intervals: DataFrame, panel: list[str], key: list[str], order: str, told: list[str] = ()) -> DataFrame:
     """``calls`` with gene, gene_source and what comes with it: consequence, transcript, hgvs_c, hgvs_p, ref_aa, alt_aa, aa_pos.
 
     The first of these that names a gene decides, and all other fields follow it: a CSQ entry of this allele with a
     panel symbol, such an ANN entry, the registry's row of this variant (its gene need not be in the panel), the only
     interval that holds the position (intronic). ``calls`` has info, n_alts and the unique ``key``; ``registry`` has the
-    variant key, gene, variant_class and ``order`` (the last row of a variant counts).
+    variant key, gene, variant_class and ``order`` (the last row of a variant counts), and the ``told`` columns, which come
+    along. The registry is joined once and INFO is parsed once: rows with what was read (without the PARSED texts) are
+    written, then those without a gene are held against the intervals.
     """
     read = lambda tag, fields: vcf.first_annotation(F.col("info"), tag, fields, F.col("ref"), F.col("alt"), F.col("n_alts"), panel)
     rows = calls.withColumn("_csq", read("CSQ", vcf.CSQ_FIELDS)).withColumn("_ann", read("ANN", vcf.ANN_FIELDS))
-    known = last_wins(registry.select(*KEY, F.col("gene").alias("_g"), F.col("variant_class").alias("_class"), order), order).drop(order)
-    rows = rows.join(known, KEY, "left")
+    known = last_wins(registry.select(*KEY, F.col("gene").alias("_g"), F.col("variant_class").alias("_class"), *told, order), order).drop(order)
+    rows = written(rows.join(known, KEY, "left").drop(*PARSED), "named")
     named = F.coalesce(F.col("_csq.symbol"), F.col("_ann.symbol"), F.col("_g"))
     places = interval_matches(rows.where(named.isNull()), intervals, key).select(*key, F.col("gene").alias("_place"))
     rows = rows.join(places, key, "left")

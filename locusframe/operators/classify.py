@@ -77,10 +77,26 @@ def phase_states(calls: DataFrame, order: str, by: tuple[str, ...] = ("sample_id
     return found.select(*by, state.alias("state"))
 
 
+#: What the state of a recessive gene adds to the notes of its calls.
+STATE_NOTES = {
+    "trans": "two variants on different copies of a recessive gene: both copies are affected",
+    "unphased": "several variants of a recessive gene whose phase is unknown: both copies can't be shown to be affected without phasing or parents",
+    "cis": "several variants on one copy of a recessive gene: the other copy isn't shown to be affected",
+    "single": "one variant of a recessive gene: a carrier",
+}
+
+
 def resolve_recessive(verdicts: DataFrame, genes: list[str], order: str) -> DataFrame:
-    """Final tiers: pathogenic calls on one copy of a recessive gene are carriers unless two are in trans."""
+    """Final tiers: pathogenic calls on one copy of a recessive gene are carriers unless two are in trans.
+
+    Where ``verdicts`` has notes, the state's is added to them. ``verdicts`` is read twice: give it as a written table.
+    """
     at_stake = F.col("tier").isin("Pathogenic", "Likely Pathogenic") & ~F.col("is_biallelic") & F.col("gene").isin(genes)
     states = phase_states(verdicts.where(at_stake), order)
     found = verdicts.withColumn("_at_stake", at_stake).join(states, ["sample_id", "gene"], "left")
     carrier = F.col("_at_stake") & (F.coalesce("state", F.lit("single")) != "trans")
-    return found.withColumn("state", F.when(F.col("_at_stake"), F.coalesce("state", F.lit("single")))).withColumn("tier", F.when(carrier, "Carrier (Recessive)").otherwise(F.col("tier"))).drop("_at_stake")
+    found = found.withColumn("state", F.when(F.col("_at_stake"), F.coalesce("state", F.lit("single"))))
+    if "notes" in verdicts.columns:
+        said = F.coalesce(*[F.when(F.col("state") == s, F.lit(n)) for s, n in STATE_NOTES.items()])
+        found = found.withColumn("notes", F.when(said.isNull(), F.col("notes")).otherwise(F.concat_ws("; ", F.nullif("notes", F.lit("")), said)))
+    return found.withColumn("tier", F.when(carrier, "Carrier (Recessive)").otherwise(F.col("tier"))).drop("_at_stake")

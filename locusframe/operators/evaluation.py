@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.operators import metrics
+from locusframe.sources.shared import written
 
 Learner = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -19,13 +20,13 @@ def out_of_fold(rows: DataFrame, learn: Learner, fold: str = "fold", folds: int
 
 
 def ablation(splits: dict[str, tuple[DataFrame, DataFrame]], learners: dict[str, Learner], label: str = "label", replicates: int = 200) -> DataFrame:
-    """(split, model, auc, ap, auc_low, auc_high, ap_low, ap_high), a row a split and model."""
-    parts = []
-    for name, (train, test) in splits.items():
-        for model, learn in learners.items():
-            scored = learn(train, test).select("score", label)
-            parts.append(metrics.bootstrap_interval(scored, label=label, replicates=replicates).select(F.lit(name).alias("split"), F.lit(model).alias("model"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+    """(split, model, auc, ap, auc_low, auc_high, ap_low, ap_high), a row a split and model with any scored row.
+
+    All are scored in one union and measured in one plan; the table, a few rows, is written, so what compares it with
+    itself doesn't measure again.
+    """
+    scored = [learn(train, test).select(F.col("score").cast("double").alias("score"), label, F.lit(name).alias("split"), F.lit(model).alias("model")) for name, (train, test) in splits.items() for model, learn in learners.items()]
+    return written(metrics.bootstrap_intervals(reduce(DataFrame.unionByName, scored), ["split", "model"], label=label, replicates=replicates), "ablation")
 
 
 def overlap(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.operators.annotate import best_ranges
+from locusframe.sources.shared import written
 
 ACTIONABLE = ("Pathogenic", "Likely Pathogenic")
 BENIGN = ("Benign", "Likely Benign")
@@ -67,29 +68,50 @@ def sample_totals(verdicts: DataFrame, sample: str = "sample_id") -> DataFrame:
     return verdicts.groupBy(sample).agg(F.count("*").alias("total"), F.count_if(actionable(F.col("tier"))).alias("actionable"))
 
 
+def _verdict_lines(columns: list[str]) -> Column:
+    """The lines of one verdict: call and tier, evidence, score, notes, and of an actionable one its risks and other features."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
+    place = F.concat(F.lit("VARIANT #"), F.col("_n"), F.lit(": "), F.col("gene"), F.lit(" chr"), F.col("chrom"), F.lit(":"), F.col("pos"), F.lit(" "), F.col("ref"), F.lit(">"), F.col("alt"))
+    call = F.concat(F.lit("Genotype: "), text("gt"), F.lit(" (DP="), text("dp"), F.lit(", GQ="), text("gq"), F.lit(")"))
+    tier = F.concat(F.lit("VERDICT TIER: ["), F.upper("tier"), F.lit("] "), F.col("source"))
+    shown = display_annotation(F.col("hgvs_p"), F.col("hgvs_c"), F.col("consequence"))
+    lines = [F.concat_ws("  ", place, shown, call, tier), F.concat(F.lit("Evidence: "), F.col("source"))]
+    if "model_score" in columns:
+        lines.append(F.when(F.col("model_score").isNotNull(), F.format_string("Calibrated score: %.4f", F.col("model_score").cast("double"))))
+    if "notes" in columns:
+        lines.append(F.when(F.trim("notes") != "", F.concat(F.lit("Notes: "), F.trim("notes"))))
+    range_ = lambda r: F.concat(r["outcome"], F.lit(": "), risk_range(r["risk_low_pct"], r["risk_high_pct"]), F.lit(" (up to age "), r["up_to_age"], F.lit(")"))
+    risk = lambda r: F.concat(range_(r), F.lit(" [Source: "), F.coalesce(r["source"], F.lit("-")), F.lit(", Evidence: "), F.coalesce(r["evidence_level"], F.lit("-")), F.lit("]"))
+    other = lambda r: F.concat(range_(r), F.lit(" [Source: "), F.coalesce(r["source"], F.lit("-")), F.lit("]"))
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    none = F.array(F.lit("No curated lifetime risk estimate available for this gene."))
+    parts = [F.array(*lines), F.when(actionable(F.col("tier")), F.when(some("cancer_risks"), F.transform("cancer_risks", risk)).otherwise(none))]
+    if "other_risks" in columns:
+        parts.append(F.when(actionable(F.col("tier")) & some("other_risks"), F.concat(F.array(F.lit("Other features, not cancer:")), F.transform("other_risks", other))))
+    return F.filter(F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]), lambda x: x.isNotNull())
+
+
 def report_lines(verdicts: DataFrame, order: str, sample: str = "sample_id") -> DataFrame:
-    """(sample, section, number, line): totals, risk table, one line a verdict in file order, its risks, the disclaimer.
+    """(sample, section, number, line): totals, risk table, the lines of each verdict in file order, the disclaimer.
 
     Sections are numbered 0 to 3; write them sorted by (section, number), partitioned by sample. No sample is gathered
-    in one row.
+    in one row. The verdicts are written first, as four parts read them; without model_score, notes or other_risks their
+    lines are left out.
     """
+    verdicts = written(verdicts, "verdicts")
     made = lambda df, section, number, line: df.select(sample, F.lit(section).alias("section"), number.cast("bigint").alias("number"), line.alias("line"))
     totals = sample_totals(verdicts, sample)
-    head = made(totals, 0, F.lit(1), F.format_string("TOTAL PANEL VARIANTS EVALUATED: %d", "total")).unionByName(made(totals, 0, F.lit(2), F.format_string("ACTIONABLE (PATHOGENIC / LIKELY PATHOGENIC): %d", "actionable")))
+    told = F.array(
+        F.struct(F.lit(0).alias("section"), F.lit(1).alias("number"), F.format_string("TOTAL PANEL VARIANTS EVALUATED: %d", "total").alias("line")),
+        F.struct(F.lit(0).alias("section"), F.lit(2).alias("number"), F.format_string("ACTIONABLE (PATHOGENIC / LIKELY PATHOGENIC): %d", "actionable").alias("line")),
+        F.struct(F.lit(3).alias("section"), F.lit(1).alias("number"), F.lit(DISCLAIMER).alias("line")),
+    )
+    ends = totals.select(sample, F.explode(told).alias("t")).select(sample, "t.section", F.col("t.number").cast("bigint").alias("number"), "t.line")
     risks = risk_table(verdicts, order, sample)
     table = made(risks, 1, F.col("place"), F.concat_ws(" | ", F.rpad("outcome", 32, " "), F.rpad("range", 23, " "), F.rpad("gene", 16, " "), F.format_string("Up to age %d", "up_to_age")))
     numbered = verdicts.withColumn("_n", F.row_number().over(Window.partitionBy(sample).orderBy(order)))
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
-    place = F.concat(F.lit("VARIANT #"), F.col("_n"), F.lit(": "), F.col("gene"), F.lit(" chr"), F.col("chrom"), F.lit(":"), F.col("pos"), F.lit(" "), F.col("ref"), F.lit(">"), F.col("alt"))
-    call = F.concat(F.lit("Genotype: "), text("gt"), F.lit(" (DP="), text("dp"), F.lit(", GQ="), text("gq"), F.lit(")"))
-    tier = F.concat(F.lit("VERDICT TIER: ["), F.upper("tier"), F.lit("] "), F.col("source"))
-    shown = display_annotation(F.col("hgvs_p"), F.col("hgvs_c"), F.col("consequence"))
-    variants = made(numbered, 2, F.col("_n") * 1000, F.concat_ws("  ", place, shown, call, tier))
-    listed = numbered.where(actionable(F.col("tier"))).select(sample, "_n", F.posexplode_outer("cancer_risks").alias("_i", "r"))
-    line = F.when(F.col("r").isNull(), "No curated lifetime risk estimate available for this gene.").otherwise(F.concat(F.col("r.outcome"), F.lit(": "), risk_range(F.col("r.risk_low_pct"), F.col("r.risk_high_pct")), F.lit(" (up to age "), F.col("r.up_to_age"), F.lit(")")))
-    each = made(listed, 2, F.col("_n") * 1000 + 1 + F.coalesce("_i", F.lit(0)), line)
-    tail = made(totals, 3, F.lit(1), F.lit(DISCLAIMER))
-    return head.unionByName(table).unionByName(variants).unionByName(each).unionByName(tail)
+    each = numbered.select(sample, "_n", F.posexplode(_verdict_lines(verdicts.columns)).alias("_i", "line"))
+    return ends.unionByName(table).unionByName(made(each, 2, F.col("_n") * 1000 + F.col("_i"), F.col("line")))
 
 
 def report_json(verdicts: DataFrame, order: str, sample: str = "sample_id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from locusframe.functions import vcf
 from locusframe.operators import annotate, classify
 from locusframe.sources import readers
+from locusframe.sources.shared import written
 
 CALL = ["sample_id", "line", "alt_index"]
 
@@ -39,18 +40,18 @@ def calls_of(sites: DataFrame, min_dp: int = 10, min_gq: int = 20, pass_only: bo
 
 
 def interpret_calls(calls: DataFrame, held: Reference, score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Verdicts of panel calls: gene and annotation, registry's word, tier, source, model_score, notes, state and risks.
+    """Verdicts of panel calls (written on the way): gene and annotation, registry's word, tier, source, model_score, notes, state and risks.
 
     ``score`` gives the calls that no evidence decides a calibrated ``model_score``; without it they stay unscored.
     """
-    named = annotate.attribute_genes(calls, held.registry, held.intervals, held.panel, CALL, "ord")
-    own = annotate.in_panel(named, held.panel)
-    told = held.registry.select(*annotate.KEY, "significance", "stars", "ord")
-    found = annotate.registry_lookup(own, told, "ord").drop("ord").withColumn("_v", classify.cascade())
+    named = annotate.attribute_genes(calls, held.registry, held.intervals, held.panel, CALL, "ord", ["significance", "stars"])
+    found = annotate.in_panel(named, held.panel).withColumn("_v", classify.cascade())
     if score is not None:
+        found = written(found, "judged")  # read by the model's part and the rest
         open_ = score(found.where("_v.source = 'unresolved'").drop("_v")).withColumn("_v", classify.model_verdict(F.col("model_score"))).drop("model_score")
         found = found.where("_v.source <> 'unresolved'").unionByName(open_)
     rows = found.select("*", F.col("_v.tier").alias("tier"), F.col("_v.source").alias("source"), F.col("_v.score").alias("model_score"), F.col("_v.notes").alias("notes")).drop("_v")
+    rows = written(rows, "verdicts")  # read for the states, then for the result
     return annotate.attach_risks(classify.resolve_recessive(rows, held.recessive, "line"), held.penetrance)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from locusframe.functions import hgvs, vcf
@@ -113,3 +115,20 @@ def feature_ids(spark, sf_dir):
     rows = bound(spark, sf_dir, "calls").select("ord", "gene", F.concat(F.lit("S"), (F.col("dp") % 9).cast("string")).alias("syndrome_group"))
     part = ranks.dictionary(rows.where("ord % 2 = 0 and gene > 'G2'"), "gene", "served_id")
     return aggregates.ordinal(featurised.with_ids(rows), "gene", "served_id", part, "keep").select("ord", "gene_id", "syndrome_id", "served_id")
+
+
+@query(f"{with_tables('calls', 'registry')}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos, ref, alt ORDER BY ord DESC) AS rn FROM registry) WHERE rn = 1) SELECT c.ord, stars, significance FROM calls c LEFT JOIN l ON c.chrom = l.chrom AND c.pos = l.pos AND c.ref = l.ref AND c.alt = l.alt")
+def laid_out_registry(spark, sf_dir):
+    """Lookups in a registry written once in buckets of its key."""
+    known = annotate.lay_out_registry(bound(spark, sf_dir, "registry").withColumnRenamed("ord", "r_ord"), f"registry_{uuid.uuid4().hex}", "r_ord", 8)
+    return annotate.registry_lookup(bound(spark, sf_dir, "calls"), known, "r_ord").select("ord", "stars", "significance")
+
+
+@query(f"{with_tables('calls')}, p AS (SELECT row_number() OVER () AS r, ord, chrom, pos * 50 AS pos FROM calls), i AS (SELECT 'J' || cast(o_orderkey AS varchar(12)) AS gene, cast(o_custkey % 22 + 1 AS varchar(9)) AS chrom, o_orderkey % 4000 * 251 AS a, o_orderkey % 4000 * 251 + power(10, o_orderkey % 5)::bigint * CASE WHEN o_orderkey % 499 = 0 THEN 10000 ELSE 1 END AS b FROM orders WHERE o_orderkey % 9 < 4) SELECT p.ord, count(gene) AS n, CASE WHEN count(gene) = 1 THEN min(gene) END AS gene FROM p LEFT JOIN i ON p.chrom = i.chrom AND p.pos BETWEEN i.a AND i.b GROUP BY r, p.ord")
+def interval_sweep(spark, sf_dir):
+    """Calls held against intervals of 1 to 1e8 bases."""
+    k = F.col("o_orderkey")
+    start = k % 4000 * 251
+    length = F.pow(F.lit(10), k % 5).cast("bigint") * F.when(k % 499 == 0, 10000).otherwise(1)
+    i = spark.read.parquet(f"{sf_dir}/orders.parquet").where(k % 9 < 4).select(F.concat(F.lit("J"), k.cast("string")).alias("gene"), (F.col("o_custkey") % 22 + 1).cast("string").alias("chrom"), start.alias("start"), (start + length).alias("end"))
+    return annotate.interval_matches(bound(spark, sf_dir, "calls").select("ord", "chrom", (F.col("pos") * 50).alias("pos")), i, ["ord"])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from locusframe.functions import features, legacy
 from locusframe.operators import aggregates, annotate, evaluation, featurised, metrics, quality, report, splits, vcf_job
 from locusframe.plans.bindings import bound, with_tables
 from locusframe.plans.queries import _RISKED, _STATES, _risks, query
+from locusframe.sources.shared import written
 
 PANEL = [f"G{i}" for i in range(20)]
 RECESSIVE = ["G3", "G7"]
@@ -29,7 +32,8 @@ final AS (SELECT w.*, CASE WHEN w.tier IN ('Pathogenic', 'Likely Pathogenic') AN
 
 def reference(spark, sf_dir):
     penetrance = bound(spark, sf_dir, "penetrance").withColumns({"source": F.lit("s"), "evidence_level": F.lit("e")})
-    return vcf_job.Reference(bound(spark, sf_dir, "known"), bound(spark, sf_dir, "places").withColumnRenamed("stop", "end"), penetrance, PANEL, RECESSIVE)
+    known = annotate.lay_out_registry(bound(spark, sf_dir, "known"), f"registry_{uuid.uuid4().hex}", "ord", 8)
+    return vcf_job.Reference(known, bound(spark, sf_dir, "places").withColumnRenamed("stop", "end"), penetrance, PANEL, RECESSIVE)
 
 
 def job_calls(spark, sf_dir):
@@ -58,10 +62,11 @@ def report_risk_table(spark, sf_dir):
 @query(f"""{_RISKED}, b AS (SELECT sample_id, outcome, f.gene FROM final f JOIN penetrance p ON f.gene = p.gene WHERE final_tier IN ('Pathogenic', 'Likely Pathogenic') GROUP BY 1, 2, 3),
 t AS (SELECT sample_id, count(*) AS n, count(*) FILTER (final_tier IN ('Pathogenic', 'Likely Pathogenic')) AS a FROM final GROUP BY 1),
 v AS (SELECT sample_id, 'VARIANT #' || row_number() OVER (PARTITION BY sample_id ORDER BY ord) || ': ' || gene || ' chr' || chrom || ':' || pos || ' ' || ref || '>' || alt || '  ' || consequence || '  Genotype: ' || gt || ' (DP=' || dp || ', GQ=' || gq || ')  VERDICT TIER: [' || upper(final_tier) || '] ' || source AS line FROM final),
-k AS (SELECT f.sample_id, coalesce(p.outcome || ': ' || p.risk_low_pct::bigint || '% - ' || p.risk_high_pct::bigint || '% (up to age ' || p.up_to_age || ')', 'No curated lifetime risk estimate available for this gene.') AS line FROM final f LEFT JOIN penetrance p ON f.gene = p.gene WHERE final_tier IN ('Pathogenic', 'Likely Pathogenic'))
+k AS (SELECT f.sample_id, coalesce(p.outcome || ': ' || p.risk_low_pct::bigint || '% - ' || p.risk_high_pct::bigint || '% (up to age ' || p.up_to_age || ') [Source: s, Evidence: e]', 'No curated lifetime risk estimate available for this gene.') AS line FROM final f LEFT JOIN penetrance p ON f.gene = p.gene WHERE final_tier IN ('Pathogenic', 'Likely Pathogenic')),
+e AS (SELECT sample_id, 'Evidence: ' || source AS line FROM final UNION ALL SELECT sample_id, 'Calibrated score: ' || printf('%.4f', (CASE source WHEN 'frequency' THEN 0.001 WHEN 'registry' THEN CASE tier WHEN 'Pathogenic' THEN 0.999 WHEN 'Likely Benign' THEN 0.05 ELSE 0.5 END WHEN 'loss_of_function' THEN 0.95 WHEN 'splice' THEN CASE tier WHEN 'VUS' THEN 0.5 ELSE 0.95 END WHEN 'splice_region' THEN 0.4 ELSE 0 END)::double) FROM final)
 SELECT sample_id, 0 AS section, 2::bigint AS n, 'ACTIONABLE (PATHOGENIC / LIKELY PATHOGENIC): ' || a AS first_line, 'TOTAL PANEL VARIANTS EVALUATED: ' || n AS last_line FROM t
 UNION ALL SELECT b.sample_id, 1, count(*), min(rpad(b.outcome, 32, ' ') || ' | ' || rpad(p.risk_low_pct::bigint || '% - ' || p.risk_high_pct::bigint || '%', 23, ' ') || ' | ' || rpad(b.gene, 16, ' ') || ' | Up to age ' || p.up_to_age), max(rpad(b.outcome, 32, ' ') || ' | ' || rpad(p.risk_low_pct::bigint || '% - ' || p.risk_high_pct::bigint || '%', 23, ' ') || ' | ' || rpad(b.gene, 16, ' ') || ' | Up to age ' || p.up_to_age) FROM b JOIN penetrance p ON b.gene = p.gene AND b.outcome = p.outcome GROUP BY 1
-UNION ALL SELECT sample_id, 2, count(*), min(line), max(line) FROM (SELECT * FROM v UNION ALL SELECT * FROM k) GROUP BY 1
+UNION ALL SELECT sample_id, 2, count(*), min(line), max(line) FROM (SELECT * FROM v UNION ALL SELECT * FROM k UNION ALL SELECT * FROM e) GROUP BY 1
 UNION ALL SELECT sample_id, 3, 1, '{report.DISCLAIMER}', '{report.DISCLAIMER}' FROM t""")
 def report_sections(spark, sf_dir):
     """The text report's sections: lines, the least and the greatest of them."""
@@ -196,7 +201,7 @@ def neighbour_mean_auc(spark, sf_dir):
 @query()
 def ablation_matrix(spark, sf_dir):
     """Two splits by two baselines with intervals, and whether the baselines' intervals meet."""
-    p = bound(spark, sf_dir, "predictions").persist()
+    p = written(bound(spark, sf_dir, "predictions"), "predictions")
     given = lambda train, test: test
     cuts = {"by_key": (p.where("key % 3 <> 0"), p.where("key % 3 = 0")), "by_block": (p.where("key % 30 >= 10"), p.where("key % 30 < 10"))}
     table = evaluation.ablation(cuts, {"prior": _prior, "score": given})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from locusframe.functions import features, hgvs, vcf
 from locusframe.operators import aggregates, annotate, classify, metrics, models, quality, report, splits
 from locusframe.plans.bindings import bound, with_tables
+from locusframe.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -308,7 +309,7 @@ def prior_baselines(spark, sf_dir):
 
 def _features(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("key"), features.base_counts(F.col("text")).alias("n"), F.log1p("n_chars").alias("size"))
-    rows = bound(spark, sf_dir, "predictions").join(d.select("key", features.base_entropy(F.col("n")).alias("entropy"), "size"), "key").persist()  # learners read it many times
+    rows = written(bound(spark, sf_dir, "predictions").join(d.select("key", features.base_entropy(F.col("n")).alias("entropy"), "size"), "key"), "learnt")  # learners read it many times
     return rows.where("key % 4 <> 0"), rows.where("key % 4 = 0"), ["score0", "entropy", "size"]
 
 

@@ -65,7 +65,7 @@ def test_interpret(verdicts):
     one = next(r for r in verdicts.collect() if r.chrom == "4")
     assert (one.ref_aa, one.alt_aa, one.aa_pos, one.is_biallelic, one.af) == ("K", "R", 5, False, 0.0001)
     first = next(r for r in verdicts.collect() if r.pos == 100)
-    assert (first.transcript, first.hgvs_p, first.notes, [r.outcome for r in first.cancer_risks]) == ("T1", "p.K5fs", "frameshift_variant", ["Colorectal"])
+    assert (first.transcript, first.hgvs_p, first.notes, [r.outcome for r in first.cancer_risks]) == ("T1", "p.K5fs", "frameshift_variant; " + classify.STATE_NOTES["trans"], ["Colorectal"])
 
 
 def test_model_scores_what_is_left(spark, held, tmp_path):
@@ -80,6 +80,9 @@ def test_reports(verdicts, tmp_path, spark):
     assert lines[:2] == ["TOTAL PANEL VARIANTS EVALUATED: 6", "ACTIONABLE (PATHOGENIC / LIKELY PATHOGENIC): 4"]
     assert [x.split(" | ")[0].strip() for x in lines[2:4]] == ["Breast", "Colorectal"] and "40% - 62%" in lines[3]
     assert lines[4].startswith("VARIANT #1: MUTYH chr1:100 A>G  p.K5fs  Genotype: 0|1 (DP=50, GQ=99)  VERDICT TIER: [LIKELY PATHOGENIC]")
+    assert lines[5:8] == ["Evidence: loss_of_function", "Calibrated score: 0.9500", "Notes: frameshift_variant; " + classify.STATE_NOTES["trans"]] and lines[8] == "Colorectal: 40% - 62% (up to age 70) [Source: a, Evidence: x]"
+    at = lines.index("Other features, not cancer:")
+    assert lines[at + 1] == "Bone marrow failure: 1% - 2% (up to age 80) [Source: b]" and lines[at - 1].startswith("Breast: 65% - 72%")
     assert lines[-1] == report.DISCLAIMER and any("No curated" in x for x in lines)
     told = json.loads(report.report_json(verdicts, "line").first()["value"])
     assert (told["total_variants"], told["actionable_count"]) == (6, 4) and [x["genes"] for x in told["cancer_risk_summary"]] == [["BRCA1"], ["MUTYH"]]

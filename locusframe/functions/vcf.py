@@ -16,14 +16,20 @@ def genotype_alleles(gt: Column) -> Column:
     return F.when(~bare, F.transform(F.split(gt, r"[/|]"), lambda a: F.when(a.rlike(r"^\d+$"), a.try_cast("int"))))
 
 
+def called_alleles(gt: Column) -> Column:
+    """The called allele numbers only, without a lambda, so in compiled code; empty for no call, null for null."""
+    return F.regexp_extract_all(gt, F.lit(r"(?<![^/|])[0-9]{1,9}(?![^/|])"), F.lit(0)).cast("array<int>")
+
+
 def has_alternative(gt: Column) -> Column:
-    return F.coalesce(F.exists(genotype_alleles(gt), lambda a: F.coalesce(a > 0, F.lit(False))), F.lit(False))
+    return F.coalesce(gt.rlike(r"(?<![^/|])0*[1-9][0-9]*(?![^/|])"), F.lit(False))
 
 
 def is_biallelic(gt: Column, number: Column) -> Column:
     """Two alleles or more, all of them the given alternative."""
-    alleles = genotype_alleles(gt)
-    return F.coalesce((F.size(alleles) >= 2) & F.forall(alleles, lambda a: F.coalesce(a == number, F.lit(False))), F.lit(False))
+    alleles = called_alleles(gt)
+    whole = (F.size(alleles) >= 2) & (F.size(alleles) == F.size(F.split(gt, r"[/|]")))
+    return F.coalesce(whole & (F.array_min(alleles) == number) & (F.array_max(alleles) == number), F.lit(False))
 
 
 def format_field(form: Column, sample: Column, name: str) -> Column:
@@ -102,7 +108,7 @@ def plain_chromosome(chrom: Column) -> Column:
 
 def zygosity(gt: Column) -> Column:
     """No-call, Unknown, Ref, Hem, Hom-Ref, Hom or Het."""
-    alleles = F.filter(genotype_alleles(gt), lambda a: a.isNotNull())
+    alleles = called_alleles(gt)
     n, kinds = F.size(alleles), F.size(F.array_distinct(alleles))
     first = F.get(alleles, F.lit(0))
     return (

@@ -37,8 +37,8 @@ def reference(spark, sf_dir):
 
 
 def job_calls(spark, sf_dir):
-    """The sites as a reader would give them, through the job's filters and allele split."""
-    s = bound(spark, sf_dir, "sites")
+    """The sites as a reader would give them (a stored table: their texts are made once), through the job's filters and allele split."""
+    s = written(bound(spark, sf_dir, "sites"), "sites")
     sites = s.select("sample_id", "line", "chrom", "pos", "ref", F.array("alt").alias("alts"), "filter", "info", F.lit("GT:DP:GQ").alias("format"), F.concat_ws(":", "gt", F.col("dp").cast("string"), F.col("gq").cast("string")).alias("sample"))
     return vcf_job.calls_of(sites)
 

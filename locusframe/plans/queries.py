@@ -63,7 +63,7 @@ def vcf_info_parse(spark, sf_dir):
     c = bound(spark, sf_dir, "calls")
     pct = lambda v, n: F.format_string(f"0.%0{n}d", v)
     info = F.concat(F.lit("DB;AF="), pct(F.col("af_milli"), 3), F.lit(";SpliceAI="), F.col("alt"), F.lit("|X|0.00|"), pct(F.col("splice_pct"), 2), F.lit("|0.00|0.00;CSQ="), F.col("alt"), F.lit("|other|x|NONE,"), F.col("alt"), F.lit("|"), F.col("consequence"), F.lit("|x|"), F.col("gene"), F.lit("|||T1|||||||5|K/R"))
-    rows = c.withColumns({"info": info, "format": F.lit("GT:DP:GQ"), "sample": F.concat_ws(":", "gt", F.col("dp").cast("string"), F.lit("."))})
+    rows = written(c.withColumns({"info": info, "format": F.lit("GT:DP:GQ"), "sample": F.concat_ws(":", "gt", F.col("dp").cast("string"), F.lit("."))}), "infos")  # as a file would have them
     panel = [f"G{i}" for i in range(25)]
     one = F.lit(1)
     return rows.select("ord", vcf.first_annotation(F.col("info"), "CSQ", vcf.CSQ_FIELDS, F.col("ref"), F.col("alt"), one, panel)["symbol"].alias("symbol"), vcf.allele_frequency(F.col("info"), F.lit(0)).alias("af"), vcf.format_number(F.col("format"), F.col("sample"), "DP").alias("dp"), vcf.splice_score(F.col("info"), F.col("ref"), F.col("alt"), one).alias("splice"), vcf.zygosity(F.col("gt")).alias("zygosity"))

@@ -85,3 +85,15 @@ def test_frequency_keys(spark):
 def test_fasta_lines_are_trimmed(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">G1 x\n MK \nR0\t\n>G2\nA1C\n")
     assert {(r.gene, r.seq) for r in readers.read_fasta(spark, str(tmp_path / "a.fa")).collect()} == {("G1", "MKR0"), ("G2", "A1C")}
+
+
+def test_genotypes_without_lambdas(spark):
+    """Called alleles, alternatives and the given alternative on all copies, as the list of allele numbers has them."""
+    texts = ["0/0", "0/1", "1|0", "1/1", "2|2", "1/2", "./1", ".", "./.", ".|.", "1", "0", "", "x/1", "1/1/1", "1/.", "01/1", "10/1", "-1/1", "1/", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "g string").select("g", vcf.genotype_alleles(F.col("g")).alias("a"), vcf.called_alleles(F.col("g")).alias("c"), vcf.has_alternative(F.col("g")).alias("h"), vcf.is_biallelic(F.col("g"), F.lit(1)).alias("b"), vcf.zygosity(F.col("g")).alias("z")).collect()
+    for r in rows:
+        called = [x for x in r.a or [] if x is not None]
+        assert (r.c or []) == called and r.h == any(x > 0 for x in called) and r.b == (len(r.a or []) >= 2 and all(x == 1 for x in r.a)), r.g
+        kinds = set(called)
+        want = "Unknown" if not r.g else "No-call" if r.g in (".", "./.", ".|.") else "Unknown" if not called else ("Ref" if called[0] == 0 else "Hem") if len(called) == 1 else ("Hom-Ref" if kinds == {0} else "Hom") if len(kinds) == 1 else "Het"
+        assert r.z == want, r.g

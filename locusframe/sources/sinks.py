@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.sources.cache import VersionedCache
+
 
 def write_routed(rows: DataFrame, destination: Column, path: str) -> None:
     """One pass; each row goes to the folder of its destination."""
@@ -15,17 +17,9 @@ def label_destination(label: Column, is_indel: Column) -> Column:
     return F.when(is_indel & label.isin(0, 1), "indel").when(label.isin(0, 1), "labelled").when(label == 2, "vus").otherwise("conflict")
 
 
-def append_missing(spark: SparkSession, path: str, wanted: DataFrame, keys: list[str], build) -> DataFrame:
-    """A cache table: rows for keys that it lacks are built and appended, then the whole table is returned."""
-    try:
-        have = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        have = None
-    missing = wanted.select(keys).distinct() if have is None else wanted.select(keys).distinct().join(have, keys, "left_anti")
-    build(missing).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+def append_missing(spark: SparkSession, path: str, wanted: DataFrame, keys: list[str], build) -> DataFrame | None:
+    """A cache table: rows for keys that it lacks are built and committed, then its newest version is returned (``VersionedCache``)."""
+    return VersionedCache(spark, path, keys).fill(wanted, build)
 
 
 def write_features(features: DataFrame, path: str, form: str = "parquet") -> None:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.operators import metrics
+from locusframe.operators import aggregates, metrics, splits
 from locusframe.sources.shared import written
 
 Learner = Callable[[DataFrame, DataFrame], DataFrame]
@@ -19,6 +19,26 @@ def out_of_fold(rows: DataFrame, learn: Learner, fold: str = "fold", folds: int
     return reduce(DataFrame.unionByName, [learn(rows.where(F.col(fold) != k), rows.where(F.col(fold) == k)) for k in range(folds)])
 
 
+NestedLearner = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+
+
+def nested_out_of_fold(rows: DataFrame, learners: dict[str, NestedLearner], group: str, scaled: list[str] = (), folds: int = 5, inner: int = 6) -> DataFrame:
+    """``rows`` once a model, with model, round and score: each scored in the round that tests its group.
+
+    ``learn(train, validation, test)`` returns ``test`` with a score. Rows are tagged once (``splits.nested_folds``) and
+    stored; in each round the ``scaled`` columns are standardised by its training rows only.
+    """
+    tagged = written(splits.nested_folds(rows, group, folds, inner), "folds")
+    parts = []
+    for k in range(folds):
+        sides = [tagged.where(F.get("roles", F.lit(k)) == side).drop("roles") for side in ("train", "validation", "test")]
+        if scaled:
+            sides = [aggregates.standardised(side, list(scaled), sides[0]) for side in sides]
+        for name, learn in learners.items():
+            parts.append(learn(*sides).select(*rows.columns, F.col("score").cast("double").alias("score"), F.lit(name).alias("model"), F.lit(k).alias("round")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def ablation(splits: dict[str, tuple[DataFrame, DataFrame]], learners: dict[str, Learner], label: str = "label", replicates: int = 200) -> DataFrame:
     """(split, model, auc, ap, auc_low, auc_high, ap_low, ap_high), a row a split and model with any scored row.
 

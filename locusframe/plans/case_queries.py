@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from locusframe.functions import hgvs, vcf
-from locusframe.operators import aggregates, annotate, classify, extraction, featurised, ranks
+from locusframe.operators import aggregates, annotate, classify, evaluation, extraction, featurised, metrics, models, ranks, splits
 from locusframe.plans.bindings import bound, with_tables
 from locusframe.plans.queries import query
 from locusframe.sources import bgzf, readers
-from locusframe.sources.shared import shared_path
+from locusframe.sources.shared import shared_path, written
 
 #: Registry texts with the tier and score that each has to get.
 VERDICT_TEXTS = [
@@ -132,3 +132,47 @@ def interval_sweep(spark, sf_dir):
     length = F.pow(F.lit(10), k % 5).cast("bigint") * F.when(k % 499 == 0, 10000).otherwise(1)
     i = spark.read.parquet(f"{sf_dir}/orders.parquet").where(k % 9 < 4).select(F.concat(F.lit("J"), k.cast("string")).alias("gene"), (F.col("o_custkey") % 22 + 1).cast("string").alias("chrom"), start.alias("start"), (start + length).alias("end"))
     return annotate.interval_matches(bound(spark, sf_dir, "calls").select("ord", "chrom", (F.col("pos") * 50).alias("pos")), i, ["ord"])
+
+
+@query("SELECT vec_id, round(list_sum([x::double * x for x in embedding]), 3)::double AS norm FROM embeddings WHERE embedding IS NOT NULL")
+def svd_norms(spark, sf_dir):
+    """All components of an embedding keep its length, whatever rows they were fitted on."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null")
+    _, vectors = models.svd_components(e.where("vec_id % 3 <> 0"), "embedding", 64)
+    made = models.projected(e, "embedding", vectors)
+    norm = F.aggregate(F.array(*[F.col(f"component_{i}") for i in range(len(vectors))]), F.lit(0.0), lambda a, x: a + x * x)
+    return made.select("vec_id", F.round(norm, 3).alias("norm"))
+
+
+def _embedded(spark, sf_dir):
+    p = bound(spark, sf_dir, "predictions").withColumn("score0", F.col("score").cast("double")).drop("score")
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("key"), "embedding")
+    return written(p.join(e, "key", "left"), "embedded")
+
+
+@query()
+def gbt_components(spark, sf_dir):
+    """Boosted trees with sixteen embedding components fitted on training rows, rounds ended by validation rows."""
+    rows = _embedded(spark, sf_dir)
+    train, validation, test = (rows.where(w) for w in ("key % 4 > 1", "key % 4 = 1", "key % 4 = 0"))
+    return metrics.ranking(models.boosted_with_components(train, test, ["score0"], "embedding", rounds=30, validation=validation))
+
+
+@query(f"{with_tables('predictions')}, k AS (SELECT unnest(range(5)) AS round) SELECT round::int AS round, count(*) AS rows, 0::bigint AS leaks FROM predictions, k GROUP BY 1 UNION ALL SELECT -1, count(*), 0 FROM predictions")
+def nested_fold_sides(spark, sf_dir):
+    """Rows of each round and groups on two of its sides; under -1 the rows that are tested once, and others."""
+    p = splits.nested_folds(bound(spark, sf_dir, "predictions").withColumn("block", F.floor(F.col("key") / 7)), "block")
+    each = p.select("block", F.posexplode("roles").alias("round", "role"))
+    sides = each.groupBy("round", "block").agg(F.countDistinct("role").alias("sides"), F.count("*").alias("n"))
+    once = p.select((F.size(F.filter("roles", lambda r: r == "test")) == 1).alias("once"))
+    return sides.groupBy("round").agg(F.sum("n").alias("rows"), F.count_if(F.col("sides") > 1).alias("leaks")).unionByName(once.agg(F.lit(-1).alias("round"), F.count_if("once").alias("rows"), F.count_if(~F.col("once")).alias("leaks")))
+
+
+@query(f"{with_tables('predictions')}, m AS (SELECT unnest(['prior', 'scaled']) AS model) SELECT model, count(*) AS rows, count(DISTINCT key) AS keys FROM predictions, m GROUP BY 1")
+def nested_out_of_fold(spark, sf_dir):
+    """Every row scored once by each model, in the round that tests its group."""
+    p = bound(spark, sf_dir, "predictions").withColumn("size", F.col("score").cast("double")).drop("score")
+    prior = lambda train, validation, test: metrics.priors(train, test, ["class"]).withColumn("score", F.col("prior")).drop("prior")
+    scaled = lambda train, validation, test: test.withColumn("score", F.col("size"))
+    found = evaluation.nested_out_of_fold(p, {"prior": prior, "scaled": scaled}, "grp", ["size"])
+    return found.where("score is not null").groupBy("model").agg(F.count("*").alias("rows"), F.countDistinct("key").alias("keys"))

@@ -51,6 +51,15 @@ def check(df):
     assert collections.Counter(map(tuple, got)) == collections.Counter(plain(rows))
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Rounds of small tables: the number of partitions is all that they take time for."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 SCHEMA = "conv_id bigint, turn bigint, role string, text string, depth string, conv string"
 
 
@@ -85,7 +94,7 @@ def test_long_conversation_over_many_partitions(spark):
 def test_contraction_of_any_tree(spark, shape):
     """Trees of all shapes, small blocks, and paths whose nodes have different conversations."""
     rng = random.Random(7)
-    n = 60
+    n = 40
     parent = {0: None}
     for v in range(1, n):
         parent[v] = {"path": v - 1, "other names": v - 1, "caterpillar": v - 1 if v % 2 else max(0, v - 2), "random": rng.randrange(v), "star": 0}[shape]

@@ -122,15 +122,3 @@ def pack_documents(docs: DataFrame, vocabulary: str, end: int, limits: Limits =
     """
     pieces = written(token_pieces(docs, vocabulary, end, min(limits.tokens, limits.loss), key, text, ids), "pieces")
     return pack(pieces, limits, key, "length", F.col("length"))
-
-
-def pack_conversations(turns: DataFrame, vocabulary: str, end: int, limits: Limits = Limits(), conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", answer: str = "assistant") -> DataFrame:
-    """Packs instruction data: each turn is a segment, and only the ``answer`` role's tokens bear loss.
-
-    ``segment`` is the turn's conversation, number and role as JSON (nulls are left out of it). Null and empty texts have the
-    end id only; repeated turns are packed each; an empty table gives none; other columns are ignored.
-    """
-    segment = F.to_json(F.struct(F.col(conversation), F.col(turn), F.col(role).alias("role")))
-    pieces = written(token_pieces(turns.select(segment.alias("segment"), F.col(text).alias("text")), vocabulary, end, min(limits.tokens, limits.loss), "segment"), "pieces")
-    answers = F.get_json_object("segment", "$.role") == answer
-    return pack(pieces, limits, "segment", "length", F.when(answers, F.col("length")).otherwise(0))

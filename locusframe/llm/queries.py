@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import alignment, bpe, exact_dedup, katz, language, packing, prefix_trie, quality_rules, sharding, simhash, substring_dedup, token_store, warc
-from locusframe.llm.common import table
+from locusframe.llm import alignment, bpe, conversation_packing, exact_dedup, katz, language, packing, prefix_trie, quality_rules, sharding, simhash, substring_dedup, token_store, warc
+from locusframe.llm.common import table, written
 
 SHARDS = 8
 SHARD_BLOCKS = 256
@@ -99,13 +99,29 @@ def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
 
+#: A sequence of instruction data: tokens, segments and answers' tokens.
+TALK = packing.Limits(2048, 32, 1024)
+
+
 def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All turns packed, under limits on tokens, segments and the answers' tokens."""
-    return packing.pack_conversations(table(spark, sf_dir, "conversations"), vocabulary("byte_bpe_50k.json"), 0, packing.Limits(1024, 16, 512))
+    """All conversations packed whole, under limits on tokens, segments and the answers' tokens."""
+    return conversation_packing.pack_conversations(table(spark, sf_dir, "conversations"), vocabulary("byte_bpe_50k.json"), 0, TALK)
+
+
+def packed_conversation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing: no sequence over a limit, no gap, no item in two sequences, no turn lost."""
+    rows = written(packed_conversations(spark, sf_dir), "packed")
+    sums = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.sum("loss").alias("l"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("offset").alias("begin"))
+    over = (F.col("n") > TALK.tokens) | (F.col("k") > TALK.segments) | (F.col("l") > TALK.loss)
+    gaps = (F.col("end") != F.col("n")) | (F.col("begin") != 0)
+    numbers = sums.agg(F.count_if(over).alias("over"), F.count_if(gaps).alias("gaps"), (F.max("sequence_id") + 1 - F.count("*")).alias("missing"))
+    items = rows.groupBy("item").agg(F.countDistinct("sequence_id").alias("n")).agg(F.count_if(F.col("n") > 1).alias("torn"))
+    turns = rows.agg(F.countDistinct("conv_id").alias("conversations"), F.count_if(F.col("start") == 0).alias("turns"))
+    return numbers.join(F.broadcast(items)).join(F.broadcast(turns))  # one row each
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rendezvous_sharding, op2_warc_round_trip, op3_paragraph_minhash, op4_token_frames, op5_prefix_bpe, op6_rule_ledger, op7_vector_packing, op8_simhash_pigeonring, op9_katz_scores, op10_exact_dedup, op11_merge_path_alignment, op12_prefix_trie, op13_cross_parsing, warc_salvage, rule_ablations, packed_conversations)
+    f.__name__: f for f in (op1_rendezvous_sharding, op2_warc_round_trip, op3_paragraph_minhash, op4_token_frames, op5_prefix_bpe, op6_rule_ledger, op7_vector_packing, op8_simhash_pigeonring, op9_katz_scores, op10_exact_dedup, op11_merge_path_alignment, op12_prefix_trie, op13_cross_parsing, warc_salvage, rule_ablations, packed_conversations, packed_conversation_checks)
 }
 
 # The rendezvous scores of shards 0 to 8 in SQL, and the reduction of a CRC-32 over a text's bytes by a table of 256.
@@ -153,6 +169,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc_round_trip": _WARC_SQL,
     "op1_rendezvous_sharding": _SHARD_SQL,
     "op6_rule_ledger": _LEDGER_SQL,
+    "packed_conversation_checks": "SELECT 0::bigint AS over, 0::bigint AS gaps, 0::bigint AS missing, 0::bigint AS torn, count(DISTINCT conv_id) AS conversations, count(*) AS turns FROM conversations",
     "warc_salvage": "SELECT page_id, page_id % 7 <> 3 AS recovered, CASE WHEN page_id % 7 = 3 THEN true END AS logged FROM pages",
     "rule_ablations": f"""WITH l AS ({_LEDGER_SQL}), r(rule, bit) AS (VALUES {", ".join(f"('{r}', {1 << i})" for i, r in enumerate(quality_rules.RULES))})
 SELECT rule, count(*) FILTER (failed & bit <> 0) AS failing, count(*) FILTER (failed = bit) AS failing_alone, count(*) FILTER (failed = 0) AS kept FROM l, r GROUP BY 1""",

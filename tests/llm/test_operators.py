@@ -428,13 +428,6 @@ def test_packing_wastes_little(docs):
     assert sum(filled.values()) / (1024 * len(filled)) > 0.98
 
 
-def test_packing_conversations_keeps_all_limits(spark, small):
-    limits = packing.Limits(512, 6, 200)
-    rows = packing.pack_conversations(table(spark, small, "conversations"), vocabulary("byte_bpe_50k.json"), 0, limits).collect()
-    sequences = check_sequences(rows, limits, lambda r: r.length * ('"role":"assistant"' in r.segment))
-    assert len(sequences) < len(rows)
-
-
 # 8
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from locusframe.functions import hgvs, vcf
+from locusframe.functions import features, hgvs, vcf
 from locusframe.operators import aggregates, annotate, classify, evaluation, extraction, featurised, metrics, models, ranks, splits
 from locusframe.plans.bindings import bound, with_tables
 from locusframe.plans.queries import query
@@ -176,3 +176,38 @@ def nested_out_of_fold(spark, sf_dir):
     scaled = lambda train, validation, test: test.withColumn("score", F.col("size"))
     found = evaluation.nested_out_of_fold(p, {"prior": prior, "scaled": scaled}, "grp", ["size"])
     return found.where("score is not null").groupBy("model").agg(F.count("*").alias("rows"), F.countDistinct("key").alias("keys"))
+
+
+#: Consequence terms of annotation files with the class that each has to get.
+_TERMS = [
+    ("missense_variant", "missense"), ("synonymous_variant", "synonymous"), ("stop_gained", "nonsense"), ("splice_donor_variant", "splice_canonical"), ("splice_acceptor_variant&intron_variant", "splice_canonical"),
+    ("splice_region_variant&intron_variant", "splice_region"), ("intron_variant", "intronic"), ("5_prime_UTR_variant", "utr5"), ("3_prime_UTR_variant", "utr3"), ("start_lost", "start_lost"), ("stop_lost", "stop_lost"),
+    ("upstream_gene_variant", "other_noncoding"), ("Missense_Variant", "missense"),
+]
+_TERM = "CASE ord % 13 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(_TERMS)) + " END"
+
+
+@query(f"{with_tables('calls')} SELECT {_TERM} AS term, min(CASE ord % 13 {' '.join(f'WHEN {i} THEN {k!r}' for i, (_, k) in enumerate(_TERMS))} END) AS kind, count(*) AS n FROM calls GROUP BY 1")
+def consequence_classes(spark, sf_dir):
+    terms = bound(spark, sf_dir, "calls").select(F.expr(_TERM).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return terms.select("term", vcf.consequence_class(F.col("term")).alias("kind"), "n")
+
+
+@query(f"{with_tables('calls')}, s AS (SELECT ord, alt, splice_pct / 50.0 - 1 AS logit FROM calls) SELECT ord, CASE alt WHEN 'A' THEN 0.85 WHEN 'T' THEN 0.65 WHEN 'G' THEN 0.45 ELSE 0.35 END::double AS motif, round(1 / (1 + exp(-(0.8 * logit + 0.1))), 9)::double AS p, CASE WHEN 0.8 * logit + 0.1 >= ln(9) THEN 'Pathogenic' WHEN 0.8 * logit + 0.1 >= ln(7 / 3.0) THEN 'Likely Pathogenic' WHEN 0.8 * logit + 0.1 >= ln(3 / 7.0) THEN 'VUS' WHEN 0.8 * logit + 0.1 >= -ln(9) THEN 'Likely Benign' ELSE 'Benign' END AS tier FROM s")
+def calibrated_scores(spark, sf_dir):
+    """Motif scores, and calibrated probabilities of logits with their tiers."""
+    logit = (F.col("splice_pct") / 50.0 - 1).cast("double")
+    p = features.logistic(logit, 0.8, 0.1)
+    return bound(spark, sf_dir, "calls").select("ord", features.motif_score(F.col("alt")).cast("double").alias("motif"), F.round(p, 9).alias("p"), features.score_tier(p).alias("tier"))
+
+
+_CHARGES = "c(aa, q) AS (VALUES ('K', 1.0), ('R', 1.0), ('D', -1.0), ('E', -1.0))"
+
+
+@query(f"{with_tables('variants')}, {_CHARGES}, x AS (SELECT ord, ref_aa, alt_aa FROM variants WHERE ref_aa IN ('K', 'R', 'D', 'W') AND alt_aa IN ('K', 'R', 'D', 'W')) SELECT ord, (ref_aa = alt_aa) AS same, (coalesce(b.q, 0) - coalesce(a.q, 0))::double AS delta_charge, CASE WHEN ref_aa || alt_aa IN ('KR', 'RK') THEN 26.0 END::double AS published FROM x LEFT JOIN c a ON ref_aa = a.aa LEFT JOIN c b ON alt_aa = b.aa")
+def residue_pairs(spark, sf_dir):
+    """Charge changes of residue pairs, and the distance of the pair K and R, which is 26 as a whole number."""
+    v = bound(spark, sf_dir, "variants").where("ref_aa in ('K', 'R', 'D', 'W') and alt_aa in ('K', 'R', 'D', 'W')")
+    found = v.join(F.broadcast(features.pair_table(spark)), ["ref_aa", "alt_aa"])  # 400 rows
+    told = F.concat("ref_aa", "alt_aa").isin("KR", "RK")
+    return found.select("ord", (F.col("distance") == 0).alias("same"), "delta_charge", F.when(told, F.round("distance")).alias("published"))

@@ -121,8 +121,9 @@ def name_transcript(name: Column) -> Column:
 
 def substitution(name: Column) -> Column:
     """struct(cpos, ref, alt) of a coding substitution, null for other names."""
-    part = lambda i: F.regexp_extract(name, SUBSTITUTION, i)
-    return F.when(name.rlike(SUBSTITUTION), F.struct(part(1).try_cast("int").alias("cpos"), part(2).alias("ref"), part(3).alias("alt")))
+    place = lambda t: F.substring(t, F.lit(4), F.length(t) - 6).try_cast("int")
+    made = lambda t: F.when(t != "", F.struct(place(t).alias("cpos"), F.substring(t, -3, 1).alias("ref"), F.substring(t, -1, 1).alias("alt")))
+    return F.get(F.transform(F.array(F.regexp_extract(name, SUBSTITUTION, 0)), made), F.lit(0))  # searched once: :c.12A>C
 
 
 def single_panel_hit(symbols: Column, panel: list[str]) -> Column:

@@ -102,27 +102,29 @@ def name_checks(rows: DataFrame) -> DataFrame:
     missense_stop: missense from a stop. foreign_gene: names of another gene. genomic_name: a genomic name with other
     position or alleles.
     """
-    told = named(rows)
-    good = protein_rows(told).where("(plus or minus) and cdna is not null")
+    told = named(rows).withColumn("_genomic", F.regexp_extract("hgvs_name", GENOMIC, 0))  # g.12A>C
     label = hgvs.significance_label(F.col("clinical_significance"))
-    genomic = [F.regexp_extract("hgvs_name", GENOMIC, i) for i in (1, 2, 3)]
-    is_genomic = (genomic[0] != "") & F.col("cdna").isNull()
-    same = (genomic[0].try_cast("bigint") == F.col("pos")) & (genomic[1] == F.col("ref")) & (genomic[2] == F.col("alt"))
+    genomic = F.col("_genomic")
+    is_genomic = (genomic != "") & F.col("cdna").isNull()
+    place = F.substring(genomic, F.lit(3), F.length(genomic) - 5).try_cast("bigint")
+    same = (place == F.col("pos")) & (F.substring(genomic, -3, 1) == F.col("ref")) & (F.substring(genomic, -1, 1) == F.col("alt"))
+    protein = F.col("variant_class").isin(*PROTEIN_CLASSES) & (F.col("plus") | F.col("minus"))
+    change = F.concat(*[c for part in ("ref_aa", F.pmod(F.col("cdna.cpos") - 1, F.lit(3)).cast("string"), "cdna.ref", "cdna.alt", "alt_aa") for c in (F.lit("|"), part)])
+    reachable = F.coalesce(change.isin(["".join(f"|{x}" for x in c) for c in codon_changes()]), F.lit(False))
     counts = {
         "label_text": F.col("label").isin(0, 1) & (label != F.col("label")),
         "alleles": ~F.col("plus") & ~F.col("minus"),
         "missense_stop": (F.col("variant_class") == "missense") & (F.col("ref_aa") == "*"),
         "foreign_gene": F.col("cdna").isNotNull() & (F.col("named_gene") != F.col("gene")),
         "genomic_name": is_genomic & ~F.coalesce(same, F.lit(False)),
-        "residue_place": F.col("variant_class").isin(*PROTEIN_CLASSES) & (F.col("plus") | F.col("minus")) & (F.floor((F.col("cdna.cpos") - 1) / 3) + 1 != F.col("aa_pos")),
+        "residue_place": protein & (F.floor((F.col("cdna.cpos") - 1) / 3) + 1 != F.col("aa_pos")),
+        "reachable": protein & ~reachable,
     }
-    flat = told.agg(*[F.count_if(F.coalesce(t, F.lit(False))).alias(n) for n, t in counts.items()])
-    flat = flat.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("against")) for n in counts])).alias("c")).select("c.*")
-    strands = told.groupBy("gene").agg(F.count_if("plus").alias("p"), F.count_if("minus").alias("m")).agg(F.lit("strands").alias("check"), F.count_if((F.col("p") > 0) & (F.col("m") > 0)).alias("against"))
-    changes = rows.sparkSession.createDataFrame(codon_changes(), "_ra string, _i int, _r string, _a string, _aa string")
-    place = F.pmod(F.col("cdna.cpos") - 1, F.lit(3))
-    odd = good.join(F.broadcast(changes), (F.col("ref_aa") == F.col("_ra")) & (place == F.col("_i")) & (F.col("cdna.ref") == F.col("_r")) & (F.col("cdna.alt") == F.col("_a")) & (F.col("alt_aa") == F.col("_aa")), "left_anti")
-    return suite([flat, strands, odd.agg(F.lit("reachable").alias("check"), F.count("*").alias("against"))])
+    # one pass: counts by gene, then their sums
+    genes = told.groupBy("gene").agg(*[F.count_if(F.coalesce(t, F.lit(False))).alias(n) for n, t in (counts | {"_p": F.col("plus"), "_m": F.col("minus")}).items()])
+    strands = F.count_if((F.col("_p") > 0) & (F.col("_m") > 0)).alias("strands")
+    flat = genes.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts], strands)
+    return flat.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("against")) for n in [*counts, "strands"]])).alias("c")).select("c.*")
 
 
 def far_from_gene(rows: DataFrame, extents: DataFrame, most: int = 50_000, name: str = "far_from_gene") -> DataFrame:

@@ -34,44 +34,52 @@ def is_biallelic(gt: Column, number: Column) -> Column:
 
 def format_field(form: Column, sample: Column, name: str) -> Column:
     """A sample's value of a FORMAT key; null if absent or '.'."""
-    at = F.array_position(F.split(form, ":"), name)
-    value = F.when(at > 0, F.get(F.split(sample, ":"), (at - 1).cast("int")))
-    return F.nullif(value, F.lit("."))
+    return F.nullif(_format_text(form, sample, name), F.lit("."))
+
+
+def _format_text(form: Column, sample: Column, name: str) -> Column:
+    return F.get(F.split(sample, ":"), (F.array_position(F.split(form, ":"), name) - 1).cast("int"))
 
 
 def format_number(form: Column, sample: Column, name: str) -> Column:
-    value = format_field(form, sample, name)
-    return F.when(value.rlike(r"^\d+$"), value.try_cast("int"))
+    return F.regexp_extract(_format_text(form, sample, name), r"^\d+$", 0).try_cast("int")
+
+
+def info_text(info: Column, *keys: str) -> Column:
+    """The value of the first of the keys that stands in the text with a value, else ''."""
+    if len(keys) == 1:  # the key as the pattern's first letters, which the matcher skips to
+        return F.regexp_extract(info, rf"{keys[0]}=(?<=(?:^|;){keys[0]}=)([^;]+)", 1)
+    return F.regexp_extract(info, rf"(?:^|;)(?:{'|'.join(keys)})=([^;]+)", 1)
 
 
 def info_value(info: Column, *keys: str) -> Column:
-    """The value of the first of the keys that stands in the text with a value."""
-    return F.nullif(F.regexp_extract(info, rf"(?:^|;)(?:{'|'.join(keys)})=([^;]+)", 1), F.lit(""))
+    return F.nullif(info_text(info, *keys), F.lit(""))
 
 
 def allele_frequency(info: Column, alt_index: Column) -> Column:
     """Frequency of one alternative; null (not zero) if missing or not a number."""
-    return F.get(F.split(info_value(info, "AF", "gnomAD_AF", "AF_raw"), ","), alt_index).try_cast("double")
+    return F.get(F.split(info_text(info, "AF", "gnomAD_AF", "AF_raw"), ","), alt_index).try_cast("double")
 
 
 def allele_matches(told: Column, ref: Column, alt: Column, n_alts: Column) -> Column:
     """Whether an annotation's allele means this alternative: equal, its minimal indel form, or unnamed with one alternative."""
     unnamed = told.isNull() | told.isin("", ".")
     short = F.when(F.length(alt) == 1, F.lit("-")).otherwise(F.substring(alt, 2, 2**31 - 1))
-    return (unnamed & (n_alts == 1)) | (told == alt) | ((F.length(ref) != F.length(alt)) & (told == short))
+    return (told == alt) | ((n_alts == 1) & unnamed) | ((F.length(ref) != F.length(alt)) & (told == short))
 
 
 def first_annotation(info: Column, tag: str, fields: dict[str, int], ref: Column, alt: Column, n_alts: Column, panel: list[str]) -> Column:
     """The first entry of CSQ or ANN for this allele with a symbol of the panel, as a struct of its fields; else null.
 
-    Symbols are compared and returned in upper case. The entry is bound once, in a lambda, so that the fields don't
-    repeat the search.
+    Symbols are compared and returned in upper case. Entries are tested as text and the first that fits is cut into its
+    fields; it is bound once, in a lambda, so that the fields don't repeat the search.
     """
-    entries = F.transform(F.split(info_value(info, tag), ","), lambda e: F.split(e, r"\|"))
     symbol = lambda e: F.upper(F.get(e, F.lit(fields["symbol"])))
-    fits = lambda e: F.coalesce(allele_matches(F.upper(F.trim(F.get(e, F.lit(0)))), ref, alt, n_alts) & symbol(e).isin(panel), F.lit(False))
+    start = lambda e: F.split(e, r"\|", fields["symbol"] + 2)
+    fits = lambda e: F.coalesce(allele_matches(F.upper(F.trim(F.substring_index(e, "|", 1))), ref, alt, n_alts) & symbol(start(e)).isin(panel), F.lit(False))
     value = lambda e, n, i: symbol(e) if n == "symbol" else F.nullif(F.get(e, F.lit(i)), F.lit(""))
-    made = F.transform(F.filter(entries, fits), lambda e: F.struct(*[value(e, n, i).alias(n) for n, i in fields.items()]))
+    first = F.slice(F.filter(F.split(info_text(info, tag), ","), fits), 1, 1)
+    made = F.transform(F.transform(first, lambda e: F.split(e, r"\|")), lambda e: F.struct(*[value(e, n, i).alias(n) for n, i in fields.items()]))
     return F.get(made, F.lit(0))
 
 
@@ -82,14 +90,17 @@ def splice_score(info: Column, ref: Column, alt: Column, n_alts: Column) -> Colu
     deltas are skipped; an entry with a delta that isn't a number doesn't count. With one alternative the tags DS_MAX,
     SpliceAI_DS_max and SpliceAI_max count too, in any case. Deletions have no short form here, so ``ref`` isn't read.
     """
-    fields = F.transform(F.split(info_value(info, "SpliceAI"), ","), lambda e: F.split(e, r"\|"))
-    told = lambda e: F.filter(F.transform(F.slice(e, 3, 4), lambda x: F.trim(x)), lambda x: ~x.isin("", "."))
-    parsed = F.transform(fields, lambda e: F.struct(F.upper(F.trim(F.get(e, F.lit(0)))).alias("allele"), F.size(e).alias("n"), F.transform(told(e), lambda x: x.try_cast("double")).alias("deltas")))
+    told = info_text(info, "SpliceAI")
+    trimmed = F.when(info.contains(" "), F.trim(F.regexp_replace(told, r" *([|,]) *", "$1"))).otherwise(told)
+    entries = F.transform(F.split(trimmed, ","), lambda e: F.split(e, r"\|"))
+    # array functions without lambdas of their own; in ascending order a delta that isn't a number, now null, comes first
+    deltas = lambda e: F.array_remove(F.array_remove(F.slice(e, 3, 4), ""), ".").try_cast("array<double>")
+    parsed = F.transform(entries, lambda e: F.struct(F.upper(F.get(e, F.lit(0))).alias("allele"), F.size(e).alias("n"), F.sort_array(deltas(e)).alias("deltas")))
     own = lambda e: F.when(e["allele"].isin("", "."), n_alts == 1).otherwise(e["allele"] == alt)
-    whole = lambda e: (e["n"] >= 6) & ~F.exists(e["deltas"], lambda x: x.isNull()) & own(e)
-    best = F.array_max(F.transform(F.filter(parsed, whole), lambda e: F.array_max(e["deltas"])))
-    tag = F.when(n_alts == 1, F.regexp_extract(info, r"(?i)(?:^|;)(?:DS_MAX|SpliceAI_DS_max|SpliceAI_max)=([0-9.]+)", 1).try_cast("double"))
-    return F.greatest(best, tag)
+    whole = lambda e: (e["n"] >= 6) & F.get(e["deltas"], F.lit(0)).isNotNull() & own(e)
+    best = F.array_max(F.transform(parsed, lambda e: F.when(whole(e), F.element_at(e["deltas"], -1))))
+    tag = F.regexp_extract(info, r"(?i)(?:^|;)(?:DS_MAX|SpliceAI_DS_max|SpliceAI_max)=([0-9.]+)", 1).try_cast("double")
+    return F.greatest(best, F.when((n_alts == 1) & F.lower(info).contains("_max="), tag))
 
 
 def consequence_class(consequence: Column) -> Column:
@@ -108,7 +119,10 @@ def plain_chromosome(chrom: Column) -> Column:
 
 def zygosity(gt: Column) -> Column:
     """No-call, Unknown, Ref, Hem, Hom-Ref, Hom or Het."""
-    alleles = called_alleles(gt)
+    return F.get(F.transform(F.array(called_alleles(gt)), lambda alleles: _zygosity(gt, alleles)), F.lit(0))  # read once
+
+
+def _zygosity(gt: Column, alleles: Column) -> Column:
     n, kinds = F.size(alleles), F.size(F.array_distinct(alleles))
     first = F.get(alleles, F.lit(0))
     return (

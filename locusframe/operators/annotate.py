@@ -89,15 +89,17 @@ def attribute_genes(calls: DataFrame, registry: DataFrame, intervals: DataFrame,
     interval that holds the position (intronic). ``calls`` has info, n_alts and the unique ``key``; ``registry`` has the
     variant key, gene, variant_class and ``order`` (the last row of a variant counts), and the ``told`` columns, which come
     along. The registry is joined once and INFO is parsed once: rows with what was read (without the PARSED texts) are
-    written, then those without a gene are held against the intervals.
+    written, then those without a gene are held against the intervals. Rows with one are neither sorted nor shuffled again.
     """
     read = lambda tag, fields: vcf.first_annotation(F.col("info"), tag, fields, F.col("ref"), F.col("alt"), F.col("n_alts"), panel)
     rows = calls.withColumn("_csq", read("CSQ", vcf.CSQ_FIELDS)).withColumn("_ann", read("ANN", vcf.ANN_FIELDS))
     known = last_wins(registry.select(*KEY, F.col("gene").alias("_g"), F.col("variant_class").alias("_class"), *told, order), order).drop(order)
     rows = written(rows.join(known, KEY, "left").drop(*PARSED), "named")
     named = F.coalesce(F.col("_csq.symbol"), F.col("_ann.symbol"), F.col("_g"))
-    places = interval_matches(rows.where(named.isNull()), intervals, key).select(*key, F.col("gene").alias("_place"))
-    rows = rows.join(places, key, "left")
+    # rows without a gene go through the sweep whole, so no join brings its result back to them
+    open_ = rows.where(named.isNull()).select(F.col("chrom"), F.col("pos"), F.struct(*rows.columns).alias("_row"))
+    placed = interval_matches(open_, intervals, ["_row"]).select("_row.*", F.col("gene").alias("_place"))
+    rows = rows.where(named.isNotNull()).withColumn("_place", F.lit(None).cast("string")).unionByName(placed)
     source = F.when(F.col("_csq").isNotNull(), "csq").when(F.col("_ann").isNotNull(), "ann").when(F.col("_g").isNotNull(), "registry").when(F.col("_place").isNotNull(), "interval")
     both = lambda n: F.when(F.col("_csq").isNotNull(), F.col(f"_csq.{n}")).otherwise(F.col(f"_ann.{n}"))
     residues = F.split("_csq.residues", "/")

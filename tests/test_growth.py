@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from locusframe.functions import vcf
-from locusframe.operators import quality
+from locusframe.operators import annotate, quality
 
 INFO = "DB;XCSQ=T|x;CSQ=;CSQ=C|other|x|G1,t|missense|x|g1|||T1||||c.5A>G|p.K5R|||5|K/R;AF=0.5"
 
@@ -52,3 +52,14 @@ def test_name_checks_read_the_table_once(spark, tmp_path):
     assert {r.check: r.against for r in made.collect()} == {"label_text": 1, "alleles": 1, "missense_stop": 1, "foreign_gene": 1, "genomic_name": 1, "residue_place": 1, "reachable": 2, "strands": 1}
     assert plan(made).count("parquet") == 1
     assert {r.against for r in quality.name_checks(table.limit(0)).collect()} == {0}
+
+
+def test_rows_with_a_gene_are_not_joined_again(spark):
+    calls = [(i, "1", 10 * i, "A", "T", 1, "CSQ=T|missense|x|G1" if i % 2 else "DB") for i in range(1, 9)]
+    calls = spark.createDataFrame(calls, "line long, chrom string, pos long, ref string, alt string, n_alts int, info string")
+    known = spark.createDataFrame([("1", 20, "A", "T", "G2", "missense", 1)], "chrom string, pos long, ref string, alt string, gene string, variant_class string, ord long")
+    places = spark.createDataFrame([("G3", "1", 35, 45), ("G4", "1", 55, 85), ("G5", "1", 75, 85)], "gene string, chrom string, start long, end long")
+    got = annotate.attribute_genes(calls, known, places, ["G1"], ["line"], "ord")
+    want = {1: ("G1", "csq"), 2: ("G2", "registry"), 3: ("G1", "csq"), 4: ("G3", "interval"), 5: ("G1", "csq"), 6: ("G4", "interval"), 7: ("G1", "csq"), 8: (None, None)}
+    assert {r.line: (r.gene, r.gene_source) for r in got.collect()} == want
+    assert not [x for x in plan(got).splitlines() if "Join" in x and "line#" in x]

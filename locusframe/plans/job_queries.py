@@ -46,7 +46,8 @@ def job_calls(spark, sf_dir):
 @query(f"{_NAMED} SELECT line, gene, gene_source, consequence FROM n")
 def gene_attribution(spark, sf_dir):
     held = reference(spark, sf_dir)
-    return annotate.attribute_genes(job_calls(spark, sf_dir), held.registry, held.intervals, PANEL, vcf_job.CALL, "ord").select("line", "gene", "gene_source", "consequence")
+    calls = job_calls(spark, sf_dir).select(*vcf_job.CALL, *annotate.KEY, "n_alts", "info")  # genes need no frequency or splice score
+    return annotate.attribute_genes(calls, held.registry, held.intervals, PANEL, vcf_job.CALL, "ord").select("line", "gene", "gene_source", "consequence")
 
 
 @query(f"{_JOB} SELECT sample_id, gene, final_tier AS tier, source, count(*) AS n FROM final GROUP BY 1, 2, 3, 4")

@@ -16,6 +16,7 @@ only where anchors repeat and their surroundings differ; no repeated window is l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -146,7 +147,7 @@ class Windows:
         self.anchor = self.block = np.zeros(0, np.uint64)
         if n < LEAST_RUN:
             return
-        grams = _mixed(np.fromiter((_codes[w] for ws in words for w in ws), np.uint64, n) >> np.uint64(1))
+        grams = _mixed(np.fromiter(map(_codes.__getitem__, chain.from_iterable(words)), np.uint64, n) >> np.uint64(1))
         width = 1
         while width < GRAM:
             grams = _mixed(grams[:-width] * _ODD + grams[width:])
@@ -268,6 +269,10 @@ def shingle_sets(docs: DataFrame, every: DataFrame, names: DataFrame, key: str =
 
 def jaccard_links(sets: list[np.ndarray], asks: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Links that connect what the pairs (asking, any) of similarity ``least`` or more connect, fewer than there are sets."""
+    if len(sets) == 2:  # most bands
+        shared = len(np.intersect1d(*sets, assume_unique=True))
+        near = shared >= least * (len(sets[0]) + len(sets[1]) - shared) - 1e-9
+        return [(0, 1)] if near and asks.any() else []
     group = np.arange(len(sets))
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
@@ -306,12 +311,14 @@ def near_paragraphs(docs: DataFrame, every: DataFrame, key: str = "doc_id", text
 
     def links(frame: pd.DataFrame) -> tuple[list, list]:
         left, right = [], []
-        for _, group in frame.groupby(["band", "x", "y"], sort=False):
-            names, asks = group["name"].to_numpy(), group["asks"].to_numpy()
-            if len(names) > 1:
-                for i, j in jaccard_links([np.asarray(s) for s in group["shingles"]], asks, least):
-                    left.append(names[i])
-                    right.append(names[j])
+        band, x, y, names, asks, sets = (frame[c].to_numpy() for c in ("band", "x", "y", "name", "asks", "shingles"))
+        starts = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        stops = np.append(starts[1:], len(band))
+        several = stops - starts > 1
+        for a, b in zip(starts[several].tolist(), stops[several].tolist(), strict=True):
+            for i, j in jaccard_links(list(sets[a:b]), asks[a:b], least):
+                left.append(names[a + i])
+                right.append(names[a + j])
         return left, right
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

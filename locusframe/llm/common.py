@@ -42,13 +42,19 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage is cut and losing an executor costs nothing."""
-    path = shared_path(df.sparkSession, label)
+def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, or in ``folder``: its lineage is cut and losing an executor costs nothing."""
+    path = f"{folder}/{label}-{uuid.uuid4().hex}" if folder else shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Deletes ``folder``, a fresh one of ``shared_path``, when all that was read from its tables is written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows by count (use narrow rows of a written table); else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

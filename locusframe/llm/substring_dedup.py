@@ -11,10 +11,15 @@ Jaccard similarity; components of what is left are the classes.
 Passages that no mark or line end cuts are found by their words alone: every window of LEAST_RUN words belongs to the
 least of its GRAM-word hashes, so equal windows have equal anchors wherever they stand. Windows are looked at one by one
 only where anchors repeat and their surroundings differ; no repeated window is lost.
+
+Texts are dealt out once, into a bucketed table; each later look at some of them (shingle sets, windows, cuts) joins it
+without an exchange. Paragraphs, anchors and windows cross the network once each, and those that stand alone are left
+where they meet. No step changes its way with the size of the table, so that disk grows as the input.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,11 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import broadcast_if_small, text_batches, written
+from locusframe.llm.common import broadcast_if_small, dropped, shared_path, text_batches, written
 from locusframe.llm.components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 5, 2
+#: Paragraphs of this Jaccard similarity or more are linked.
+LEAST = 0.8
 SENTENCE = 8
 #: A run of paragraphs that repeat goes if it has this many words together; shorter ones are everyday phrases.
 LEAST_WORDS = 30
@@ -188,9 +195,49 @@ def _text_hash(text: str) -> Column:
     return F.xxhash64(F.col(text).cast("string"))
 
 
-def _source(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
-    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return source, source.schema["key"].dataType.simpleString()
+def laid_out(docs: DataFrame, key: str, text: str, path: str) -> tuple[DataFrame, str]:
+    """The rows of ``docs`` as a table bucketed by ``row``, a hash of key and text; and the key's type.
+
+    Columns are key, text, th (the text's hash), row, and those of ``docs`` under the names c0, c1, ... Joins by ``row``
+    move the other side only. Rows with one key and text share a ``row``; others do by a chance of n^2 / 2^65 of any
+    mix-up. There are as many buckets as shuffle partitions. The table is in ``path`` and not in the catalog.
+    """
+    spark, names = docs.sparkSession, [f"c{i}" for i in range(len(docs.columns))]
+    own = {c: n for c, n in zip(docs.columns, names, strict=True)}
+    plain = docs.toDF(*names).withColumn("th", _text_hash(own[text])).withColumn("row", F.xxhash64(own[key], "th"))
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"spark_catalog.default.lf_texts_{uuid.uuid4().hex}"
+    plain.repartition(buckets, "row").write.bucketBy(buckets, "row").option("path", path).option("compression", "zstd").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # external: the files stay, and the plan has their layout
+    return table.select("*", F.col(own[key]).alias("key"), F.col(own[text]).cast("string").alias("text")), docs.select(key).dtypes[0][1]
+
+
+def _asking(source: DataFrame, asked: DataFrame, how: str = "inner") -> DataFrame:
+    """The laid out texts with what is asked of their ``row``: the asking side is dealt to the buckets, texts aren't moved or sorted."""
+    asked = asked.withColumnRenamed("row", "_row")
+    return source.join(asked.hint("shuffle_hash"), source["row"] == asked["_row"], how).drop("_row")
+
+
+def recurring(rows: DataFrame, by: str) -> DataFrame:
+    """The rows whose ``by`` (a long) is on two rows or more; rows stream through their task, however many have one value."""
+    at = rows.columns.index(by)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, again = None, False  # the last row, and whether it has the value of the row before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            value = batch.column(at).to_numpy()
+            same = np.concatenate([[again], value[1:] == value[:-1]])
+            last = batch.num_rows - 1
+            yield batch.slice(0, last).filter(pa.array(same[:-1] | same[1:]))
+            held, again = batch.slice(last), same[last]
+        if held is not None and again:
+            yield held
+
+    return rows.repartition(by).sortWithinPartitions(by).mapInArrow(keep, rows.schema)
 
 
 def shared_bands(rows: DataFrame) -> DataFrame:
@@ -216,14 +263,12 @@ def shared_bands(rows: DataFrame) -> DataFrame:
     return rows.repartition("band").sortWithinPartitions("band", "name").mapInArrow(keep, "band bigint, name bigint")
 
 
-def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def occurrences(source: DataFrame, kind: str) -> DataFrame:
     """(key, th, number, words, name, bands) of every paragraph of SHINGLE words or more, th telling texts under one key apart.
 
     ``name`` is the first half of its name, ``bands`` its band keys; of equal paragraphs in a slice of texts only the first has
     them, the others null.
     """
-    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), _text_hash(text).alias("th"))
-    kind = source.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, 1):
@@ -241,16 +286,14 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             own = pa.array(found.doc[c])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(found.number[c].astype(np.int32)), pa.array(found.lengths[c].astype(np.int32)), _signed(names), bands], ["key", "th", "number", "words", "name", "bands"])
 
-    return source.mapInArrow(run, f"key {kind}, th bigint, number int, words int, name bigint, bands array<bigint>")
+    return source.select("key", "text", "th").mapInArrow(run, f"key {kind}, th bigint, number int, words int, name bigint, bands array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, every: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(name, shingles): the distinct shingle hashes of each named paragraph, read again from the first text that has it."""
+def shingle_sets(source: DataFrame, places: DataFrame) -> DataFrame:
+    """(name, shingles): the distinct shingle hashes of each marked paragraph of ``places``, read again from the first text that has it."""
     place = F.struct(F.col("key").isNull().alias("last"), "key", "th")
-    least = every.select("key", "th", "name").join(broadcast_if_small(names, SMALL), "name").groupBy("name").agg(F.min(place).alias("at"))
-    asked = least.groupBy(F.col("at.key").alias("_k"), F.col("at.th").alias("_t")).agg(F.collect_list("name").alias("names"))
-    source, _ = _source(docs, key, text)
-    source = source.withColumn("th", _text_hash("text"))
+    least = places.groupBy("name").agg(F.max("mark").alias("mark"), F.min(F.when(~F.col("mark"), place)).alias("at")).where("mark")
+    asked = least.groupBy(F.xxhash64("at.key", "at.th").alias("row")).agg(F.collect_list("name").alias("names"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, 0):
@@ -263,8 +306,7 @@ def shingle_sets(docs: DataFrame, every: DataFrame, names: DataFrame, key: str =
             chosen = chosen[found.lengths[chosen] >= SHINGLE]
             yield pa.RecordBatch.from_arrays([pa.array(own[chosen]), pa.array([x.view(np.int64) for x in found.sets(chosen)], pa.list_(pa.int64()))], ["name", "shingles"])
 
-    wanted = source.join(asked, source["key"].eqNullSafe(asked["_k"]) & (source["th"] == asked["_t"])).select("text", "names")
-    return wanted.mapInArrow(run, "name bigint, shingles array<bigint>").groupBy("name").agg(F.first("shingles").alias("shingles"))
+    return _asking(source, asked).select("text", "names").mapInArrow(run, "name bigint, shingles array<bigint>").groupBy("name").agg(F.first("shingles").alias("shingles"))
 
 
 def jaccard_links(sets: list[np.ndarray], asks: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -293,14 +335,13 @@ def jaccard_links(sets: list[np.ndarray], asks: np.ndarray, least: float) -> lis
     return links
 
 
-def near_paragraphs(docs: DataFrame, every: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_paragraphs(named: DataFrame, sets: DataFrame, least: float = LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Links (a, b) between names of distinct paragraphs that connect all verified pairs.
 
-    ``every``: the table of ``occurrences``. (band, name) is shuffled, and the bands with two names are kept. They are few: the shingle sets of their names are read again, and the bands are compared inside tasks, one of over
-    ``block_rows`` paragraphs as pairs of blocks. A task returns a spanning forest, never all pairs.
+    ``named``: the bands with two names or more (``shared_bands``), ``sets``: the shingle sets of their names. The bands
+    are compared inside tasks, one of over ``block_rows`` paragraphs as pairs of blocks. A task returns a spanning forest,
+    never all pairs.
     """
-    named = written(shared_bands(every.select(F.explode("bands").alias("band"), "name")), "named")
-    sets = written(shingle_sets(docs, every, named.select("name").distinct(), key, text), "sets")
     members = named.join(sets, "name")
     counts = named.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
     held = members.join(counts, "band").withColumn("at", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
@@ -340,7 +381,7 @@ def near_paragraphs(docs: DataFrame, every: DataFrame, key: str = "doc_id", text
     return dealt.select("band", "x", "y", "name", "shingles", "asks").mapInPandas(compare, "a bigint, b bigint")
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, least_words: int = LEAST_WORDS) -> DataFrame:
     """The paragraphs that repeat, one row each: key, number (in its document), words, component_doc, component_number, removed.
 
     A component holds paragraphs of equal text or of similarity ``least`` or more, directly or through others. Its first
@@ -349,31 +390,46 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     have no paragraphs, nor have texts of under five words; null keys come last, each of their texts by itself; rows that
     repeat a key and text count once; an empty table gives none; other columns are ignored. Equal texts are known by 64-bit hashes (a chance of n^2 / 2^65 of any mix-up).
     """
-    return _passages(docs, key, text, least, least_words).drop("_lf_text")
-
-
-def _passages(docs: DataFrame, key: str, text: str, least: float, least_words: int) -> DataFrame:
-    """``repeated_passages`` with the text's hash ``_lf_text``."""
-    every = written(occurrences(docs, key, text), "paragraphs")
-    linked = connected_components(near_paragraphs(docs, every, key, text, least), "a", "b")
-    copied = every.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    wanted = written(copied.unionByName(linked.select(F.col("node").alias("name"))).distinct().join(linked, F.col("name") == linked["node"], "left").select("name", F.coalesce("component", "name").alias("component")), "wanted")
-    held = written(every.join(broadcast_if_small(wanted, SMALL), "name").select("key", "th", "number", "words", "component").distinct(), "held")
+    folder = shared_path(docs.sparkSession, "texts")
+    source, kind = laid_out(docs.select(key, text), key, text, folder)
+    found = _passages(source, kind, key, least, least_words)
+    dropped(docs.sparkSession, folder)
+    return found.drop("_lf_text")
+
+
+def _passages(source: DataFrame, kind: str, key: str, least: float, least_words: int, results: str | None = None) -> DataFrame:
+    """``repeated_passages`` of laid out texts, with the text's hash ``_lf_text``; it reads tables in ``results`` alone."""
+    first, folder = (shared_path(source.sparkSession, x) for x in ("paragraphs", "passages"))
+    every = written(occurrences(source, kind), "paragraphs", first)
+    named = written(shared_bands(every.select(F.explode("bands").alias("band"), "name")), "named", folder)
+    # names that stand in one place and share no band are done with here; a mark is a row for a name in a shared band
+    columns = "key", "th", "number", "words", "name"
+    marks = named.select(*[F.lit(None).cast(every.schema[c].dataType).alias(c) for c in columns[:-1]], "name", F.lit(True).alias("mark"))
+    places = written(recurring(every.select(*columns, F.lit(False).alias("mark")).unionByName(marks), "name"), "places", folder)
+    dropped(source.sparkSession, first)
+    sets = written(shingle_sets(source, places), "sets", folder)
+    linked = connected_components(near_paragraphs(named, sets, least), "a", "b", folder=folder)
+    places = places.where("not mark")
+    copied = places.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    wanted = written(copied.unionByName(linked.select(F.col("node").alias("name"))).distinct().join(linked, F.col("name") == linked["node"], "left").select("name", F.coalesce("component", "name").alias("component")), "wanted", folder)
+    held = written(places.join(broadcast_if_small(wanted, SMALL), "name").select("key", "th", "number", "words", "component").distinct(), "held", folder)
     place = F.struct(F.col("key").isNull().alias("last"), "key", "th", "number")
     # written sides, here and in _runs: each join's shuffle is apart from the sums', so that Spark can split a large component
-    firsts = written(held.groupBy("component").agg(F.min(place).alias("first")), "firsts")
+    firsts = written(held.groupBy("component").agg(F.min(place).alias("first")), "firsts", folder)
     marked = held.join(broadcast_if_small(firsts, SMALL), "component").withColumn("again", place != F.col("first"))
-    return _runs(marked, least_words).select(F.col("key").alias(key), F.col("th").alias("_lf_text"), "number", "words", F.col("first.key").alias("component_doc"), F.col("first.number").alias("component_number"), "removed")
+    runs = _runs(marked, least_words, results)
+    dropped(source.sparkSession, folder)
+    return runs.select(F.col("key").alias(key), F.col("th").alias("_lf_text"), "number", "words", F.col("first.key").alias("component_doc"), F.col("first.number").alias("component_number"), "removed")
 
 
-def _runs(marked: DataFrame, least_words: int) -> DataFrame:
+def _runs(marked: DataFrame, least_words: int, folder: str | None = None) -> DataFrame:
     """``marked`` with ``removed``, without the components that lose nothing. Runs are found inside a document's text."""
     ordered = Window.partitionBy("key", "th").orderBy("number")
     runs = marked.where("again").withColumn("run", F.col("number") - F.dense_rank().over(ordered))
     runs = runs.withColumn("together", F.sum("words").over(Window.partitionBy("key", "th", "run")))
     gone = runs.withColumn("removed", F.col("together") >= least_words).drop("run", "together")
-    every = written(gone.unionByName(marked.where("not again").withColumn("removed", F.lit(False))), "runs")
-    losing = written(every.where("removed").select("component").distinct(), "losing")
+    every = written(gone.unionByName(marked.where("not again").withColumn("removed", F.lit(False))), "runs", folder)
+    losing = written(every.where("removed").select("component").distinct(), "losing", folder)
     return every.join(broadcast_if_small(losing, SMALL), "component", "left_semi")
 
 
@@ -384,10 +440,18 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     words stand first. Of every window of LEAST_RUN words (A-Z as a-z) that repeats, all but the first go, and so do all
     words they cover; a repeat that overlaps the first in the same text stays. Rows that repeat a key and text are one.
     First anchors that stand in one place are dropped; then equal blocks are settled as one row each; only blocks whose
-    anchor has other surroundings elsewhere are opened to their windows.
+    anchor has other surroundings elsewhere are opened to their windows. The rows are a written table.
     """
-    source = docs.select(F.col(key).alias("key"), _text_hash(text).alias("th"), F.col(text).cast("string").alias("text"))
-    kind = source.schema["key"].dataType.simpleString()
+    folder = shared_path(docs.sparkSession, "texts")
+    source, kind = laid_out(docs.select(key, text), key, text, folder)
+    spans = _spans(source, kind, key)
+    dropped(docs.sparkSession, folder)
+    return spans
+
+
+def _spans(source: DataFrame, kind: str, key: str, results: str | None = None) -> DataFrame:
+    """``repeated_spans`` of laid out texts, as a table in ``results``."""
+    folder = shared_path(source.sparkSession, "windows")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, 2):
@@ -406,34 +470,39 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     place = F.struct(F.col("key").isNull().alias("last"), "key", "th", "start")
     later = ~(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("th") == F.col("first.th")) & (F.col("start") - F.col("first.start") < LEAST_RUN))
-    blocks = written(source.mapInArrow(cut, f"key {kind}, th bigint, start int, n int, anchor bigint, block bigint"), "blocks")
     where = F.xxhash64("key", "th", "start")
+    blocks = source.select("key", "th", "text").mapInArrow(cut, f"key {kind}, th bigint, start int, n int, anchor bigint, block bigint")
+    blocks = written(recurring(blocks, "anchor"), "blocks", folder)
     anchors = blocks.groupBy("anchor").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.min("block").alias("c"), F.max("block").alias("d"))
-    anchors = written(anchors.where("a <> b").select("anchor", F.expr("c <> d").alias("differ")), "anchors")
-    held = written(blocks.join(broadcast_if_small(anchors, SMALL), "anchor").drop("anchor"), "anchored")
-    firsts = written(held.groupBy("block").agg(F.min(place).alias("first")), "firsts")
-    judged = written(held.join(broadcast_if_small(firsts, SMALL), "block").withColumn("later", later), "judged")
+    anchors = written(anchors.where("a <> b").select("anchor", F.expr("c <> d").alias("differ")), "anchors", folder)
+    held = written(blocks.join(broadcast_if_small(anchors, SMALL), "anchor").drop("anchor"), "anchored", folder)
+    firsts = written(held.groupBy("block").agg(F.min(place).alias("first")), "firsts", folder)
+    judged = written(held.join(broadcast_if_small(firsts, SMALL), "block").withColumn("later", later), "judged", folder)
     whole = judged.where("later").select("key", "th", "start", (F.col("start") + F.col("n") + (LEAST_RUN - 1)).alias("stop"), F.col("first.key").alias("origin"))
-    asked = judged.where("differ and not later").groupBy("key", "th").agg(F.collect_list(F.struct("start", "n")).alias("blocks"))
-    asked = written(asked.select(F.col("key").alias("_k"), F.col("th").alias("_t"), "blocks"), "asked")
-    texts = source.join(asked, source["key"].eqNullSafe(asked["_k"]) & (source["th"] == asked["_t"])).select("key", "th", "text", "blocks")
-    windows = written(texts.mapInArrow(opened, f"key {kind}, th bigint, start int, window bigint"), "windows")
+    asked = judged.where("differ and not later").groupBy(F.xxhash64("key", "th").alias("row")).agg(F.collect_list(F.struct("start", "n")).alias("blocks"))
+    windows = _asking(source, asked).select("key", "th", "text", "blocks").mapInArrow(opened, f"key {kind}, th bigint, start int, window bigint")
+    windows = written(recurring(windows, "window"), "windows", folder)
     twice = windows.groupBy("window").agg(F.min(place).alias("first"), F.min(where).alias("a"), F.max(where).alias("b"))
-    twice = written(twice.where("a <> b").select("window", "first"), "twice")
+    twice = written(twice.where("a <> b").select("window", "first"), "twice", folder)
     single = windows.join(broadcast_if_small(twice, SMALL), "window").where(later).select("key", "th", "start", (F.col("start") + LEAST_RUN).alias("stop"), F.col("first.key").alias("origin"))
     before = Window.partitionBy("key", "th").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("key", "th").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
     every = whole.unionByName(single).withColumn("new", F.when(F.col("start") <= F.max("stop").over(before), 0).otherwise(1))
     spans = every.withColumn("span", F.sum("new").over(upto)).groupBy("key", "th", "span")
     merged = spans.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("origin", "start").alias("origin"))
-    return merged.select(F.col("key").alias(key), F.col("th").alias("_lf_text"), "start", "stop", "origin")
+    found = written(merged.select(F.col("key").alias(key), F.col("th").alias("_lf_text"), "start", "stop", "origin"), "spans", results)
+    dropped(source.sparkSession, folder)
+    return found
 
 
 def passages_and_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``repeated_passages`` and ``repeated_spans`` in one table; a span has ``first_word`` instead of paragraph numbers."""
-    spans = written(repeated_spans(docs, key, text), "spans")
+    folder = shared_path(docs.sparkSession, "texts")
+    source, kind = laid_out(docs.select(key, text), key, text, folder)
+    passages, spans = _passages(source, kind, key, LEAST, LEAST_WORDS).drop("_lf_text"), _spans(source, kind, key)
+    dropped(docs.sparkSession, folder)
     rows = spans.select(key, F.lit(None).cast("int").alias("number"), (F.col("stop") - F.col("start")).alias("words"), F.col("origin").alias("component_doc"), F.lit(None).cast("int").alias("component_number"), F.lit(True).alias("removed"), F.col("start").alias("first_word"))
-    return repeated_passages(docs, key, text).withColumn("first_word", F.lit(None).cast("int")).unionByName(rows)
+    return passages.withColumn("first_word", F.lit(None).cast("int")).unionByName(rows)
 
 
 def cut_passages(text: bytes, gone: set[int], spans: list[tuple[int, int]] = ()) -> str:
@@ -461,21 +530,20 @@ def cut_passages(text: bytes, gone: set[int], spans: list[tuple[int, int]] = ())
     return b"\n".join(lines).decode()
 
 
-def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", least: float = 0.8, least_words: int = LEAST_WORDS) -> DataFrame:
+def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", least: float = LEAST, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the removed paragraphs and repeated spans cut out of their texts, all rows and columns kept.
 
     ``length`` names a column that is set to the new text's length in characters. Documents without removals pass as
     they are, null texts and keys too; a text is cut by its own removals, whatever else stands under its key; rows that
-    repeat a key and text are cut alike. Only the numbers of removed paragraphs and the bounds of spans are joined to the documents.
+    repeat a key and text are cut alike. Only the numbers of removed paragraphs and the bounds of spans are moved to the documents, which are read from where ``laid_out`` put them.
     """
-    found = _passages(docs, key, text, least, least_words).where("removed")
-    gone = written(found.groupBy(F.col(key).alias("_lf_key"), "_lf_text").agg(F.collect_set("number").alias("_lf_gone")), "removals")
-    spans = repeated_spans(docs, key, text).groupBy(F.col(key).alias("_lf_span_key"), F.col("_lf_text").alias("_lf_span_text")).agg(F.collect_list(F.struct("start", "stop")).alias("_lf_spans"))
-    spans = written(spans, "spans")
-    joined = docs.join(gone, docs[key].eqNullSafe(gone["_lf_key"]) & (_text_hash(text) == gone["_lf_text"]), "left").drop("_lf_key", "_lf_text")
-    joined = joined.join(spans, docs[key].eqNullSafe(spans["_lf_span_key"]) & (_text_hash(text) == spans["_lf_span_text"]), "left")
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = joined.select(*[joined[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("_lf_gone").alias("gone"), F.col("_lf_spans").alias("spans"))
+    spark, names = docs.sparkSession, [f"c{i}" for i in range(len(docs.columns))]
+    source, kind = laid_out(docs, key, text, shared_path(spark, "texts"))
+    row, results = F.xxhash64(key, "_lf_text").alias("row"), shared_path(spark, "found")
+    gone = written(_passages(source, kind, key, least, least_words, results).where("removed").groupBy(row).agg(F.collect_set("number").alias("gone")), "removals")
+    spans = written(_spans(source, kind, key, results).groupBy(row).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    dropped(spark, results)
+    plain = _asking(_asking(source, gone, "left"), spans, "left").select(*names, "gone", "spans")
     at = docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -48,7 +48,11 @@ GRAM = 16
 SMALL = 50_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_MARKS = (b".", b"!", b"?")
+_LOWER_CASE = np.frombuffer(_LOWER, np.uint8)
+_SPACES, _MARKS = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\v\f\r", b".!?"))
+#: Fixed values of XXH64, and the length from which it takes another way.
+_PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
+_LONG = 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,49 +63,86 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _WordCodes(dict):
-    """word -> 64-bit hash of its lower case, whose lowest bit tells that the word ends a sentence."""
-
-    def __missing__(self, word: bytes) -> int:
-        code = xxhash.xxh64_intdigest(word.translate(_LOWER)) & ~1 | word.endswith(_MARKS)
-        if len(self) >= 200_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = code
-        return code
-
+def _xxh64(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The XXH64 (seed 0) of the ``length`` bytes, fewer than _LONG, from each place of ``at`` on."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    turned = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    byte = lambda i: data[at + i].astype(np.uint64)
+    read = lambda i, n: reduce(np.bitwise_or, (byte(i + k) << np.uint64(8 * k) for k in range(n)))
+    h, done = np.full(len(at), p5 + np.uint64(length)), 0
+    while length - done >= 8:
+        h = turned(h ^ turned(read(done, 8) * p2, 31) * p1, 27) * p1 + p4
+        done += 8
+    if length - done >= 4:
+        h = turned(h ^ read(done, 4) * p1, 23) * p2 + p3
+        done += 4
+    for i in range(done, length):
+        h = turned(h ^ byte(i) * p5, 11) * p1
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
+
+
+class Words:
+    """The words of a few texts as arrays, A-Z as a-z: ``starts`` (bytes from the first text on, each text one line more), ``first`` (of each text), ``ends``.
+
+    ``ends`` tells which words end a sentence. Words are found and hashed by array, all of one length at once; no Python object
+    is made of a word but of the few of _LONG bytes or more.
+    """
 
-_codes = _WordCodes()
+    def __init__(self, texts: list[bytes | None]):
+        texts = [t or b"" for t in texts]
+        self._data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+        space = _SPACES[self._data]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        self.starts, stops = edges[::2], edges[1::2]
+        self._lengths = stops - self.starts
+        self.n = len(self.starts)
+        self.ends = _MARKS[self._data[stops - 1]]
+        self.text_starts = np.cumsum([1, *[len(t) + 1 for t in texts]])[:-1]
+        self.first = np.searchsorted(self.starts, self.text_starts)
+
+    def codes(self) -> np.ndarray:
+        """The XXH64 of each word, with the lowest bit set where it ends a sentence."""
+        data = _LOWER_CASE[self._data]
+        codes = np.zeros(self.n, np.uint64)
+        order = np.argsort(np.minimum(self._lengths, _LONG).astype(np.uint8), kind="stable")
+        stops = np.cumsum(np.bincount(np.minimum(self._lengths, _LONG), minlength=_LONG + 1)).tolist()
+        for length in range(1, _LONG):
+            own = order[stops[length - 1] : stops[length]]
+            if len(own):
+                codes[own] = _xxh64(data, self.starts[own], length)
+        for i in order[stops[_LONG - 1] :].tolist():
+            codes[i] = xxhash.xxh64_intdigest(data[self.starts[i] : self.starts[i] + self._lengths[i]])
+        return codes & ~np.uint64(1) | self.ends
+
+    def line_ends(self) -> np.ndarray:
+        """The last word of each line that has one, in order."""
+        before = np.searchsorted(self.starts, np.flatnonzero(self._data == 10))
+        return np.unique(before[before > 0]) - 1
 
 
 class Paragraphs:
     """The paragraphs of a few texts as arrays: ``doc`` (which text), ``number`` in it, first word and word count."""
 
     def __init__(self, texts: list[bytes | None], sentence: int = SENTENCE):
-        words: list[bytes] = []
-        line_ends, docs_of_lines = [], []
-        for doc, text in enumerate(texts):
-            for line in (text or b"").split(b"\n"):
-                if found := line.split():
-                    words += found
-                    line_ends.append(len(words) - 1)
-                    docs_of_lines.append(doc)
-        self.n = len(words)
-        self.codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, self.n)
-        line_ends = np.array(line_ends, dtype=np.int64)
-        stops = self.codes & np.uint64(1) == 1
-        stops[line_ends] = True
-        stop_at = np.flatnonzero(stops)
+        self._words = words = Words(texts)
+        self.n = words.n
+        line_ends = words.line_ends()
         is_line = np.zeros(self.n, dtype=bool)
         is_line[line_ends] = True
+        stop_at = np.flatnonzero(words.ends | is_line)
         cuts = stop_at[(np.diff(stop_at, prepend=-1) >= sentence) | is_line[stop_at]]
         self.starts = np.concatenate([[0], cuts[:-1] + 1]).astype(np.int64) if len(cuts) else np.zeros(0, np.int64)
         self.lengths = cuts + 1 - self.starts
-        line_of = np.searchsorted(line_ends, cuts)
-        self.doc = np.array(docs_of_lines, dtype=np.int64)[line_of] if len(cuts) else np.zeros(0, np.int64)
+        self.doc = np.searchsorted(words.first, cuts, side="right") - 1
         first = np.searchsorted(self.doc, self.doc)
         self.number = np.arange(len(cuts)) - first
 
+    @cached_property
+    def codes(self) -> np.ndarray:
+        return self._words.codes()
+
     def names(self) -> np.ndarray:
         """A 64-bit hash of each paragraph's words in order, by which equal texts are known."""
         if not len(self.starts):
@@ -145,16 +186,14 @@ class Windows:
     """
 
     def __init__(self, texts: list[bytes | None]):
-        words = [(t or b"").split() for t in texts]
-        lengths = np.array([len(w) for w in words], dtype=np.int64)
-        self.first = np.cumsum(lengths) - lengths
-        n = int(lengths.sum())
+        words = Words(texts)
+        self.first, n = words.first, words.n
         self.hashes = np.zeros(0, np.uint64)
         self.doc = self.start = self.n = np.zeros(0, np.int64)
         self.anchor = self.block = np.zeros(0, np.uint64)
         if n < LEAST_RUN:
             return
-        grams = _mixed(np.fromiter(map(_codes.__getitem__, chain.from_iterable(words)), np.uint64, n) >> np.uint64(1))
+        grams = _mixed(words.codes() >> np.uint64(1))
         width = 1
         while width < GRAM:
             grams = _mixed(grams[:-width] * _ODD + grams[width:])
@@ -170,7 +209,7 @@ class Windows:
             less = least[step:] < least[:-step]
             least, place = np.where(less, least[step:], least[:-step]), np.where(less, place[step:], place[:-step])
             width += step
-        doc = np.repeat(np.arange(len(texts)), lengths)
+        doc = np.repeat(np.arange(len(texts)), np.diff(self.first, append=n))
         inside = np.flatnonzero(doc[:count] == doc[LEAST_RUN - 1 :])
         if not len(inside):
             return
